@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
-from .common import documents
+from . import bpe, exact_dedup, mixing, quality_gam, quality_rules
+from .common import documents, labels
 
 QUERIES = {
     "op3_mixing": lambda spark, sf: mixing.op3(documents(spark, sf)),
     "op5_exact_dedup": lambda spark, sf: exact_dedup.op5(documents(spark, sf)),
+    "op7_quality_gam": lambda spark, sf: quality_gam.op7(documents(spark, sf), labels(spark, sf)),
+    "op9_quality_rules": lambda spark, sf: quality_rules.op9(documents(spark, sf), labels(spark, sf)),
+    "op10_bpe": lambda spark, sf: bpe.op10(documents(spark, sf)),
 }
 
 ORACLES = {
