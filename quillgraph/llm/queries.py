@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality_gam, quality_rules
+from . import bpe, exact_dedup, mixing, quality_gam, quality_rules, secrets, substring_dedup, token_counts
 from .common import documents, labels
 
 QUERIES = {
+    "op1_token_counts": lambda spark, sf: token_counts.op1(documents(spark, sf)),
     "op3_mixing": lambda spark, sf: mixing.op3(documents(spark, sf)),
     "op5_exact_dedup": lambda spark, sf: exact_dedup.op5(documents(spark, sf)),
+    "op6_secrets": lambda spark, sf: secrets.op6(documents(spark, sf)),
     "op7_quality_gam": lambda spark, sf: quality_gam.op7(documents(spark, sf), labels(spark, sf)),
+    "op8_substring_dedup": lambda spark, sf: substring_dedup.op8(documents(spark, sf)),
     "op9_quality_rules": lambda spark, sf: quality_rules.op9(documents(spark, sf), labels(spark, sf)),
     "op10_bpe": lambda spark, sf: bpe.op10(documents(spark, sf)),
 }
