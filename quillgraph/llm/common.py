@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,11 +9,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize  # noqa: F401  the operators take it from here
+
 #: The six ASCII white-space characters, as the body of a character class.
 WS = r"\x20\x09-\x0D"
 
-_own_dirs: list[str] = []
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -41,38 +37,6 @@ def crc_mod(column: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(m)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder all executors share (``spark.checkpoint.dir``).
-
-    Only where that setting is absent, as in local tests, is a temporary folder used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quillgraph-")
-        if not _own_dirs:
-            atexit.register(lambda: [shutil.rmtree(d, ignore_errors=True) for d in _own_dirs])
-        _own_dirs.append(base)
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Split Arrow batches so that ``column`` (binary) holds about ``max_bytes`` in each; one row at least."""
     for batch in batches:
