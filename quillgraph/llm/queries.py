@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality_gam, quality_rules, secrets, substring_dedup, token_counts
+from . import bpe, exact_dedup, lm_score, mixing, near_dedup, quality_gam, quality_rules, secrets, substring_dedup, token_counts
 from .common import documents, labels
 
 QUERIES = {
     "op1_token_counts": lambda spark, sf: token_counts.op1(documents(spark, sf)),
     "op2_near_dedup": lambda spark, sf: near_dedup.op2(documents(spark, sf)),
     "op3_mixing": lambda spark, sf: mixing.op3(documents(spark, sf)),
+    "op4_lm_score": lambda spark, sf: lm_score.op4(documents(spark, sf)),
     "op5_exact_dedup": lambda spark, sf: exact_dedup.op5(documents(spark, sf)),
     "op6_secrets": lambda spark, sf: secrets.op6(documents(spark, sf)),
     "op7_quality_gam": lambda spark, sf: quality_gam.op7(documents(spark, sf), labels(spark, sf)),
