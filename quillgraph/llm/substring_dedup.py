@@ -9,7 +9,7 @@ an equal run of 7 words that begins at a cover position in both, within their fi
 2. Anchor hashes go to buckets as packed arrays, one copy per hash and chunk, and come back for the
    chunks in which another chunk has them; those that a chunk holds twice itself need no trip.
 3. Windows that begin up to 6 words before a shared anchor are hashed whole and sent to buckets the
-   same way, one copy per hash and chunk with the smallest id, and the smallest id overall comes back.
+   same way, one copy per hash and chunk with the smallest id. Answers are a bit per entry.
 4. Each chunk marks its covered words and cuts them out.
 
 Hot passages cost one entry per chunk, not one per occurrence, and no window or document pair is
@@ -130,113 +130,104 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int]
         yield now, chunks, data
 
 
-def _reply(chunks: list[int], sizes: list[int], payload: np.ndarray, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
-    cuts = np.concatenate(([0], np.cumsum(sizes)))
-    rows = [(c, payload[a:b][keep[a:b]].tobytes()) for c, a, b in zip(chunks, cuts[:-1], cuts[1:], strict=True) if keep[a:b].any()]
-    if rows:
-        yield pa.RecordBatch.from_pydict({"chunk": [r[0] for r in rows], "data": [r[1] for r in rows]})
+def _bits(chunks: list[int], bucket: int, sizes: list[int], flags: np.ndarray) -> pa.RecordBatch:
+    """One answer per chunk: a bit for each entry that it sent to the bucket, in its order."""
+    cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    data = [np.uint8(-n % 8).tobytes() + np.packbits(flags[a:b]).tobytes() for n, a, b in zip(sizes, cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_pydict({"chunk": chunks, "bucket": [bucket] * len(chunks), "data": data})
+
+
+def _unbits(answers: list[bytes]) -> np.ndarray:
+    """The answers of all buckets in order, as flags over everything that the chunk sent."""
+    if not answers:
+        return np.zeros(0, bool)
+    return np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8, offset=1))[: (len(a) - 1) * 8 - a[0]] for a in answers]).astype(bool)
 
 
 def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tells each chunk which of its anchors another chunk has."""
-    for _, chunks, data in _buckets(batches):
+    for bucket, chunks, data in _buckets(batches):
         h = np.frombuffer(b"".join(data), K.U)
         order, first = _groups(h)
         count = np.diff(np.append(first, len(h)))
         shared = np.zeros(len(h), bool)
         shared[order] = np.repeat(count > 1, count)
-        yield from _reply(chunks, [len(d) // 8 for d in data], h, shared)
+        yield _bits(chunks, bucket, [len(d) // 8 for d in data], shared)
+
 
+#: A window on its way: 96 bits of hash, and the smallest id that has it in the chunk.
+_WIN = np.dtype([("h", "<u8"), ("g", "<u4"), ("id", "<i8")])
 
-def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, int, np.ndarray, bytes]]:
-    """Each chunk of a partition sorted by (chunk, kind), with the replies that it got."""
-    got: list[bytes] = []
-    now = None
+
+def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, list[bytes], list[bytes]]]:
+    """Each chunk of a partition sorted by (chunk, kind, bucket), with the answers on its anchors and windows."""
+    now, got = None, {}
     for batch in batches:
-        columns = ("chunk", "kind", "data", "ids", "sizes", "blob", "extra")
-        for chunk, kind, data, ids, sizes, blob, extra in zip(*(batch.column(n).to_pylist() for n in columns), strict=True):
+        columns = ("chunk", "kind", "data", "ids", "sizes", "blob")
+        for chunk, kind, data, *parts in zip(*(batch.column(n).to_pylist() for n in columns), strict=True):
             if chunk != now:
-                now, got = chunk, []
-            if kind == 0:
-                got.append(data)
+                now, got = chunk, {0: [], 1: []}
+            if kind < 2:
+                got[kind].append(data)
             else:
-                yield Chunk.unpack(ids, sizes, blob), chunk, b"".join(got), extra
-                got = []
-
+                yield chunk, Chunk.unpack(*parts), got[0], got[1]
 
-_WIN = np.dtype([("h", "<u8"), ("g", "<u8"), ("id", "<i8")])
 
+class Candidates:
+    """Windows of a chunk that may stand elsewhere too, given the answers on its anchors."""
 
-def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Finds the candidate windows of each chunk. Sends one entry per distinct window, with the smallest id.
-
-    A chunk without candidates is finished here: its rows carry the result.
-    """
-    for c, chunk, got, _ in _sections(batches):
+    def __init__(self, c: Chunk, answers: list[bytes]):
         h, at = c.anchors()
-        order, first = _groups(h)
-        count = np.diff(np.append(first, len(h)))
-        twice = np.zeros(len(h), bool)
-        twice[order] = np.repeat(count > 1, count)  # shared inside the chunk, or repeated in one text
-        if got:
-            theirs = np.sort(np.frombuffer(got, K.U))
-            near = np.minimum(np.searchsorted(theirs, h), len(theirs) - 1)
-            twice |= theirs[near] == h
-        both, where = c.windows(at[twice])
-        if not len(where):
-            yield _row(chunk, -1, b"", b"")
-            continue
-        ids = c.ids[c.doc[where]]
-        order = np.lexsort((ids, both[:, 1], both[:, 0]))
-        sb = both[order]
-        new = np.concatenate(([True], (sb[1:] != sb[:-1]).any(1)))
+        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
+        # held by another chunk, or twice by this one
+        shared = (_unbits(answers) | (count > 1))[back] if len(h) else np.zeros(0, bool)
+        both, self.where = c.windows(at[shared])
+        self.ids = c.ids[c.doc[self.where]]
+        h, g = both[:, 0], (both[:, 1] >> K.U(32)).astype(np.uint32)
+        order = np.lexsort((self.ids, g, h))
+        sh, sg = h[order], g[order]
+        new = np.concatenate(([True], (sh[1:] != sh[:-1]) | (sg[1:] != sg[:-1]))) if len(order) else np.zeros(0, bool)
         pick = order[new]
-        packed = np.zeros(len(pick), _WIN)
-        packed["h"], packed["g"], packed["id"] = both[pick, 0], both[pick, 1], ids[pick]
-        for b, i in _by_bucket(packed["h"], buckets):
-            yield _row(chunk, b, packed[i].tobytes(), b"")
-        yield _row(chunk, -2, b"", where.astype(np.int32).tobytes())
+        self.sent = np.zeros(len(pick), _WIN)
+        self.sent["h"], self.sent["g"], self.sent["id"] = h[pick], g[pick], self.ids[pick]
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+
+    def covering(self, smaller: np.ndarray) -> np.ndarray:
+        """Positions of windows that also start in a document with a smaller id, of this chunk or another."""
+        if not len(self.where):
+            return self.where
+        return self.where[smaller[self.entry] | (self.sent["id"][self.entry] < self.ids)]
 
 
-def _row(chunk: int, bucket: int, data: bytes, where: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"chunk": [chunk], "bucket": [bucket], "data": [data], "extra": [where]})
+def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """One entry per distinct candidate window of each chunk, with the smallest id, by bucket."""
+    for chunk, c, anchors, _ in _sections(batches):
+        sent = Candidates(c, anchors).sent
+        rows = [(b, chunk, sent[i].tobytes()) for b, i in _by_bucket(sent["h"], buckets)]
+        if rows:
+            yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "chunk", "data"), map(list, zip(*rows, strict=True)), strict=True)))
 
 
 def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tells each chunk the smallest id of its windows where that is below its own."""
-    for _, chunks, data in _buckets(batches):
+    """Tells each chunk which of its windows another chunk has under a smaller id."""
+    for bucket, chunks, data in _buckets(batches):
         w = np.frombuffer(b"".join(data), _WIN)
         order = np.lexsort((w["id"], w["g"], w["h"]))
         s = w[order]
         new = np.concatenate(([True], (s["h"][1:] != s["h"][:-1]) | (s["g"][1:] != s["g"][:-1])))
         least = np.empty(len(w), np.int64)
         least[order] = s["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
-        reply = w.copy()
-        reply["id"] = least
-        yield from _reply(chunks, [len(d) // _WIN.itemsize for d in data], reply, least < w["id"])
+        yield _bits(chunks, bucket, [len(d) // _WIN.itemsize for d in data], least < w["id"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
-    for c, _, got, extra in _sections(batches):
-        covered = np.zeros(len(c.doc), bool)
-        where = np.frombuffer(extra or b"", np.int32).astype(np.int64)
-        if len(where):
-            h = K.ngrams(c.hashes, WINDOW, salt=2)[where]
-            g = K.ngrams(c.hashes, WINDOW, salt=3)[where]
-            ids = c.ids[c.doc[where]]
-            theirs = np.frombuffer(got, _WIN)
-            allh, allg = np.concatenate([h, theirs["h"]]), np.concatenate([g, theirs["g"]])
-            allid = np.concatenate([ids, theirs["id"]])
-            order = np.lexsort((allid, allg, allh))
-            sh, sg = allh[order], allg[order]
-            new = np.concatenate(([True], (sh[1:] != sh[:-1]) | (sg[1:] != sg[:-1])))
-            least = np.empty(len(order), np.int64)
-            least[order] = allid[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            hit = where[least[: len(where)] < ids]
-            edge = np.zeros(len(c.doc) + WINDOW + 1, np.int32)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + WINDOW, -1)
-            covered = np.cumsum(edge[: len(c.doc)]) > 0
+    for _, c, anchors, windows in _sections(batches):
+        hit = Candidates(c, anchors).covering(_unbits(windows))
+        edge = np.zeros(len(c.doc) + WINDOW + 1, np.int32)
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, hit + WINDOW, -1)
+        covered = np.cumsum(edge[: len(c.doc)]) > 0
         removed = np.bincount(c.doc[covered], minlength=len(c.texts))
         words = np.bincount(c.doc, minlength=len(c.texts))
         kept = []
@@ -252,42 +243,32 @@ def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), last], schema=OUT)
 
 
-_CHUNK_ROW = "chunk long, kind int, data binary, ids binary, sizes binary, blob binary, extra binary"
-
-
-def _with_replies(chunks: DataFrame, replies: DataFrame, extra: DataFrame | None, parts: int) -> DataFrame:
-    """Chunks with the replies addressed to them, side by side: one exchange, no join of lists."""
+def _beside(body: DataFrame, parts: int, *answers: DataFrame) -> DataFrame:
+    """Chunks with the answers addressed to them, side by side in order: one exchange, no join of lists."""
     none = F.lit(None).cast("binary")
-    own = chunks.select("chunk", F.lit(2).alias("kind"), none.alias("data"), "ids", "sizes", "blob", (F.col("extra") if extra is not None else none).alias("extra"))
-    sent = replies.select("chunk", F.lit(0).alias("kind"), "data", none.alias("ids"), none.alias("sizes"), none.alias("blob"), none.alias("extra"))
-    return own.unionByName(sent).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+    out = body.select("chunk", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("bucket"), none.alias("data"), "ids", "sizes", "blob")
+    for kind, a in enumerate(answers):
+        out = out.unionByName(a.select("chunk", F.lit(kind).alias("kind"), "bucket", "data", none.alias("ids"), none.alias("sizes"), none.alias("blob")))
+    return out.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
 
 
 def _run(docs: DataFrame, texts: bool, chunk_bytes: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    packed = rows.mapInArrow(partial(_pack, chunk_bytes=chunk_bytes), "ids binary, sizes binary, blob binary, about long").withColumn("chunk", F.monotonically_increasing_id())
-    chunks = materialize(packed, codec="uncompressed")
+    packed = rows.mapInArrow(partial(_pack, chunk_bytes=chunk_bytes), "ids binary, sizes binary, blob binary, about long")
+    chunks = materialize(packed.withColumn("chunk", F.monotonically_increasing_id()), codec="uncompressed")
     n, words = chunks.agg(F.count("*"), F.coalesce(F.sum("about"), F.lit(0))).first()
     buckets = max(8, int(words * len(COVER) / PERIOD / BUCKET_ENTRIES) + 1)
     parts = max(8, min(n, int(words * 4 / (16 << 20)) + 1))
     body = chunks.select("chunk", "ids", "sizes", "blob")
-    sent = body.mapInArrow(partial(_send_anchors, buckets=buckets), "bucket long, chunk long, data binary")
-    replies = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_anchors, "chunk long, data binary")
-    windows = materialize(
-        _with_replies(body, replies, None, parts).mapInArrow(partial(_send_windows, buckets=buckets), "chunk long, bucket long, data binary, extra binary"),
-        codec="uncompressed",
-    )
-    answers = (
-        windows.filter("bucket >= 0").select("bucket", "chunk", "data")
-        .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_windows, "chunk long, data binary")
-    )
-    found = windows.filter("bucket = -2").select("chunk", "extra")
-    done = body.join(windows.filter("bucket = -1").select("chunk"), "chunk", "left_semi")
-    open_ = body.join(found, "chunk")
-    none = F.lit(None).cast("binary")
-    finished = done.select("chunk", F.lit(2).alias("kind"), none.alias("data"), "ids", "sizes", "blob", none.alias("extra"))
-    todo = _with_replies(open_, answers, found, parts)
-    return todo.unionByName(finished).mapInArrow(partial(_cut, texts=texts), OUT_SQL)
+    letter, answer = "bucket long, chunk long, data binary", "chunk long, bucket long, data binary"
+
+    def answered(sent: DataFrame, match) -> DataFrame:
+        # a bit an entry: small enough to keep, and used in both passes below
+        return materialize(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(match, answer))
+
+    anchors = answered(body.mapInArrow(partial(_send_anchors, buckets=buckets), letter), _match_anchors)
+    windows = answered(_beside(body, parts, anchors).mapInArrow(partial(_send_windows, buckets=buckets), letter), _match_windows)
+    return _beside(body, parts, anchors, windows).mapInArrow(partial(_cut, texts=texts), OUT_SQL)
 
 
 def op8(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
