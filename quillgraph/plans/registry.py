@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import group_ab, group_cd, group_ef, group_g
+
+GROUPS = (group_ab, group_cd, group_ef, group_g)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for g in GROUPS for name, (fn, _) in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for g in GROUPS for name, (_, sql) in g.QUERIES.items() if sql}
