@@ -17,7 +17,8 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def _late(df: DataFrame, ts: str, lateness: str) -> DataFrame:
-    return df.withWatermark(ts, lateness) if df.isStreaming else df
+    """Watermark on a stream; time stamps without a zone become UTC instants first, as watermarks need."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness) if df.isStreaming else df
 
 
 def tumbling(df: DataFrame, size: str = "1 day", ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
@@ -39,7 +40,7 @@ def sessions(df: DataFrame, gap: str = "6 hours", key: str = "user_id", ts: str
 def first_seen(df: DataFrame, keys: list[str], ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
     """Each key once: the earliest row of a table, the first to arrive of a stream."""
     if df.isStreaming:
-        return df.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
+        return _late(df, ts, lateness).dropDuplicatesWithinWatermark(keys)
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min(F.struct(ts, *[c for c in rest if c != ts])).alias("s")).select(*keys, "s.*")
 
