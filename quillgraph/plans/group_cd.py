@@ -154,7 +154,7 @@ QUERIES = {
     "upsert_sum": (_upsert("sum"), _upsert_sql("sum(amount) AS w FROM r")),
     "first_sighting_sum": (_first_amount, _upsert_sql("sum(amount) AS w FROM f")),
     "ref_count_weight": (_upsert("count_refs"), _upsert_sql("count(DISTINCT ref) AS w FROM r")),
-    "constant_weight": (_upsert("constant"), _upsert_sql("1.0 AS w FROM r", "n.w")),
+    "constant_weight": (_upsert("constant"), _upsert_sql("1.0::DOUBLE AS w FROM r", "n.w")),
     "overwrite_weight": (_upsert("overwrite"), _upsert_sql("arg_max(amount, ref) AS w FROM f", "n.w")),
     "type_census_rollup": (
         _rollup,
