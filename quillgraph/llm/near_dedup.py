@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, extend_components
 from . import kernels as K
 from .common import fresh, materialize, sliced, text_bytes
 from .features import Slice
@@ -29,8 +29,6 @@ BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 #: Similarity is at least NUM / DEN.
 NUM, DEN = 4, 5
-#: Buckets with more members than this are compared through pairs of bands instead.
-LARGE = 64
 
 
 def shingles(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,6 +170,43 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(joined.mapInArrow(_overlap, "a long, b long"))
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of each multiset: every shingle with the number of its occurrence."""
+    for batch in sliced(batches, "text", 1 << 20):
+        doc, g, count = shingles(Slice(batch.column("text").to_pylist()))
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        e = K.mix(np.repeat(g, count) + nth.astype(np.uint64) * K.U(0x9E3779B97F4A7C15))
+        node = batch.column("node").to_numpy()[np.repeat(doc, count)]
+        for i in range(0, len(e), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 50_000]), pa.array(e[i : i + 50_000].view(np.int64))], names=["node", "e"])
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of unlike labels that can be similar at all, from (node, n, label).
+
+    Two multisets at similarity 4/5 share one of the n - ceil(4n/5) + 1 rarest elements of each (prefix
+    filter, exact). What a text has to itself comes first in that order, so one that differs enough from
+    all others has nothing left to share, or too little (position filter, exact too). Of each element, members outside its most frequent label are
+    paired with members of other labels; members of one label never meet.
+    """
+    elements = materialize(texts.join(nodes, "node", "left_semi").mapInArrow(_elements, "node long, e long"))
+    rare = elements.groupBy("e").agg(F.count("*").alias("df"))
+    ordered = elements.join(rare, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    size = F.size("es")
+    first = F.slice("es", F.lit(1), size - F.ceil(size * NUM / DEN).cast("int") + 1)
+    prefix = ordered.select("node", F.posexplode(first).alias("p", "x")).filter("x.df > 1").select("node", F.col("x.e").alias("e"), "p")
+    held = prefix.join(nodes, "node")
+    per = held.groupBy("e", "label").agg(F.count("*").alias("k"))
+    most = per.groupBy("e").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("e", F.col("m.label").alias("major"))
+    held = materialize(held.join(most, "e"))
+    l, r = held.filter("label <> major").alias("l"), held.alias("r")
+    # position filter: if this is the first element that the two share, at most this many follow it in both
+    most_shared = F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p"))
+    close = F.lit(NUM + DEN) * most_shared >= F.lit(NUM) * (F.col("l.n") + F.col("r.n"))
+    pairs = l.join(r, (F.col("l.e") == F.col("r.e")) & (F.col("l.label") != F.col("r.label")) & close)
+    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
 def _pair(x, nx, y, ny):
     """Ordered pair if the sizes allow the similarity at all, else null."""
     fits = (F.lit(DEN) * F.least(nx, ny) >= F.lit(NUM) * F.greatest(nx, ny)) & (x != y)
@@ -187,59 +222,31 @@ def classes(docs: DataFrame) -> DataFrame:
     node from the start, so copies never meet as pairs; all null, empty and blank texts are one class.
 
     Candidates: every bucket compares its members with one leader, drawn anew per bucket, so that a
-    group is linked through many leaders. Buckets whose members are then still in different classes
-    draw another leader, and in the end compare all members of different classes; buckets of more
-    than LARGE members do so only for members that meet in a second such bucket as well (a pair at
-    0.8 misses that with probability 0.0001).
+    group is linked through many leaders. Documents of buckets whose members are then still in different
+    classes are compared through a prefix filter, which loses no pair.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     signed = materialize(rows.mapInArrow(_sign, "row long, doc_id long, s1 long, s2 long, n long, bands array<long>"))
     reps = materialize(signed.groupBy("s1", "s2").agg(F.min("row").alias("node")))
     bands = signed.join(reps.select(F.col("node").alias("row")), "row", "left_semi")
     members = bands.select(F.col("row").alias("node"), "n", F.explode("bands").alias("key"))
-    draw = lambda t: F.min(F.struct(F.xxhash64("node", "key", F.lit(t)).alias("z"), F.col("node"), F.col("n")))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), draw(1).alias("lead")).filter("size > 1")
-    met = materialize(members.join(buckets, "key").select("key", "node", "n", "size", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
+    draw = F.min(F.struct(F.xxhash64("node", "key").alias("z"), F.col("node"), F.col("n")))
+    buckets = members.groupBy("key").agg(F.count("*").alias("size"), draw.alias("lead")).filter("size > 1")
+    met = materialize(members.join(buckets, "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
     # only documents that meet another are read again
     mark = met.select(F.col("node").alias("row")).distinct()
     texts = materialize(rows.select("row", "text").join(mark, "row", "left_semi").withColumnRenamed("row", "node"))
 
     pairs = met.select(_pair(F.col("node"), F.col("n"), F.col("lead"), F.col("lead_n")).alias("p")).filter("p IS NOT NULL").select("p.*").distinct()
     tested = materialize(pairs)
-    links = _links(tested, texts)
-    labels = connected_components(links, "a", "b")
-
-    def unsettled() -> DataFrame:
-        named = met.join(labels.select("node", "component"), "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), draw(2).alias("lead")).filter("x <> y").drop("x", "y")
-        return named.join(mixed, "key")
-
-    # a second leader, for members of other classes than its own
-    open_ = materialize(unsettled())
-    lead_label = open_.filter("node = lead.node").select("key", F.col("label").alias("lead_label"))
-    again = open_.join(lead_label, "key").filter("label <> lead_label")
-    pairs = again.select(_pair(F.col("node"), F.col("n"), F.col("lead.node"), F.col("lead.n")).alias("p")).filter("p IS NOT NULL").select("p.*").distinct()
-    more = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-    tested = tested.union(more)
-    links = links.union(_links(more, texts))
-    labels = connected_components(links, "a", "b")
-
-    # all that is left
-    open_ = materialize(unsettled().select("key", "node", "n", "size", "label"))
-    small = open_.filter(F.col("size") <= LARGE).select("key", "node", "n", "label")
-    wide = open_.filter(F.col("size") > LARGE).groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.first("n").alias("n"), F.first("label").alias("label"))
-    twos = F.flatten(F.transform("keys", lambda k: F.transform(F.filter("keys", lambda o: o > k), lambda o: F.xxhash64(k, o))))
-    wide = wide.select(F.explode(twos).alias("key"), "node", "n", "label")
-    cells = small.union(wide)
-    mixed = cells.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    cells = materialize(cells.join(mixed, "key", "left_semi"))
-    l, r = cells.alias("l"), cells.alias("r")
-    close = (F.lit(DEN) * F.least("l.n", "r.n")) >= (F.lit(NUM) * F.greatest("l.n", "r.n"))
-    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label")) & close)
-    pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    more = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-    links = links.union(_links(more, texts))
-    labels = connected_components(links, "a", "b")
+    labels = connected_components(_links(tested, texts), "a", "b")
+
+    named = met.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    # all that is left: documents of unlike classes that share a bucket
+    left = materialize(named.join(mixed, "key", "left_semi").select("node", "n", "label").distinct())
+    more = materialize(_prefix_pairs(left, texts).join(tested, ["a", "b"], "left_anti"))
+    labels = extend_components(labels, _links(more, texts), "a", "b")
 
     node_of = signed.select("row", "doc_id", "s1", "s2").join(reps, ["s1", "s2"])
     placed = node_of.join(labels, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("class"))
