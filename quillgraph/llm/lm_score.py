@@ -4,8 +4,8 @@
    buckets of the hash; the buckets add up and answer with the corpus counts.
 2. The most frequent HEAD words form the model's vocabulary, in classes of equal size by rank; one
    more class holds all other words, which are drawn in it by their smoothed corpus counts.
-3. The network is trained by truncated backpropagation on a fixed share of the training documents,
-   each partition on its own and then averaged, a few rounds over. The share grows with the corpus.
+3. The network is trained by truncated backpropagation on all training documents, each partition on
+   its own and then averaged, in a few rounds. Each document belongs to one round: one pass in all.
 4. Each document is read whole, in windows with the state carried across, and gets the sum of
    log10 P(class) + log10 P(word | class).
 """
@@ -30,8 +30,8 @@ HEAD, CLASS_SIZE = 4096, 64
 #: Further inputs, by hash, for words beyond the head; one more for the beginning of a document.
 TAIL_INPUTS = 256
 HIDDEN, EMBED, WINDOW, LANES = 32, 32, 16, 256
-#: Each of ROUNDS rounds trains on one SHARE-th of the training documents.
-ROUNDS, SHARE, RATE, TRAIN_LANES = 3, 36, 0.1, 16
+#: Each of ROUNDS rounds trains on its own part of the training documents; together they cover all.
+ROUNDS, RATE, TRAIN_LANES = 3, 0.1, 16
 CHUNK_BYTES, BUCKET_ENTRIES = 8 << 20, 1_000_000
 MODULUS, HELD_OUT = 7, 2
 #: Training texts that a task gathers before it trains on them, about.
@@ -399,7 +399,7 @@ class Trainer:
         getattr(self.net, name)[rows] -= np.float32(RATE) * d / np.sqrt(acc)
 
 
-def _train(batches: Iterator[pa.RecordBatch], net: Network, v: Vocabulary, turn: int) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], net: Network, v: Vocabulary, turn: int, rounds: int = ROUNDS) -> Iterator[pa.RecordBatch]:
     """One model per partition, trained on its share of this round's documents."""
     trainer = Trainer(net.like(np.frombuffer(net.pack(), np.float32)), v)
     part, ids, texts, held = 0, [], [], 0
@@ -415,7 +415,7 @@ def _train(batches: Iterator[pa.RecordBatch], net: Network, v: Vocabulary, turn:
             part = chunk
             for i, t in zip(*unpack(*parts), strict=True):
                 k = crc(i)
-                if k % MODULUS != HELD_OUT and k // MODULUS % SHARE == turn:
+                if k % MODULUS != HELD_OUT and k // MODULUS % rounds == turn:
                     ids.append(i)
                     texts.append(t)
                     held += len(t)
@@ -445,7 +445,7 @@ def train(chunks: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
     net = Network.new(v)
     schema = "slot long, weight double, model binary"
     for turn in range(rounds):
-        models = chunks.select("chunk", *_PARTS).mapInArrow(partial(_train, net=net, v=v, turn=turn), schema)
+        models = chunks.select("chunk", *_PARTS).mapInArrow(partial(_train, net=net, v=v, turn=turn, rounds=rounds), schema)
         # at most 16 averages reach the driver, whatever the number of partitions
         sums = models.repartition(16, "slot").mapInArrow(_average, schema).collect()
         if not sums:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgraph.llm import lm_score, mixing
@@ -71,6 +72,18 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_rounds_train_on_every_training_document(docs):
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in data], "text": [(t or "").encode() for _, t in data]})
+    packed = [b.append_column("chunk", pa.array([k])) for k, b in enumerate(lm_score._pack(iter([rows]), 100_000))]
+    c = lm_score.Chunk(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist())
+    h, n = np.unique(c.tokens[~c.held[c.doc]], return_counts=True)
+    v = lm_score.Vocabulary(h[:200], n[:200], int(n.sum()), len(h))
+    net = lm_score.Network.new(v)
+    seen = [sum(b.column("weight")[0].as_py() for b in lm_score._train(iter(packed), net, v, turn)) for turn in range(lm_score.ROUNDS)]
+    assert all(seen) and sum(seen) == n.sum()
+
+
 def duck_mix(data):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
