@@ -146,7 +146,7 @@ QUERIES = {
         duck("SELECT id FROM v_entity WHERE id NOT IN (SELECT source_id FROM v_edge UNION SELECT target_id FROM v_edge)"),
     ),
     "isolated_backfill": (
-        lambda s, d: edges.isolated_backfill(_entities(s, d), view(s, d, "v_edge").filter("relation <> 'x'"), view(s, d, "v_mention").filter("artifact_id % 20 = 0")),
+        lambda s, d: edges.isolated_backfill(_entities(s, d), view(s, d, "v_edge").filter("relation <> 'x'"), view(s, d, "v_mention")),
         duck("""WITH l AS (SELECT id FROM v_entity WHERE type IN ('event', 'concept') AND id NOT IN (SELECT source_id FROM v_edge UNION SELECT target_id FROM v_edge)),
           m AS (SELECT DISTINCT artifact_id, canonical_id FROM v_mention WHERE artifact_id % 20 = 0)
           SELECT a.canonical_id AS source_id, b.canonical_id AS target_id, count(*) AS weight FROM m a JOIN m b ON a.artifact_id = b.artifact_id AND a.canonical_id < b.canonical_id
