@@ -12,10 +12,12 @@ from .components import connected_components
 from .edges import incident
 
 #: Rules on by default; "prefix_variant" and "vector" must be asked for.
-DEFAULT_RULES = ("ext_id", "sec_former_name", "exact_name", "squashed_name")
+DEFAULT_RULES = ("ext_id", "sec_former_name", "exact_name", "squashed_name", "prefix_variant_curated")
 #: Rules backed by an identifier: their clusters pass the looser type gate.
-ID_RULES = ("ext_id",)
+ID_RULES = ("ext_id", "sec_former_name")
 PREFIX_MIN, PREFIX_TAIL, VECTOR_MIN = 12, 10, 0.93
+#: Prefix variants (short, long) reviewed by hand, which merge by default.
+PREFIX_CURATED = (("palantir technologies", "palantir technologies in"), ("palantir technologies", "palantir technologies inclass"))
 # Squashed names of concepts that are not organisations.
 CONCEPT_NOT_ORG = ("401k", "adr", "aietf", "chipmakers")
 
@@ -74,7 +76,11 @@ def prefix_pairs(entities: DataFrame) -> DataFrame:
     longs = e.select(F.col("id").alias("l"), F.col("norm").alias("ln"), F.explode(cuts).alias("norm"))
     longs = longs.filter((F.col("norm") != F.col("ln")) & (F.length("norm") >= PREFIX_MIN) & (F.length("ln") - F.length("norm") <= PREFIX_TAIL))
     hit = longs.join(e.filter(name_is_evidence(F.col("norm"))), "norm").filter("id <> l")
-    return hit.select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b"), F.lit("prefix_variant").alias("rule"), F.col("norm").alias("evidence")).distinct()
+    curated = F.lit(False)
+    for short, long in PREFIX_CURATED:
+        curated = curated | ((F.col("norm") == short) & (F.col("ln") == long))
+    rule = F.when(curated, "prefix_variant_curated").otherwise("prefix_variant")
+    return hit.select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b"), rule.alias("rule"), F.col("norm").alias("evidence")).distinct()
 
 
 def vector_pairs(vectors: DataFrame, block: str, k: int = 8, minimum: float = VECTOR_MIN) -> DataFrame:

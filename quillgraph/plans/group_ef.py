@@ -58,9 +58,11 @@ _WALK = f"""ok AS (SELECT id, {_LABEL} AS label FROM v_entity WHERE publication_
 
 def _plan(s, d):
     g = load(s, d)
-    rows = dedup.profile(g)
-    pairs = dedup.ext_id_pairs(g.aliases).unionByName(dedup.exact_name_pairs(rows)).unionByName(dedup.squashed_pairs(rows))
-    return g, rows, dedup.gate(pairs, rows)
+    # the rules and the gate read names, types and modes; counts serve the survivors alone
+    named = g.entities.withColumn("norm", X.normalize_name(F.col("name")))
+    pairs = dedup.ext_id_pairs(g.aliases).unionByName(dedup.former_name_pairs(g.aliases, named)).unionByName(dedup.exact_name_pairs(named))
+    pairs = pairs.unionByName(dedup.squashed_pairs(named)).unionByName(dedup.prefix_pairs(named))
+    return g, dedup.profile(g), dedup.gate(pairs, named)
 
 
 _KEY = """CASE source_system WHEN 'sec.cik' THEN 'sec_cik:' || regexp_replace(source_id, '^0+', '') WHEN 'fec.committee' THEN 'fec_committee:' || source_id WHEN 'bioguide' THEN 'bioguide:' || source_id END"""

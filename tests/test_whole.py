@@ -2,8 +2,12 @@
 
 from collections import Counter, defaultdict
 
-from quillgraph.plans import registry
-from quillgraph.plans.views import view
+from pyspark.sql import functions as F
+
+from quillgraph.functions.text import normalize_name
+from quillgraph.model import Graph
+from quillgraph.plans import group_ef, registry
+from quillgraph.plans.views import graph, view
 
 from .conftest import SF
 
@@ -19,3 +23,27 @@ def test_isolated_backfill_reads_every_artifact(spark):
     want = Counter((a, b) for ids in held.values() for a in ids for b in ids if a < b and (a in lone or b in lone))
     got = {(r["source_id"], r["target_id"]): r["weight"] for r in QUERIES["isolated_backfill"](spark, SF).collect()}
     assert got == want
+
+
+def test_dedup_plan_holds_prefix_variants(spark):
+    rows = view(spark, SF, "v_entity").withColumn("norm", normalize_name(F.col("name"))).collect()
+    fits = lambda s, t: len(s) >= 12 and any("a" <= c <= "z" for c in s) and t.startswith(s + " ") and len(t) - len(s) <= 10
+    want = {(min(x["id"], y["id"]), max(x["id"], y["id"])) for x in rows for y in rows if fits(x["norm"], y["norm"])}
+    got = QUERIES["dedup_pairs"](spark, SF).filter("rule = 'prefix_variant'").collect()
+    assert want and {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    assert "accept" not in {r["outcome"] for r in got}
+    counts = Counter(r["outcome"] for r in got)
+    assert {r["outcome"]: r["n"] for r in QUERIES["reason_histogram"](spark, SF).filter("rule = 'prefix_variant'").collect()} == counts
+
+
+def test_dedup_plan_holds_former_names_and_review(spark, monkeypatch):
+    """Names of five entities: a former name, a tail under review, a reviewed tail."""
+    names = {"a": "Old Widgets", "b": "New Gadgets", "p": "Palantir Technologies", "q": "Palantir Technologies in", "r": "Palantir Technologies mangled"}
+    types = {"a": "organization", "b": "bill"}
+    entities = spark.createDataFrame([(i, n, types.get(i, "organization"), "open", "published") for i, n in names.items()], "id string, name string, type string, surface_mode string, publication_state string")
+    aliases = spark.createDataFrame([("b", "sec.former_name", "1", "OLD WIDGETS")], "canonical_id string, source_system string, source_id string, surface_name string")
+    g = graph(spark, SF)
+    monkeypatch.setattr(group_ef, "load", lambda s, d: Graph(entities, aliases, g.edges, g.citations, g.scrutiny))
+    got = {(r["a"], r["b"], r["rule"], r["outcome"]) for r in QUERIES["dedup_pairs"](spark, SF).collect()}
+    # an identifier stands behind a former name: the types need not be equal
+    assert got == {("a", "b", "sec_former_name", "accept"), ("p", "q", "prefix_variant_curated", "accept"), ("p", "r", "prefix_variant", "review_rule")}
