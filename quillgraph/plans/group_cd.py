@@ -101,10 +101,10 @@ def _cosine1(s, d):
     from ..functions.text import cosine
 
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    a = v.filter("id % 2 = 0").select(F.col("id").alias("a"), F.col("embedding").alias("va"), "label")
-    b = v.filter("id % 2 = 1").select(F.col("id").alias("b"), F.col("embedding").alias("vb"), "label")
+    a = v.select(F.col("id").alias("a"), F.col("embedding").alias("va"), "label")
+    b = v.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), "label")
     floor = F.lit(0.2) + F.when(F.col("label") == 0, 0.04).otherwise(0.0)
-    scored = a.join(b, "label").select("a", "b", "label", F.round(cosine(F.col("va"), F.col("vb")), 9).alias("s"))
+    scored = a.join(b, "label").filter("a <> b").select("a", "b", "label", F.round(cosine(F.col("va"), F.col("vb")), 9).alias("s"))
     return edges.top_per(scored, ["a"], [F.desc("s"), F.col("b")], 1).filter(F.col("s") >= floor).select("a", "b")
 
 

@@ -2,12 +2,13 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import normalize_name
 from quillgraph.model import Graph
 from quillgraph.plans import group_ef, registry
-from quillgraph.plans.views import graph, view
+from quillgraph.plans.views import graph, table, view
 
 from .conftest import SF
 
@@ -47,3 +48,15 @@ def test_dedup_plan_holds_former_names_and_review(spark, monkeypatch):
     got = {(r["a"], r["b"], r["rule"], r["outcome"]) for r in QUERIES["dedup_pairs"](spark, SF).collect()}
     # an identifier stands behind a former name: the types need not be equal
     assert got == {("a", "b", "sec_former_name", "accept"), ("p", "q", "prefix_variant_curated", "accept"), ("p", "r", "prefix_variant", "review_rule")}
+
+
+def test_cosine_top1_matches_every_row(spark):
+    rows = [(r["vec_id"], r["label"], np.array(r["embedding"], np.float64)) for r in table(spark, SF, "embeddings").collect()]
+    want = set()
+    for i, label, x in rows:
+        norm = lambda y: np.sqrt((x @ x) * (y @ y))  # noqa: B023, E731
+        near = [(-round(float(x @ y / norm(y)), 9), j) for j, other, y in rows if j != i and other == label and norm(y) > 0]
+        if near and -min(near)[0] >= (0.24 if label == 0 else 0.2):
+            want.add((i, min(near)[1]))
+    got = [(r["a"], r["b"]) for r in QUERIES["cosine_top1"](spark, SF).collect()]
+    assert set(got) == want and len(got) == len(want) and {a % 2 for a, _ in got} == {0, 1}
