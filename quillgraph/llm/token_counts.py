@@ -126,50 +126,89 @@ class Tree:
 
 
 class Document:
-    """One text with its tree."""
+    """One text with its tree. Leaves are slices of the text as it was read; those that edits have
+    changed are kept beside it, so an edit copies its own leaves and nothing else."""
 
     def __init__(self, text: str, counter: PieceCounter):
-        self.text, self.counter = text, counter
+        self.counter = counter
         pieces = counter.pattern.findall(text)
         self.n_pieces = len(pieces)
         self.reencoded = 0
-        if pieces:
-            first = np.arange(0, len(pieces), LEAF)
-            chars = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            self.tree = Tree(np.add.reduceat(chars, first), np.add.reduceat(counter.counts(pieces), first))
-        else:
-            self.tree = Tree(np.zeros(1, np.int64), np.zeros(1, np.int64))
+        first = np.arange(0, max(len(pieces), 1), LEAF)
+        chars = np.fromiter(map(len, pieces), np.int64, len(pieces)) if pieces else np.zeros(1, np.int64)
+        tokens = counter.counts(pieces) if pieces else np.zeros(1, np.int64)
+        self._lay(text, np.add.reduceat(chars, first), np.add.reduceat(tokens, first))
+
+    def _lay(self, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.source, self.changed, self.leaves = text, {}, len(chars)
+        self.starts = np.concatenate(([0], np.cumsum(chars)))
+        self.tree = Tree(chars, tokens)
+
+    def _leaf(self, k: int) -> str:
+        got = self.changed.get(k)
+        return self.source[self.starts[k] : self.starts[k + 1]] if got is None else got
+
+    @property
+    def text(self) -> str:
+        return "".join(map(self._leaf, range(self.leaves))) if self.changed else self.source
 
     def edit(self, start: int, end: int, replacement: str) -> None:
         """Replace text[start:end]. Leaves from the last one that ends LOOKAHEAD before the edit up to
-        the first old leaf boundary behind it at which the new pre-tokens break too are encoded again."""
-        tree = self.tree
-        leaf, at = tree.leaf_at(max(start - LOOKAHEAD, 0))
-        old_text = self.text
-        self.text = text = old_text[:start] + replacement + old_text[end:]
-        shift = len(replacement) - (end - start)
-        leaves = range(leaf, tree.size)
-        ends = at + np.cumsum(tree.sums[tree.size + leaf :, 0][: tree.size - leaf])
-        stop = bisect_left(ends, end)
-        safe = start + len(replacement)
-        pieces, last = [], None
-        for m in self.counter.pattern.finditer(text, at):
-            pieces.append(m.group())
+        the first old leaf boundary behind it at which the new pre-tokens break too are encoded again.
+        Leaves are read on from the edit, twice as many each time, until that boundary is found."""
+        leaf, at = self.tree.leaf_at(max(start - LOOKAHEAD, 0)) if self.tree.chars else (0, 0)
+        start, end, more = start - at, end - at, 2
+        shift, safe = len(replacement) - (end - start), start + len(replacement)
+        old: list[str] = []
+        ends: list[int] = []
+        while True:
+            while leaf + len(old) < self.leaves and (more or ends[-1] < end):
+                more -= bool(ends and ends[-1] >= end)
+                old.append(self._leaf(leaf + len(old)))
+                ends.append((ends[-1] if ends else 0) + len(old[-1]))
+            whole = leaf + len(old) == self.leaves
+            joined = "".join(old)
+            pieces, last = self._resync(joined[:start] + replacement + joined[end:], ends, end, safe, shift, whole)
+            if last is not None:
+                break
+            more = len(old)
+        self.reencoded += len(pieces)
+        self._put(leaf, last + 1, pieces)
+
+    def _resync(self, text: str, ends: list[int], end: int, safe: int, shift: int, whole: bool) -> tuple[list[str], int | None]:
+        """Pre-tokens up to the first old boundary that is a new one too, and the number of the leaf that
+        ends there; no number if the leaves read so far do not tell."""
+        pieces, stop = [], bisect_left(ends, end)
+        for m in self.counter.pattern.finditer(text):
             q = m.end()
+            if not whole and q + LOOKAHEAD > len(text):
+                return pieces, None
+            pieces.append(m.group())
             if q >= safe:
                 while stop < len(ends) and ends[stop] < q - shift:
                     stop += 1
                 if stop < len(ends) and ends[stop] == q - shift:
-                    last = stop
-                    break
-        if last is None:
-            last = len(leaves) - 1
-        counts = self.counter.counts(pieces)
-        self.reencoded += len(pieces)
-        tree.put(leaf, sum(map(len, pieces)), int(counts.sum()))
-        for k in range(leaf + 1, leaf + last + 1):
-            if tree.sums[tree.size + k].any():
-                tree.put(k, 0, 0)
+                    return pieces, stop
+        return pieces, len(ends) - 1 if whole else None
+
+    def _put(self, leaf: int, n: int, pieces: list[str]) -> None:
+        """The pre-tokens in place of n leaves: full leaves first, empty ones behind; new leaves if they overflow."""
+        per = max(LEAF, -(-len(pieces) // n))
+        split = per > 8 * LEAF
+        per = LEAF if split else per
+        first = np.arange(0, len(pieces), per)
+        texts = ["".join(pieces[a : a + per]) for a in first.tolist()]
+        chars = np.array([len(t) for t in texts], np.int64)
+        tokens = np.add.reduceat(self.counter.counts(pieces), first) if pieces else np.zeros(0, np.int64)
+        if split:
+            own = self.tree.sums[self.tree.size : self.tree.size + self.leaves]
+            around = lambda column, new: np.concatenate([own[:leaf, column], new, own[leaf + n :, column]])
+            whole = "".join([*map(self._leaf, range(leaf)), *texts, *map(self._leaf, range(leaf + n, self.leaves))])
+            self._lay(whole, around(0, chars), around(1, tokens))
+            return
+        for k in range(n):
+            self.changed[leaf + k] = texts[k] if k < len(texts) else ""
+            self.tree.put(leaf + k, *((int(chars[k]), int(tokens[k])) if k < len(texts) else (0, 0)))
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
@@ -183,9 +222,10 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in sliced(batches, "text"):
         rows = []
         for raw in batch.column("text").to_pylist():
-            doc = Document(raw.decode("utf-8", "replace"), counter)
+            text = raw.decode("utf-8", "replace")
+            doc = Document(text, counter)
             n = doc.tree.tokens
-            edits = redactions(doc.text)
+            edits = redactions(text)
             for start, end, new in reversed(edits):
                 doc.edit(start, end, new)
             rows.append((n, doc.n_pieces, len(edits), doc.tree.tokens, doc.reencoded))
@@ -196,7 +236,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def op1(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Token counts of every document before and after the redaction edits.
 
-    Null and empty texts count 0; repeated rows give repeated rows. ``n_reencoded`` is the number of
+    Null and empty texts count 0; repeated rows give repeated rows; a null doc_id stays null. ``n_reencoded`` is the number of
     pre-tokens that the edits made the operator encode again.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))

@@ -91,3 +91,42 @@ def test_an_edit_touches_little(counter):
     d = token_counts.Document("some words of a long text " * 5000, counter)
     d.edit(60_000, 60_004, "other")
     assert d.reencoded < 4 * token_counts.LEAF
+
+
+def test_many_edits_take_time_in_proportion(counter):
+    """Edits are local: eight times as many in a text eight times as long take some eight times as long."""
+    import time
+
+    def seconds(n):
+        d = token_counts.Document("some words of a long text " * n, counter)
+        t = time.perf_counter()
+        for k in range(n):
+            at = 26 * (n - 1 - k)
+            d.edit(at, at + 4, "other")
+        assert d.text == "other words of a long text " * n
+        assert d.tree.tokens == len(counter.encoding.encode_ordinary(d.text))
+        return time.perf_counter() - t
+
+    seconds(100)
+    assert seconds(16_000) < 24 * seconds(2_000)
+
+
+def test_growing_at_one_place_splits_leaves(counter):
+    d = token_counts.Document("begin end", counter)
+    for _ in range(3000):
+        d.edit(5, 5, " more words")
+    assert d.tree.tokens == len(counter.encoding.encode_ordinary(d.text))
+    assert d.leaves > 20 and d.reencoded < 3000 * 16 * token_counts.LEAF
+    d.edit(0, len(d.text), "")
+    d.edit(0, 0, "anew")
+    assert d.text == "anew" and d.tree.tokens == len(counter.encoding.encode_ordinary("anew"))
+
+
+def test_edits_in_long_blanks(counter):
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        d = token_counts.Document("ab" + " " * 300 + "c" + "\n" * 200 + "x" * 400, counter)
+        for _ in range(4):
+            a = int(rng.integers(0, len(d.text) + 1))
+            d.edit(a, min(len(d.text), a + int(rng.integers(0, 150))), ["", " ", "y", "  z  "][rng.integers(0, 4)])
+        assert d.tree.tokens == len(counter.encoding.encode_ordinary(d.text))
