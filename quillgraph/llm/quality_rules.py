@@ -55,9 +55,11 @@ class Regression:
         w = s.per_words(self.words[word_bins(s)]) / np.maximum(s.words, 1)
         if len(s.buf) < 4:
             return w + self.bias
-        # a gram counts for the text in which it begins; grams over the end of a text count too
+        # grams that reach into the next text count for neither: a score is a function of its text alone
         values = np.zeros(len(s.buf), np.float32)
         values[:-3] = self.chars[char_bins(s.buf)]
+        for k in (1, 2, 3):
+            values[np.maximum(s.begins[1:] - k, 0)] = 0
         size = np.diff(s.begins)
         return w + np.add.reduceat(values, s.begins[:-1], dtype=np.float64) / size + self.bias
 
@@ -155,7 +157,9 @@ def _judge(batches: Iterator[pa.RecordBatch], model: Regression) -> Iterator[pa.
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Base counts, base verdict, calibrated probability and final verdict of every document.
 
-    Null and empty texts have no words and fail. Repeated rows give repeated rows.
+    Null and empty texts have no words and fail. Repeated rows give repeated rows. A null doc_id stays
+    null. Without labels of both classes the base rules alone decide. The probability depends on the
+    text alone, whatever stands beside it in a batch.
     """
     model = train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
