@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dirs: list[str] = []
+SETTING = "spark.checkpoint.dir"
+#: Scratch folders by application; each is removed when its driver ends.
+_roots: dict[tuple[str, str | None], str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    base = spark.conf.get(SETTING, None)
+    key = context.applicationId, base
+    if key not in _roots:
+        if not base:
+            if not re.match(r"local(\[|$)", context.master):
+                # local folders would be written and read by each executor on its own
+                raise RuntimeError(f"set {SETTING} to a folder that the driver and all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='quillgraph-')}"
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quillgraph-{context.applicationId}")
+        fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots[key] = str(path)
+    return _roots[key]
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder all executors share (``spark.checkpoint.dir``).
+    """A new path in the folder all executors share (``spark.checkpoint.dir``), removed when the driver ends.
 
-    Only where that setting is absent, as in local tests, is a temporary folder used.
+    Only where that setting is absent and everything runs in one process (``local[N]``) is a temporary
+    folder used; on a cluster its absence is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quillgraph-")
-        if not _own_dirs:
-            atexit.register(lambda: [shutil.rmtree(d, ignore_errors=True) for d in _own_dirs])
-        _own_dirs.append(base)
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
