@@ -61,3 +61,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written to the shared folder with a unique number per row, and that column's name.
+
+    Numbers that are worked out anew in each scan move when executors come and go, since files are
+    packed into tasks by the number of cores; here they are read back as they were written.
+    """
+    row = fresh(docs, "_row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id())), row

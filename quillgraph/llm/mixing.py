@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WS, fresh, materialize, text_or_empty
+from .common import WS, fresh, materialize, numbered, text_or_empty
 
 #: No source may supply, and no document may appear in the mix, more often than this.
 MAX_EPOCHS = 3
-#: Buckets of the shuffled order per source, and of virtual time. Each bucket is one window group:
-#: at 10^10 rows of one source a bucket has some 150,000.
-ORDER_BUCKETS = 65536
-TIME_BUCKETS = 65536
+#: Buckets of the shuffled order per source, and how many of them make a group of the level above.
+#: Each bucket is one window group: at 10^10 rows of one source a bucket has some 150,000.
+ORDER_BUCKETS, GROUP = 65536, 256
+#: Cells into which a range is cut when the end of the mix is narrowed down, and rows that are sorted in the end.
+CELLS, EDGE_ROWS = 1024, 200_000
+#: Ranges into which the sources are dealt to be numbered.
+RANGES = 64
 
 
 def n_words(column: str = "text") -> Column:
@@ -30,33 +33,39 @@ def n_words(column: str = "text") -> Column:
     return F.when(text.rlike(f"[^{WS}]"), F.length(marks)).otherwise(0).cast("long")
 
 
+def _prefix(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """Exclusive running sums of columns in a global order: ``df`` is dealt to ranges, summed inside each, and
+    the ranges' own totals (RANGES rows) are summed up and added."""
+    part = "_range"
+    dealt = materialize(df.repartitionByRange(RANGES, *order).withColumn(part, F.spark_partition_id()))
+    inside = W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(part).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    starts = totals.select(part, *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    local = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()])
+    return local.join(starts, part).select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """Target words of each source, from (source, source_size).
 
     Sources by code point, null last, weigh 1, 2, 3, repeating, and share all words; a target stops
     at three times the source's size and the excess goes to the others by weight. This is water
     filling: sources in order of cap/weight are full until the level no longer reaches their cap.
-    One row a source, so the unpartitioned windows sort as many rows as there are sources.
+    However many sources there are, they are numbered and summed range by range.
     """
-    ranked = sizes.select(
-        "source",
-        F.col("source_size").cast("double").alias("s"),
-        ((F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1).cast("double").alias("w"),
-    ).withColumn("cap", F.col("s") * MAX_EPOCHS)
-    order = W.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    onward = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    everything = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    levels = ranked.select(
-        "*",
-        ((F.sum("s").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward)).alias("level"),
-    )
+    rows = sizes.select("source", F.col("source_size").cast("double").alias("s"), F.lit(1).cast("long").alias("one"))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    ranked = _prefix(rows, by_name, rank="one").select("source", "s", (F.col("rank") % 3 + 1).cast("double").alias("w"), (F.col("s") * MAX_EPOCHS).alias("cap"))
+    summed = _prefix(ranked, [F.col("cap") / F.col("w"), *by_name], cap_before="cap", w_before="w")
+    whole = ranked.agg(F.sum("s").alias("all_s"), F.sum("w").alias("all_w"))
+    levels = materialize(summed.crossJoin(F.broadcast(whole)).select(
+        "source", "s", "w", "cap", ((F.col("all_s") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before"))).alias("level")
+    ))
     full = F.col("cap") <= F.col("w") * F.col("level")
-    level = F.max(F.when(~full, F.col("level"))).over(everything)
-    return levels.select(
-        "source",
-        F.col("s").cast("long").alias("source_size"),
-        F.when(full, F.col("cap")).otherwise(F.col("w") * level).alias("target"),
+    top = levels.agg(F.max(F.when(~full, F.col("level"))).alias("top"))
+    return levels.crossJoin(F.broadcast(top)).select(
+        "source", F.col("s").cast("long").alias("source_size"), F.when(full, F.col("cap")).otherwise(F.col("w") * F.col("top")).alias("target")
     )
 
 
@@ -65,40 +74,42 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     ``epochs`` is how often the mix takes the document, ``taken`` the words that makes. Null or
     blank texts have size 0 and are never taken; a table without words has target 0 throughout;
-    repeated rows queue one behind the other. ``row`` numbers the rows of ``docs``. The order is a
+    repeated rows queue one behind the other; an empty table gives an empty one. ``row`` is the column of
+    that name in ``docs`` if a written number is handed in, or else made and written here. The order is a
     hash of seed and doc_id, so reruns agree.
     """
-    spark = docs.sparkSession
+    row = F.col("row") if dict(docs.dtypes).get("row") == "bigint" else F.monotonically_increasing_id()
     base = materialize(
         docs.select(
             F.col("doc_id"),
             F.col("source"),
-            F.monotonically_increasing_id().alias("row"),
+            row.alias("row"),
             n_words().alias("size"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
         ).withColumn("b", (F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * ORDER_BUCKETS / 65536).cast("int"))
     )
-    cells = base.groupBy("source", "b").agg(F.sum("size").alias("cell"))
-    sizes = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
-    goal = targets(sizes)
-    starts = cells.select(
-        "source", "b",
-        (F.sum("cell").over(W.partitionBy("source").orderBy("b")) - F.col("cell")).alias("cell_start"),
-    )
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    cellmeta = starts.alias("c").join(goal.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.source", "b", "cell_start", "source_size", "target")
-    joined = base.alias("d").join(
-        cellmeta.alias("m"), (F.col("d.b") == F.col("m.b")) & F.col("d.source").eqNullSafe(F.col("m.source"))
-    ).select("d.doc_id", "d.source", "d.row", "d.size", "d.h", "d.b", "cell_start", "source_size", "target")
-    within = W.partitionBy("source", "b").orderBy("h", "doc_id", "size", "row")
+    cells = materialize(base.groupBy("source", "b").agg(F.sum("size").alias("cell")).withColumn("g", F.floor(F.col("b") / GROUP).cast("int")))
+    groups = cells.groupBy("source", "g").agg(F.sum("cell").alias("n"))
+    sizes = groups.groupBy("source").agg(F.sum("n").alias("source_size"))
+    # words before a bucket: those of the groups before its own, and those before it in its group
+    above = groups.select("source", "g", (F.sum("n").over(W.partitionBy("source").orderBy("g")) - F.col("n")).alias("above"))
+    within = cells.select("source", "g", "b", (F.sum("cell").over(W.partitionBy("source", "g").orderBy("b")) - F.col("cell")).alias("inside"))
+    same = lambda a, b, *more: [F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")), *[F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in more]]
+    meta = above.alias("a").join(targets(sizes).alias("t"), same("a", "t")).select("a.*", "source_size", "target")
+    starts = within.alias("c").join(meta.alias("m"), same("c", "m", "g")).select(
+        "c.source", "c.b", (F.col("inside") + F.col("above")).alias("cell_start"), "source_size", "target"
+    )
+    joined = base.alias("d").join(starts.alias("m"), same("d", "m", "b")).select(
+        "d.doc_id", "d.source", "d.row", "d.size", "d.h", "d.b", "cell_start", "source_size", "target"
+    )
+    queue = W.partitionBy("source", "b").orderBy("h", "doc_id", "size", "row")
     placed = materialize(joined.select(
         "doc_id", "source", "row", "size", "h", "source_size", "target",
-        (F.col("cell_start") + F.sum("size").over(within)).alias("finish"),
+        (F.col("cell_start") + F.sum("size").over(queue)).alias("finish"),
     ))
     cut = _cut(placed)
-    mine = _key
     taken = sum(
-        (F.when((F.col("size") > 0) & (F.col("target") > 0) & (mine(e) <= cut), 1).otherwise(0) for e in range(MAX_EPOCHS)),
+        (F.when((F.col("size") > 0) & (F.col("target") > 0) & (_key(e) <= cut), 1).otherwise(0) for e in range(MAX_EPOCHS)),
         F.lit(0),
     )
     return placed.withColumn("epochs", taken.cast("int")).select(
@@ -118,55 +129,70 @@ def _key(epoch: int) -> Column:
 def _cut(placed: DataFrame) -> Column:
     """The last key that fits the budget, as a literal: one row reaches the driver.
 
-    Words are summed by time bucket (partial sums map-side), the bucket in which the running total
-    passes the budget is found, and only that bucket's copies are sorted.
+    The copy at which the running total passes the budget is closed in on: words are summed by cells of
+    the finish time, then of the cell in which the total passes, and so on; copies of one finish time by
+    the digits of their hash; those of one hash by row. Each pass is a partial sum into CELLS rows; only
+    the last EDGE_ROWS copies, if that many, are sorted.
     """
     queued = placed.filter((F.col("size") > 0) & (F.col("target") > 0))
-    times = F.array(*[_key(e) for e in range(MAX_EPOCHS)])
-    copies = queued.select("size", F.explode(times).alias("k")).withColumn(
-        "t", F.least(F.floor(F.col("k.v") * (TIME_BUCKETS // 4)), F.lit(TIME_BUCKETS * 16)).cast("long")
-    )
-    per = copies.groupBy("t").agg(F.sum("size").alias("n"))
-    run = F.sum("n").over(W.orderBy("t"))
-    budget = placed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    edge = per.select("t", "n", run.alias("upto")).filter(F.col("upto") >= F.lit(budget)).orderBy("t").limit(1).first()
-    nothing = F.struct(F.lit(float("-inf")).alias("v"), F.lit("").alias("h"), F.lit(-1).cast("long").alias("r"))
-    if edge is None:
-        return nothing
-    room = budget - (edge["upto"] - edge["n"])
-    inside = copies.filter(F.col("t") == F.lit(edge["t"]))
-    last = (
-        inside.select("k", F.sum("size").over(W.orderBy("k")).alias("upto"))
-        .filter(F.col("upto") <= F.lit(room))
-        .agg(F.max("k").alias("k"))
-        .first()["k"]
-    )
+    copies = queued.select("size", F.explode(F.array(*[_key(e) for e in range(MAX_EPOCHS)])).alias("k")).select("size", "k", "k.*")
+    budget = room = placed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    inside, digits = copies, 0
+    while True:
+        low = inside.agg(*[f(c).alias(f"{n}_{c}") for n, f in (("least", F.min), ("most", F.max)) for c in ("v", "h", "r")], F.count("*").alias("n")).first()
+        if low["n"] <= EDGE_ROWS or not budget:
+            break
+        if low["least_v"] < low["most_v"]:
+            cell = _scaled("v", low["least_v"], low["most_v"])
+        elif low["least_h"] < low["most_h"] and digits < 32:
+            digits += 2
+            cell = F.conv(F.substring("h", digits - 1, 2), 16, 10).cast("long")
+        else:
+            cell = _scaled("r", low["least_r"], low["most_r"])
+        sums = inside.groupBy(cell.alias("cell")).agg(F.sum("size").alias("n"))
+        run = sums.select("cell", "n", F.sum("n").over(W.orderBy("cell")).alias("upto"))
+        edge = run.filter(F.col("upto") > F.lit(room)).orderBy("cell").limit(1).first()
+        if edge is None:  # all that is left fits
+            break
+        room -= edge["upto"] - edge["n"]
+        inside = inside.filter(cell == F.lit(edge["cell"]))
+    summed = inside.select("k", F.sum("size").over(W.orderBy("k")).alias("upto")) if low["n"] <= EDGE_ROWS else inside.select("k", F.lit(0).alias("upto"))
+    last = summed.filter(F.col("upto") <= F.lit(room)).agg(F.max("k").alias("k")).first()["k"]
     if last is None:
-        below = per.filter(F.col("t") < F.lit(edge["t"])).agg(F.max("t").alias("t")).first()["t"]
-        if below is None:
-            return nothing
-        last = copies.filter(F.col("t") == F.lit(below)).agg(F.max("k").alias("k")).first()["k"]
-    return F.struct(F.lit(last["v"]).alias("v"), F.lit(last["h"]).alias("h"), F.lit(last["r"]).cast("long").alias("r"))
+        # none of these fits: the last key before them
+        first = inside.agg(F.min("k").alias("k")).first()["k"]
+        last = copies.filter(F.col("k") < _literal(first)).agg(F.max("k").alias("k")).first()["k"] if first is not None else None
+    return _literal(last) if last is not None else F.struct(F.lit(float("-inf")).alias("v"), F.lit("").alias("h"), F.lit(-1).cast("long").alias("r"))
+
+
+def _scaled(column: str, least, most) -> Column:
+    """Number of the cell of a range that a value lies in, from 0 to CELLS."""
+    return F.floor((F.col(column) - F.lit(least)).cast("double") / F.lit(float(most - least) or 1.0) * CELLS).cast("long")
+
+
+def _literal(key) -> Column:
+    return F.struct(F.lit(key["v"]).alias("v"), F.lit(key["h"]).alias("h"), F.lit(key["r"]).cast("long").alias("r"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``.
 
-    Null and blank texts have no words to take and are left out.
+    Null and blank texts have no words to take and are left out; see :func:`mix` for ties and repeated rows.
     """
-    row, n = fresh(docs, "_row"), fresh(docs, "_epochs")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    plan = mix(docs, seed).filter("epochs > 0").select(F.col("row").alias(row), F.col("epochs").alias(n))
-    copy = fresh(docs, "_copy")
+    rows, row = numbered(docs)
+    n, copy = fresh(docs, "_epochs"), fresh(docs, "_copy")
+    plan = mix(rows.select(F.col(row).alias("row"), "doc_id", "source", "text"), seed).filter("epochs > 0")
     return (
-        keyed.join(plan, row)
+        rows.join(plan.select(F.col("row").alias(row), F.col("epochs").alias(n)), row)
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
         .select(*docs.columns)
     )
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken of every document; see :func:`mix` for nulls, empty texts,
+    ties, repeated rows and empty tables. Extra columns are not read."""
+    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

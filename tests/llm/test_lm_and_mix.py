@@ -126,3 +126,33 @@ def test_targets_fill_like_water(spark):
     left = 1540 - 30 - 90
     assert got["a"] == 30 and got["c"] == 90
     assert got["b"] == pytest.approx(left * 2 / 3) and got[None] == pytest.approx(left / 3)
+
+
+def test_mix_comes_near_each_target(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    per = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), most=("size", "max"), target=("target", "max"))
+    assert len(per) > 2 and (abs(per.taken - per.target) <= per.most + 1).all()
+
+
+def test_mix_of_a_hundred_thousand_sources(spark, monkeypatch):
+    """One document a source: all of them finish at the same few times, and no window holds them all."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 500)
+    n = 100_000
+    docs = spark.range(n).select("id", mixing.F.col("id").alias("doc_id"), mixing.F.concat(mixing.F.lit("s"), "id").alias("source"), mixing.F.lit("a b c").alias("text"))
+    got = mixing.op3(docs).toPandas()
+    assert len(got) == n and set(got["taken"] % 3) == {0}
+    assert got.taken.sum() == 3 * n and got.taken.max() <= 9
+    assert np.isclose(got.target.sum(), 3 * n)
+    order = sorted(f"s{i}" for i in range(n))
+    want = {s: (i % 3 + 1) * 1.5 for i, s in enumerate(order)}
+    assert all(np.isclose(t, want[f"s{i}"]) for i, t in zip(got.doc_id, got.target, strict=True))
+
+
+def test_narrowing_gives_the_cut_of_a_full_sort(spark, docs, monkeypatch):
+    plain = sorted(map(str, mixing.op3(docs).collect()))
+    twice = docs.unionByName(docs).unionByName(docs)
+    whole = sorted(map(str, mixing.op3(twice).collect()))
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 3)
+    monkeypatch.setattr(mixing, "CELLS", 4)
+    assert sorted(map(str, mixing.op3(docs).collect())) == plain
+    assert sorted(map(str, mixing.op3(twice).collect())) == whole
