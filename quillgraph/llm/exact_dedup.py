@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, fresh, materialize, text_or_empty
+from .common import WS, materialize, numbered, text_or_empty
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 256
@@ -24,28 +24,28 @@ def _full_hash(column: str = "text") -> Column:
     return F.sha2(normalised(column).cast("binary"), 256)
 
 
-def refine(docs: DataFrame, digest: bool) -> DataFrame:
-    """One slim row per row of ``docs``: row, doc_id, keep_id, group_size, kept, full_hash.
+def refine(rows: DataFrame, digest: bool) -> DataFrame:
+    """One slim row per row of ``rows`` (row, doc_id, text): row, doc_id, keep_id, group_size, kept, full_hash.
 
-    ``row`` is monotonically_increasing_id() over ``docs`` and needs a re-readable input such as
-    Parquet. Of equal texts the row with most code points stays, then the smallest doc_id (null
-    last), then the first row. All empty and null texts are equal to one another.
+    Of equal texts the row with most code points stays, then the smallest doc_id (null last), then the
+    first row. All empty and null texts are equal to one another. Repeated rows are equal texts. An
+    empty table gives an empty one.
 
     ``digest``: the caller wants the full hash of every row, singletons too, so the one scan takes
-    it along. Otherwise the full content is hashed in a second scan, for surviving groups only.
+    it along; ``row`` may then be any number made in that scan. Otherwise the full content is hashed in
+    a second scan, for surviving groups only, and ``rows`` must be a written table (:func:`common.numbered`).
     Groups are only ever counted and reduced by partial aggregates; joins back go by the group's
     key, which AQE splits when one group is hot.
     """
     norm = normalised()
     columns = [
-        F.monotonically_increasing_id().alias("row"),
+        F.col("row"),
         F.col("doc_id"),
         F.length(text_or_empty()).alias("code_points"),
         F.length(norm).alias("len"),
         F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix"),
     ]
-    slim = docs.select(*columns, *([_full_hash().alias("full_hash")] if digest else []))
-    slim = materialize(slim)
+    slim = materialize(rows.select(*columns, *([_full_hash().alias("full_hash")] if digest else [])))
     by_len = slim.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1").select("len")
     by_prefix = (
         slim.join(by_len, "len", "left_semi").groupBy("len", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("len", "prefix")
@@ -53,9 +53,8 @@ def refine(docs: DataFrame, digest: bool) -> DataFrame:
     survivors = slim.join(by_prefix, ["len", "prefix"], "left_semi")
     if not digest:
         # the second scan: full content of the surviving rows; AQE broadcasts their ids if few
-        content = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text"))
         wanted = survivors.select("row")
-        survivors = survivors.join(content.join(wanted, "row", "left_semi").select("row", _full_hash().alias("full_hash")), "row")
+        survivors = survivors.join(rows.select("row", "text").join(wanted, "row", "left_semi").select("row", _full_hash().alias("full_hash")), "row")
         survivors = materialize(survivors)
     best = F.min(F.struct((-F.col("code_points")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row").alias("r")))
     groups = survivors.groupBy("full_hash").agg(best.alias("b"), F.count("*").alias("group_size"))
@@ -73,14 +72,22 @@ def refine(docs: DataFrame, digest: bool) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    row = fresh(docs, "_row")
-    dropped = refine(docs, digest=False).filter("NOT kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns; see
+    :func:`refine` for nulls, empty texts, ties and repeated rows."""
+    rows, row = numbered(docs)
+    plan = refine(rows.select(F.col(row).alias("row"), "doc_id", "text"), digest=False)
+    return rows.join(plan.filter("NOT kept").select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return refine(docs, digest=True).select(
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document.
+
+    Null, empty and blank texts are one group; of equal texts the one with most code points stays, then
+    the smallest doc_id (null last), then the first row; repeated rows give repeated rows. The numbers
+    that tell rows apart are made in the one scan and written with the rest.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return refine(rows, digest=True).select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("full_hash").alias("text_sha256")
     )
 
