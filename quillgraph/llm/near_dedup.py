@@ -10,7 +10,6 @@ Bands of registers give candidates, and the multisets themselves decide.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, extend_components
 from . import kernels as K
-from .common import fresh, materialize, sliced, text_bytes
+from .common import materialize, numbered, sliced, text_bytes
 from .features import Slice
 
 SHINGLE = 5
@@ -29,6 +28,8 @@ BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 #: Similarity is at least NUM / DEN.
 NUM, DEN = 4, 5
+#: Texts that one copy of a hub's text is compared with, about.
+PER_HUB = 500
 
 
 def shingles(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,39 +136,43 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose multisets overlap enough."""
-    memo: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
-    held = 0
-
-    def multiset(node: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal held
-        if node not in memo:
-            _, g, c = shingles(Slice([text]))
-            memo[node] = g, c
-            held += g.nbytes * 2
-            while held > 32 << 20 and len(memo) > 2:
-                held -= memo.popitem(last=False)[1][0].nbytes * 2
-        else:
-            memo.move_to_end(node)
-        return memo[node]
-
-    for batch in sliced(batches, "ta"):
+    """Pairs whose multisets overlap enough, from rows sorted by (hub, salt, kind): the hub's own text
+    comes first, then those to hold against it, so one multiset at a time is kept."""
+    hub, hub_g, hub_c, hub_n = None, np.zeros(0, K.U), np.zeros(0, np.int64), 0
+    for batch in sliced(batches, "text"):
+        doc, g, count = shingles(Slice(batch.column("text").to_pylist()))
+        cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
         a, b = [], []
-        for i, j, ta, tb in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "ta", "tb")), strict=True):
-            (ga, ca), (gb, cb) = multiset(i, ta), multiset(j, tb)
-            _, x, y = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
-            both = int(np.minimum(ca[x], cb[y]).sum())
-            if DEN * both >= NUM * (int(ca.sum()) + int(cb.sum()) - both):
-                a.append(i)
-                b.append(j)
+        for i, (h, kind, node) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("hub", "kind", "node")), strict=True)):
+            own_g, own_c = g[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]
+            if kind == 0:
+                hub, hub_g, hub_c, hub_n = h, own_g.copy(), own_c.copy(), int(own_c.sum())
+                continue
+            if h != hub or not hub_n:
+                continue
+            at = np.minimum(np.searchsorted(hub_g, own_g), len(hub_g) - 1)
+            same = hub_g[at] == own_g
+            both = int(np.minimum(hub_c[at[same]], own_c[same]).sum())
+            if DEN * both >= NUM * (hub_n + int(own_c.sum()) - both):
+                a.append(min(hub, node))
+                b.append(max(hub, node))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    return materialize(joined.mapInArrow(_overlap, "a long, b long"))
+    """The pairs (a, b) at similarity 0.8 and above.
+
+    Pairs are gathered by their first node, the hub, so its text travels once for up to PER_HUB others;
+    a hub with more of them is dealt to several tasks, a copy of its text to each.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("salts"))
+    dealt = pairs.join(salts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("node"))
+    others = dealt.join(texts, "node").select("hub", "salt", F.lit(1).alias("kind"), "node", "text")
+    own = salts.withColumnRenamed("a", "node").join(texts, "node").select(
+        F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "text"
+    )
+    side = own.unionByName(others).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+    return materialize(side.mapInArrow(_overlap, "a long, b long"))
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,62 +212,69 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
-def _pair(x, nx, y, ny):
-    """Ordered pair if the sizes allow the similarity at all, else null."""
-    fits = (F.lit(DEN) * F.least(nx, ny) >= F.lit(NUM) * F.greatest(nx, ny)) & (x != y)
-    return F.when(fits, F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+def classes(rows: DataFrame) -> DataFrame:
+    """One row per row of ``rows`` (row, doc_id, text): row, doc_id, class_id, class_size, kept.
 
-
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, class_id, class_size, kept.
-
-    ``docs`` must be re-readable (Parquet): ``row`` is monotonically_increasing_id(). A class is a
-    connected component of the pairs at similarity 0.8 and above; class_id is its smallest doc_id
+    ``rows`` must be a written table whose ``row`` is unique, as :func:`common.numbered` gives. A class
+    is a connected component of the pairs at similarity 0.8 and above; class_id is its smallest doc_id
     (null last), and the first row with that id is kept. Texts with equal word sequences are one
     node from the start, so copies never meet as pairs; all null, empty and blank texts are one class.
+    A null doc_id is kept only in a class of null ids. An empty table gives an empty one.
 
     Candidates: every bucket compares its members with one leader, drawn anew per bucket, so that a
     group is linked through many leaders. Documents of buckets whose members are then still in different
     classes are compared through a prefix filter, which loses no pair.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    signed = materialize(rows.mapInArrow(_sign, "row long, doc_id long, s1 long, s2 long, n long, bands array<long>"))
+    texts = rows.select("row", text_bytes().alias("text"))
+    ids = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    signed = materialize(ids.mapInArrow(_sign, "row long, doc_id long, s1 long, s2 long, n long, bands array<long>"))
     reps = materialize(signed.groupBy("s1", "s2").agg(F.min("row").alias("node")))
     bands = signed.join(reps.select(F.col("node").alias("row")), "row", "left_semi")
-    members = bands.select(F.col("row").alias("node"), "n", F.explode("bands").alias("key"))
-    draw = F.min(F.struct(F.xxhash64("node", "key").alias("z"), F.col("node"), F.col("n")))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), draw.alias("lead")).filter("size > 1")
-    met = materialize(members.join(buckets, "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
+    members = bands.select(F.col("row").alias("node"), F.explode("bands").alias("key"))
+    # a leader is drawn by the least of node xor hash(key): one long, from which the node comes back
+    turn = F.xxhash64("key")
+    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("node").bitwiseXOR(turn)).alias("z")).filter("size > 1")
+    met = materialize(members.join(buckets, "key").select("key", "node", F.col("z").bitwiseXOR(turn).alias("lead")))
     # only documents that meet another are read again
-    mark = met.select(F.col("node").alias("row")).distinct()
-    texts = materialize(rows.select("row", "text").join(mark, "row", "left_semi").withColumnRenamed("row", "node"))
-
-    pairs = met.select(_pair(F.col("node"), F.col("n"), F.col("lead"), F.col("lead_n")).alias("p")).filter("p IS NOT NULL").select("p.*").distinct()
-    tested = materialize(pairs)
+    mark = materialize(met.select(F.col("node").alias("row")).distinct())
+    sizes = materialize(signed.join(mark, "row", "left_semi").select(F.col("row").alias("node"), "n"))
+    texts = materialize(texts.join(mark, "row", "left_semi").withColumnRenamed("row", "node"))
+
+    pairs = met.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    at = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    # sizes too far apart rule the similarity out
+    fits = F.lit(DEN) * F.least("na", "nb") >= F.lit(NUM) * F.greatest("na", "nb")
+    tested = materialize(pairs.join(at("a"), "a").join(at("b"), "b").filter(fits).select("a", "b"))
     labels = connected_components(_links(tested, texts), "a", "b")
 
-    named = met.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    named = met.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     # all that is left: documents of unlike classes that share a bucket
-    left = materialize(named.join(mixed, "key", "left_semi").select("node", "n", "label").distinct())
+    left = materialize(named.join(mixed, "key", "left_semi").select("node", "label").distinct().join(sizes, "node"))
     more = materialize(_prefix_pairs(left, texts).join(tested, ["a", "b"], "left_anti"))
     labels = extend_components(labels, _links(more, texts), "a", "b")
 
     node_of = signed.select("row", "doc_id", "s1", "s2").join(reps, ["s1", "s2"])
-    placed = node_of.join(labels, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("class"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row").alias("r")))
-    heads = placed.groupBy("class").agg(first.alias("head"), F.count("*").alias("class_size"))
-    return placed.join(heads, "class").select(
-        "row", "doc_id", F.col("head.i").alias("class_id"), "class_size", (F.col("row") == F.col("head.r")).alias("kept")
-    )
+    placed = materialize(node_of.join(labels, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("class")))
+    # least id, then least row with it: plain longs, so both are summed up before they travel
+    heads = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    first = (F.col("doc_id") == F.col("class_id")) | (F.col("doc_id").isNull() & F.col("class_id").isNull())
+    headed = placed.join(heads, "class")
+    head = headed.filter(first).groupBy("class").agg(F.min("row").alias("head"))
+    return headed.join(head, "class").select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("head")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, one of each class, with all their columns."""
-    row = fresh(docs, "_row")
-    dropped = classes(docs).filter("NOT kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are kept, one of each class, with all their columns; see :func:`classes`
+    for nulls, empty texts, ties and repeated rows."""
+    rows, row = numbered(docs)
+    plan = classes(rows.select(F.col(row).alias("row"), "doc_id", "text"))
+    return rows.join(plan.filter("NOT kept").select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    return classes(docs).select("doc_id", "class_id", "class_size", "kept")
+    """doc_id, class_id, class_size, kept of every document. Null, empty and blank texts are one class;
+    a null doc_id is greater than every other; of rows with the least id the first is kept; repeated rows
+    give repeated rows. Extra columns are not read."""
+    rows, row = numbered(docs.select("doc_id", "text"))
+    return classes(rows.withColumnRenamed(row, "row")).select("doc_id", "class_id", "class_size", "kept")

@@ -170,3 +170,45 @@ def test_word_kernel_agrees_with_split():
     buf, _ = K.join(long * 2)
     h = K.word_hashes(buf, *K.spans(buf))
     assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
+
+
+def test_rows_keep_their_identity_when_files_are_packed_anew(spark, tmp_path):
+    """Executors that come or go change how files are packed into tasks; the rows kept must not change."""
+    from quillgraph.llm import mixing
+
+    path = str(tmp_path / "many")
+    data = [(i % 97, f"text number {i % 211} of some length " * (1 + i % 5), "abc"[i % 3]) for i in range(600)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").repartition(24).write.parquet(path)
+    key = "spark.sql.leafNodeDefaultParallelism"
+    for f in (exact_dedup.deduplicated, near_dedup.deduplicated, mixing.mixed_documents):
+        got = []
+        try:
+            for before, after in ((24, 24), (24, 4)):
+                spark.conf.set(key, before)
+                out = f(spark.read.parquet(path))
+                spark.conf.set(key, after)
+                got.append(sorted(map(str, out.collect())))
+        finally:
+            spark.conf.unset(key)
+        assert got[0] == got[1]
+        if f is not mixing.mixed_documents:
+            assert len(got[1]) == len({x for x in got[1]})
+
+
+def test_keyless_and_empty_tables(spark, empty):
+    keyless = spark.createDataFrame([(None, "a b c d e f", "x"), (None, "a b c d e f", "x"), (None, None, None)], "doc_id long, text string, source string")
+    assert canon(near_dedup.op2(keyless).collect()) == near_brute(rows(keyless))
+    assert near_dedup.deduplicated(keyless).count() == 2 and exact_dedup.deduplicated(keyless).count() == 2
+    assert near_dedup.deduplicated(empty).collect() == []
+
+
+def test_a_hub_with_many_partners_is_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PER_HUB", 3)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(100)]
+    data = []
+    for i in range(60):
+        text = list(base)
+        text[int(rng.integers(0, 100))] = f"x{i}"
+        data.append((i, " ".join(text)))
+    assert canon(near_dedup.op2(spark.createDataFrame(data, "doc_id long, text string")).collect()) == near_brute(data)
