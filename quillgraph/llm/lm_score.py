@@ -31,7 +31,9 @@ HEAD, CLASS_SIZE = 4096, 64
 TAIL_INPUTS = 256
 HIDDEN, EMBED, WINDOW, LANES = 32, 32, 16, 256
 #: Each of ROUNDS rounds trains on its own part of the training documents; together they cover all.
-ROUNDS, RATE, TRAIN_LANES = 3, 0.1, 16
+ROUNDS, RATE, RATE_LANES, RATE_POWER = 4, 0.1, 16, 0.5
+#: Least and most lanes of a training run, and the windows that it should have at least.
+TRAIN_LANES, STEPS = (4, 256), 256
 CHUNK_BYTES, BUCKET_ENTRIES = 8 << 20, 1_000_000
 MODULUS, HELD_OUT = 7, 2
 #: Training texts that a task gathers before it trains on them, about.
@@ -189,7 +191,8 @@ class Network:
         mass = np.append(per.sum(1), max(v.tokens - v.counts.sum(), 1.0))
         with np.errstate(divide="ignore"):
             # words that pad out the last class can never be drawn
-            bo = np.where(padded > 0, np.log(np.maximum(padded, 1e-9)), -1e9).astype(np.float32)
+            share = per / np.maximum(per.sum(1, keepdims=True), 1e-9)
+            bo = np.where(per > 0, np.log(np.maximum(share, 1e-30)), -1e9).astype(np.float32)
         return cls({
             "embed": f(0.1, v.size + TAIL_INPUTS + 1, EMBED), "wx": f(EMBED**-0.5, EMBED, 3 * HIDDEN), "wh": f(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN),
             "bx": np.zeros(3 * HIDDEN, np.float32), "wc": f(0.01, HIDDEN, v.classes + 1), "bc": np.log(mass / mass.sum()).astype(np.float32),
@@ -286,21 +289,39 @@ def log_likelihood(net: Network, v: Vocabulary, sizes: np.ndarray, first: np.nda
 
 
 def _emit(net, hs, ys, cls, ids, v, out) -> None:
+    """log P(class) + log P(word | class) of the targets ``ys`` after the states ``hs``."""
     c = cls[ys]
-    logits = hs @ net.wc + net.bc
-    logits -= logits.max(1, keepdims=True)
-    lp = logits[np.arange(len(c)), c] - np.log(np.exp(logits).sum(1))
     order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(v.classes + 1))
-    for k in range(v.classes):
-        rows = order[cuts[k] : cuts[k + 1]]
-        if len(rows):
-            w = hs[rows] @ net.wo[k] + net.bo[k]
-            w -= w.max(1, keepdims=True)
-            lp[rows] += w[np.arange(len(rows)), ids[ys[rows]] % CLASS_SIZE] - np.log(np.exp(w).sum(1))
+    hs, ys, c = hs[order], ys[order], c[order]
+    cuts = np.searchsorted(c, np.arange(v.classes + 1))
+    n, rows = int(cuts[-1]), np.arange(len(c))
+    z = hs @ net.wc
+    z += net.bc
+    lp = z[rows, c] - _log_sum(z)
+    if n:
+        q = np.empty((n, CLASS_SIZE), np.float32)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            np.matmul(hs[cuts[k] : cuts[k + 1]], net.wo[k], out=q[cuts[k] : cuts[k + 1]])
+        q += net.bo[c[:n]]
+        lp[:n] += q[rows[:n], ids[ys[:n]] % CLASS_SIZE] - _log_sum(q)
     out[ys] = lp
 
 
+#: Logits are log shares plus bounded sums and stay far below this; the bound keeps exp finite whatever the weights.
+BOUND = np.float32(80)
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials of each row; ``z`` is bounded, then overwritten."""
+    np.exp(np.minimum(z, BOUND, out=z), out=z)
+    return np.log((z @ np.ones(z.shape[1], np.float32)).astype(np.float64) + 1e-30)
+
+
+def lanes_for(tokens: int) -> int:
+    """Lanes of a training run: as many as leave it STEPS windows, within bounds. Small runs need steps, large ones speed."""
+    return int(min(max(tokens // (WINDOW * STEPS), TRAIN_LANES[0]), TRAIN_LANES[1]))
+
+
 class Trainer:
     """AdaGrad on truncated backpropagation through windows of WINDOW steps."""
 
@@ -310,93 +331,131 @@ class Trainer:
         self.seen = 0
 
     def fit(self, sizes: np.ndarray, first: np.ndarray, tokens: np.ndarray, ids: np.ndarray) -> None:
-        v, net = self.v, self.net
-        x, y, new, total = _layout(sizes, first, v.inputs(tokens, ids), np.arange(len(tokens)), v.begin, TRAIN_LANES)
-        cls = np.where(ids >= 0, ids // CLASS_SIZE, v.classes)
+        v = self.v
+        x, y, new, total = _layout(sizes, first, v.inputs(tokens, ids), np.arange(len(tokens)), v.begin, lanes_for(len(tokens)))
+        cls = np.where(ids >= 0, ids // CLASS_SIZE, v.classes).astype(np.int32)
+        word = (ids % CLASS_SIZE).astype(np.int32)
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
+        # fewer, smoother steps may be longer
+        self.rate = np.float32(RATE * (x.shape[1] / RATE_LANES) ** RATE_POWER)
+        # the divisor is that of a full window: steps that few lanes still take move the weights little
+        scale = np.float32(1.0 / (WINDOW * x.shape[1]))
         for t in range(0, len(x), WINDOW):
             live = int(np.searchsorted(-total, -t, "left"))  # lanes that have not ended: the longest come first
-            h = self._window(x[t : t + WINDOW, :live], y[t : t + WINDOW, :live], new[t : t + WINDOW, :live], h[:live], cls, ids)
+            h = self._window(x[t : t + WINDOW, :live], y[t : t + WINDOW, :live], new[t : t + WINDOW, :live], h[:live], cls, word, scale)
         self.seen += len(tokens)
 
-    def _window(self, x, y, new, h, cls, ids):
-        net, v, H = self.net, self.v, HIDDEN
+    def _window(self, x, y, new, h, cls, word, scale):
+        net, H = self.net, HIDDEN
         T, B = x.shape
-        emb = net.embed[x]
-        gx = emb @ net.wx + net.bx
-        hs, prev, zs, rs, ns, ghn = [], [], [], [], [], []
+        # words repeat within a window: what an input adds to the gates is worked out once for each
+        inputs = x.ravel()
+        by_input = np.argsort(inputs, kind="stable")
+        s = inputs[by_input]
+        new_input = np.concatenate(([True], s[1:] != s[:-1]))
+        first = np.flatnonzero(new_input)
+        place = np.empty(T * B, np.int64)
+        place[by_input] = np.cumsum(new_input) - 1
+        distinct = s[first]
+        emb = net.embed[distinct]
+        gx = (emb @ net.wx + net.bx)[place].reshape(T, B, 3 * H)
+        prev, hs = np.empty((T, B, H), np.float32), np.empty((T, B, H), np.float32)
+        zr, ns, ghn = np.empty((T, B, 2 * H), np.float32), np.empty((T, B, H), np.float32), np.empty((T, B, H), np.float32)
+        starts = new.any(1)
         with np.errstate(over="ignore"):
             for t in range(T):
-                h = np.where(new[t][:, None], np.float32(0), h)
+                if starts[t]:
+                    h = np.where(new[t][:, None], np.float32(0), h)
+                prev[t] = h
                 gh = h @ net.wh
-                z, r = _sigmoid(gx[t, :, :H] + gh[:, :H]), _sigmoid(gx[t, :, H : 2 * H] + gh[:, H : 2 * H])
-                n = _tanh(gx[t, :, 2 * H :] + r * gh[:, 2 * H :])
-                prev.append(h)
-                h = n + z * (h - n)
-                hs.append(h)
-                zs.append(z)
-                rs.append(r)
-                ns.append(n)
-                ghn.append(gh[:, 2 * H :])
-        flat, ys = np.stack(hs).reshape(T * B, H), y.ravel()
+                zr[t] = _sigmoid(gx[t, :, : 2 * H] + gh[:, : 2 * H])
+                ghn[t] = gh[:, 2 * H :]
+                ns[t] = n = _tanh(gx[t, :, 2 * H :] + zr[t, :, H:] * ghn[t])
+                hs[t] = h = n + zr[t, :, :H] * (h - n)
+        flat, ys = hs.reshape(T * B, H), y.ravel()
         use = np.flatnonzero(ys >= 0)
         if not len(use):
             return h
-        hu, c, i = flat[use], cls[ys[use]], ids[ys[use]]
-        # the divisor is that of a full window: steps that few lanes still take move the weights little
-        scale = np.float32(1.0 / (WINDOW * TRAIN_LANES))
-        p = hu @ net.wc + net.bc
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(c)), c] -= 1
-        p *= scale
-        g = {n: np.zeros_like(getattr(net, n)) for n in ("wx", "wh", "bx")}
-        g["wc"], g["bc"] = hu.T @ p, p.sum(0)
-        dhu = p @ net.wc.T
+        # targets in order of their class, so that each class is one block of rows
+        c = cls[ys[use]]
         order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(v.classes + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            rows = order[cuts[k] : cuts[k + 1]]
-            q = hu[rows] @ net.wo[k] + net.bo[k]
-            q = np.exp(q - q.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(rows)), i[rows] % CLASS_SIZE] -= 1
-            q *= scale
-            dhu[rows] += q @ net.wo[k].T
-            self._move("wo", hu[rows].T @ q, k)
-            self._move("bo", q.sum(0), k)
+        use, c = use[order], c[order]
         dflat = np.zeros_like(flat)
-        dflat[use] = dhu
-        dhs, dh = dflat.reshape(T, B, H), np.zeros((B, H), np.float32)
-        dgx = np.zeros_like(gx)
-        for t in range(T - 1, -1, -1):
-            dh = dh + dhs[t]
-            z, r, n, hp = zs[t], rs[t], ns[t], prev[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (hp - n) * z * (1 - z)
-            dr = dn * ghn[t] * r * (1 - r)
-            dgx[t] = np.concatenate([dz, dr, dn], 1)
-            dgh = np.concatenate([dz, dr, dn * r], 1)
-            g["wh"] += hp.T @ dgh
-            dh = dh * z + dgh @ net.wh.T
-            dh[new[t]] = 0
-        d2 = dgx.reshape(T * B, 3 * H)
-        g["wx"], g["bx"] = emb.reshape(T * B, EMBED).T @ d2, d2.sum(0)
-        rows, back = np.unique(x.ravel(), return_inverse=True)
-        moved = np.zeros((len(rows), EMBED), np.float32)
-        np.add.at(moved, back, d2 @ net.wx.T)
-        self._move("embed", moved, rows)
+        dflat[use], g = self._softmax(flat[use], c, word[ys[use]], scale)
+        dgx = self._backward(dflat.reshape(T, B, H), prev, zr, ns, ghn, new, starts, g)
+        d = np.add.reduceat(dgx[by_input], first, axis=0)
+        g["wx"], g["bx"] = emb.T @ d, d.sum(0)
+        self._move("embed", d @ net.wx.T, distinct)
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
         clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         for n, d in g.items():
             self._move(n, d * clip)
         return h
 
+    def _softmax(self, hu, c, w, scale):
+        """Gradient by the hidden states of both softmax levels; moves the words' weights, returns the classes' gradients."""
+        net, v = self.net, self.v
+        rows = np.arange(len(c))
+        p = hu @ net.wc
+        p += net.bc
+        self._shares(p, scale)
+        p[rows, c] -= scale
+        g = {"wc": hu.T @ p, "bc": p.sum(0)}
+        dhu = p @ net.wc.T
+        cuts = np.searchsorted(c, np.arange(v.classes + 1))
+        n, held = int(cuts[-1]), np.flatnonzero(np.diff(cuts))
+        if n:
+            blocks = [(k, int(cuts[k]), int(cuts[k + 1])) for k in held.tolist()]
+            q = np.empty((n, CLASS_SIZE), np.float32)
+            for k, a, b in blocks:
+                np.matmul(hu[a:b], net.wo[k], out=q[a:b])
+            q += net.bo[c[:n]]
+            self._shares(q, scale)
+            q[rows[:n], w[:n]] -= scale
+            moved = np.empty((len(held), HIDDEN, CLASS_SIZE), np.float32)
+            for i, (k, a, b) in enumerate(blocks):
+                dhu[a:b] += q[a:b] @ net.wo[k].T
+                np.matmul(hu[a:b].T, q[a:b], out=moved[i])
+            self._move("wo", moved, held)
+            self._move("bo", np.add.reduceat(q, cuts[held], axis=0), held)
+        return dhu, g
+
+    @staticmethod
+    def _shares(z: np.ndarray, scale) -> None:
+        """Softmax of each row times a factor, in place."""
+        np.exp(np.minimum(z, BOUND, out=z), out=z)
+        z *= (scale / (z @ np.ones(z.shape[1], np.float32) + np.float32(1e-30)))[:, None]
+
+    def _backward(self, dhs, prev, zr, ns, ghn, new, starts, g) -> np.ndarray:
+        """Gradient by what the inputs add to the gates, through the steps of the window back to front."""
+        net, (T, B, H) = self.net, dhs.shape
+        z, r = zr[:, :, :H], zr[:, :, H:]
+        # what does not depend on the gradient that comes back from later steps
+        by_n = (1 - z) * (1 - ns * ns)
+        by_z = (prev - ns) * z * (1 - z)
+        by_r = ghn * r * (1 - r)
+        dgx, dgh = np.empty((T, B, 3 * H), np.float32), np.empty((T, B, 3 * H), np.float32)
+        back, dh = np.ascontiguousarray(net.wh.T), np.zeros((B, H), np.float32)
+        for t in range(T - 1, -1, -1):
+            dh += dhs[t]
+            dn = dgx[t, :, 2 * H :]
+            np.multiply(dh, by_n[t], out=dn)
+            np.multiply(dh, by_z[t], out=dgx[t, :, :H])
+            np.multiply(dn, by_r[t], out=dgx[t, :, H : 2 * H])
+            dgh[t, :, : 2 * H] = dgx[t, :, : 2 * H]
+            np.multiply(dn, r[t], out=dgh[t, :, 2 * H :])
+            dh *= z[t]
+            dh += dgh[t] @ back
+            if starts[t]:
+                dh[new[t]] = 0
+        g["wh"] = prev.reshape(T * B, H).T @ dgh.reshape(T * B, 3 * H)
+        return dgx.reshape(T * B, 3 * H)
+
     def _move(self, name: str, d: np.ndarray, rows=slice(None)) -> None:
         """AdaGrad step on some rows of an array."""
         acc = self.acc[name][rows] + d * d
         self.acc[name][rows] = acc
-        getattr(self.net, name)[rows] -= np.float32(RATE) * d / np.sqrt(acc)
+        getattr(self.net, name)[rows] -= self.rate * d / np.sqrt(acc)
 
 
 def _train(batches: Iterator[pa.RecordBatch], net: Network, v: Vocabulary, turn: int, rounds: int = ROUNDS) -> Iterator[pa.RecordBatch]:
