@@ -161,15 +161,11 @@ class Vocabulary:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    y = np.exp(-x)
-    y += 1
-    return np.reciprocal(y, out=y)
-
-
-def _tanh(x: np.ndarray) -> np.ndarray:
-    y = _sigmoid(x + x)
-    y += y
-    y -= 1
+    """By the hyperbolic tangent, which numpy works out several numbers at a time."""
+    y = x * np.float32(0.5)
+    np.tanh(y, out=y)
+    y *= np.float32(0.5)
+    y += np.float32(0.5)
     return y
 
 
@@ -277,7 +273,7 @@ def log_likelihood(net: Network, v: Vocabulary, sizes: np.ndarray, first: np.nda
                 h[fresh] = 0
             gx, gh = table[x[t, :live]], h @ net.wh
             zr = _sigmoid(gx[:, : 2 * H] + gh[:, : 2 * H])
-            n = _tanh(gx[:, 2 * H :] + zr[:, H:] * gh[:, 2 * H :])
+            n = np.tanh(gx[:, 2 * H :] + zr[:, H:] * gh[:, 2 * H :])
             h = n + zr[:, :H] * (h - n)
             held.append(h)
             held_y.append(y[t, :live])
@@ -370,7 +366,7 @@ class Trainer:
                 gh = h @ net.wh
                 zr[t] = _sigmoid(gx[t, :, : 2 * H] + gh[:, : 2 * H])
                 ghn[t] = gh[:, 2 * H :]
-                ns[t] = n = _tanh(gx[t, :, 2 * H :] + zr[t, :, H:] * ghn[t])
+                ns[t] = n = np.tanh(gx[t, :, 2 * H :] + zr[t, :, H:] * ghn[t])
                 hs[t] = h = n + zr[t, :, :H] * (h - n)
         flat, ys = hs.reshape(T * B, H), y.ravel()
         use = np.flatnonzero(ys >= 0)
@@ -383,9 +379,8 @@ class Trainer:
         dflat = np.zeros_like(flat)
         dflat[use], g = self._softmax(flat[use], c, word[ys[use]], scale)
         dgx = self._backward(dflat.reshape(T, B, H), prev, zr, ns, ghn, new, starts, g)
-        d = np.add.reduceat(dgx[by_input], first, axis=0)
-        g["wx"], g["bx"] = emb.T @ d, d.sum(0)
-        self._move("embed", d @ net.wx.T, distinct)
+        g["wx"], g["bx"] = emb[place].T @ dgx, np.ones(T * B, np.float32) @ dgx
+        self._move("embed", np.add.reduceat((dgx @ net.wx.T)[by_input], first, axis=0), distinct)
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
         clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         for n, d in g.items():
@@ -451,11 +446,24 @@ class Trainer:
         g["wh"] = prev.reshape(T * B, H).T @ dgh.reshape(T * B, 3 * H)
         return dgx.reshape(T * B, 3 * H)
 
-    def _move(self, name: str, d: np.ndarray, rows=slice(None)) -> None:
-        """AdaGrad step on some rows of an array."""
-        acc = self.acc[name][rows] + d * d
-        self.acc[name][rows] = acc
-        getattr(self.net, name)[rows] -= self.rate * d / np.sqrt(acc)
+    def _move(self, name: str, d: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """AdaGrad step on some rows of an array, or on all of it."""
+        a, acc = getattr(self.net, name), self.acc[name]
+        if rows is None or len(rows) == len(a):
+            step = d * d
+            acc += step
+            np.sqrt(acc, out=step)
+            np.divide(d, step, out=step)
+            step *= self.rate
+            a -= step
+            return
+        part = d * d
+        part += acc[rows]
+        acc[rows] = part
+        np.sqrt(part, out=part)
+        np.divide(d, part, out=part)
+        part *= self.rate
+        a[rows] -= part
 
 
 def _train(batches: Iterator[pa.RecordBatch], net: Network, v: Vocabulary, turn: int, rounds: int = ROUNDS) -> Iterator[pa.RecordBatch]:
