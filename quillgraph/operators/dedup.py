@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import LEGAL_SUFFIXES, cosine, identity_key, lookup, name_is_evidence, normalize_name, squash, squash_is_evidence
+from ..functions.text import identity_key, lookup, name_is_evidence, normalize_name, squash, squash_is_evidence
 from ..model import NAMESPACE_TYPE, TYPE_AUTHORITY, Graph
 from .components import connected_components
 from .edges import incident
+from .vectors import nearest
 
 #: Rules on by default; "prefix_variant" and "vector" must be asked for.
 DEFAULT_RULES = ("ext_id", "sec_former_name", "exact_name", "squashed_name", "prefix_variant_curated")
 #: Rules backed by an identifier: their clusters pass the looser type gate.
 ID_RULES = ("ext_id", "sec_former_name")
+PERSON_SIDE = ("person", "candidate")
 PREFIX_MIN, PREFIX_TAIL, VECTOR_MIN = 12, 10, 0.93
 #: Prefix variants (short, long) reviewed by hand, which merge by default.
 PREFIX_CURATED = (("palantir technologies", "palantir technologies in"), ("palantir technologies", "palantir technologies inclass"))
@@ -85,73 +87,92 @@ def prefix_pairs(entities: DataFrame) -> DataFrame:
 
 def vector_pairs(vectors: DataFrame, block: str, k: int = 8, minimum: float = VECTOR_MIN) -> DataFrame:
     """The k nearest within a block (type and name block, say) at or above a similarity, from (id, embedding, block)."""
-    a = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("va"), block)
-    b = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), block)
-    scored = a.join(b, block).filter("a <> b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= minimum)
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "b")))
-    return ranked.filter(F.col("rank") <= k)
-
-
-def types_agree(a: Column, b: Column, by_id: Column) -> Column:
-    """Type gate of a pair: by identifier only person against non-person is refused; by name persons and
-    committees match their own type only, unknown matches the rest, organization matches concept."""
-    person = (a == "person") != (b == "person")
-    known = (a != "unknown") & (b != "unknown")
+    return nearest(vectors, block, k, minimum)
+
+
+def type_conflict(a: Column, b: Column, by_id: Column, person_unknown: bool = False) -> Column:
+    """Why two types may not become one entity; null if they may.
+
+    By name: never with a person on either side, be it two persons (``person_unknown`` allows a person and
+    an unknown); else equal types, and unknown with any but pac, and organization with concept. By
+    identifier: all but a person or candidate with something known that is neither.
+    """
     one = lambda t: (a == t) | (b == t)
+    lifted = one("unknown") & (a != b) if person_unknown else F.lit(False)
     org = ((a == "organization") & (b == "concept")) | ((a == "concept") & (b == "organization"))
-    by_name = (a == b) | (~one("person") & ~(one("pac") & known) & (~known | org) & ~(one("pac") & (a != b)))
-    return F.when(by_id, ~(person & known)).otherwise(by_name)
+    named = (
+        F.when(one("person"), F.when(~lifted, "person_name")).when(a == b, F.lit(None).cast("string")).when(one("pac"), "pac_cross_type")
+        .when(~one("unknown") & ~org, "incompatible_type")
+    )
+    mismatch = a.isin(*PERSON_SIDE) != b.isin(*PERSON_SIDE)
+    return F.when(by_id, F.when((a != b) & ~one("unknown") & mismatch, "ext_id_person_mismatch")).otherwise(named)
 
 
-def gate(pairs: DataFrame, entities: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
-    """Each pair with its outcome: skip_surface, skip_publication, review_type, review_rule or accept."""
+def types_agree(a: Column, b: Column, by_id: Column, person_unknown: bool = False) -> Column:
+    return type_conflict(a, b, by_id, person_unknown).isNull()
+
+
+def gate(pairs: DataFrame, entities: DataFrame, rules=DEFAULT_RULES, person_unknown: bool = False) -> DataFrame:
+    """Each pair with its outcome (skip_surface, skip_publication, review_type, review_rule or accept) and reason."""
     cols = lambda s: [F.col("id").alias(s), F.col("surface_mode").alias(f"m{s}"), F.col("publication_state").alias(f"p{s}"), F.col("type").alias(f"t{s}")]
     rows = pairs.join(entities.select(*cols("a")), "a").join(entities.select(*cols("b")), "b")
+    conflict = type_conflict(F.col("ta"), F.col("tb"), F.col("rule").isin(*ID_RULES), person_unknown)
     outcome = (
         F.when(F.col("ma") != F.col("mb"), "skip_surface")
         .when(F.col("pa") != F.col("pb"), "skip_publication")
-        .when(~types_agree(F.col("ta"), F.col("tb"), F.col("rule").isin(*ID_RULES)), "review_type")
+        .when(conflict.isNotNull(), "review_type")
         .when(~F.col("rule").isin(*rules), "review_rule")
         .otherwise("accept")
     )
-    return rows.select("a", "b", "rule", "evidence", outcome.alias("outcome"))
+    reason = (
+        F.when(outcome == "skip_surface", "surface_mode_straddle").when(outcome == "skip_publication", "publication_state_straddle")
+        .when(outcome == "review_type", conflict).when(outcome == "review_rule", F.concat(F.lit("rule_not_enabled:"), "rule"))
+    )
+    return rows.select("a", "b", "rule", "evidence", outcome.alias("outcome"), reason.alias("reason"))
 
 
-def clusters(gated: DataFrame, entities: DataFrame) -> DataFrame:
+def clusters(gated: DataFrame, entities: DataFrame, person_unknown: bool = False) -> DataFrame:
     """id, cluster, refused: components of accepted pairs; one whose members' types conflict is refused whole.
 
-    Instead of comparing members pair by pair, the distinct types of a cluster are compared (13 at most).
+    The looser gate holds only if every link of the cluster is by identifier. Instead of comparing members
+    pair by pair, the distinct types of a cluster are compared (13 at most), and a type with itself where
+    it has two members.
     """
     accepted = gated.filter("outcome = 'accept'")
     comp = connected_components(accepted.select("a", "b"), "a", "b")
     members = comp.join(entities.select(F.col("id").alias("node"), "type"), "node")
     by_id = accepted.join(comp.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.bool_and(F.col("rule").isin(*ID_RULES)).alias("by_id"))
-    kinds = members.select("component", "type").distinct()
-    pairs = kinds.alias("x").join(kinds.alias("y"), "component").filter("x.type < y.type").join(by_id, "component")
-    bad = pairs.groupBy("component").agg(F.bool_or(~types_agree(F.col("x.type"), F.col("y.type"), F.col("by_id"))).alias("refused"))
+    kinds = members.groupBy("component", "type").agg(F.count("*").alias("n"))
+    pairs = kinds.alias("x").join(kinds.alias("y"), "component").filter("x.type < y.type OR (x.type = y.type AND x.n > 1)").join(by_id, "component")
+    bad = pairs.groupBy("component").agg(F.bool_or(~types_agree(F.col("x.type"), F.col("y.type"), F.col("by_id"), person_unknown)).alias("refused"))
     return members.join(bad, "component", "left").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
-def survivors(clustered: DataFrame, entities: DataFrame) -> DataFrame:
+def survivors(clustered: DataFrame, entities: DataFrame, concept_to_org: bool = True) -> DataFrame:
     """cluster, survivor, type, conflict, id for every member of an accepted cluster.
 
-    Survivor: an identifier first, then most edges, most aliases, then the smallest id. Type: the one real
-    type if there is but one; organization over concept unless the name is no organisation; else the
-    survivor's type, flagged.
+    Survivor: an identifier first, then most edges, most aliases, the oldest (``created_at``, where the
+    entities have it), then the smallest id. Type: the one real type if there is but one; none at all, what
+    the identifiers stand for; organization over concept unless a member's name is no organisation; else the
+    survivor's type (the strongest, if that is unknown), flagged.
     """
     rows = clustered.filter("NOT refused").join(entities, "id")
-    order = W.partitionBy("cluster").orderBy(F.desc(F.size("namespaces") > 0), F.desc("edge_count"), F.desc("alias_count"), "id")
+    created = F.col("created_at") if "created_at" in entities.columns else F.lit(None).cast("timestamp")
+    order = W.partitionBy("cluster").orderBy(F.desc(F.size("namespaces") > 0), F.desc("edge_count"), F.desc("alias_count"), created.asc_nulls_last(), "id")
     ranked = rows.withColumn("rn", F.row_number().over(order))
     real = F.array_sort(F.collect_set(F.when(F.col("type") != "unknown", F.col("type"))))
     per = ranked.groupBy("cluster").agg(
         F.max(F.when(F.col("rn") == 1, F.col("id"))).alias("survivor"), F.max(F.when(F.col("rn") == 1, F.col("type"))).alias("own"),
-        F.max(F.when(F.col("rn") == 1, squash(F.col("norm")))).alias("sq"), real.alias("types"),
+        F.bool_or(squash(F.col("norm")).isin(*CONCEPT_NOT_ORG)).alias("denied"), real.alias("types"),
+        F.array_distinct(F.flatten(F.collect_set("namespaces"))).alias("spaces"),
     )
-    org = (F.array_join("types", ",") == "concept,organization") & ~F.col("sq").isin(*CONCEPT_NOT_ORG)
+    both = F.array_join("types", ",") == "concept,organization"
+    org = both & ~F.col("denied") if concept_to_org else F.lit(False)
     strongest = F.array_max(F.transform("types", lambda t: F.struct(lookup(TYPE_AUTHORITY, t).alias("w"), t.alias("t"))))["t"]
     kind = (
-        F.when(F.size("types") == 1, F.get("types", 0)).when(org, F.lit("organization"))
-        .when((F.col("own") == "unknown") & (F.size("types") > 1), strongest).otherwise(F.col("own"))
+        F.when(F.size("types") == 0, F.coalesce(namespace_type(F.col("spaces")), F.lit("unknown"))).when(F.size("types") == 1, F.get("types", 0))
+        .when(org, F.lit("organization")).when((F.col("own") == "unknown") & both, F.lit("concept")).when(F.col("own") == "unknown", strongest)
+        .otherwise(F.col("own"))
     )
     flagged = (F.size("types") > 1) & ~org
     return ranked.select("id", "cluster").join(per.select("cluster", "survivor", kind.alias("type"), flagged.alias("conflict")), "cluster")
@@ -290,11 +311,9 @@ def postconditions(before: DataFrame, after: DataFrame, dropped: int) -> DataFra
 
 def repair_plan(entities: DataFrame, issuer: Column) -> DataFrame:
     """id, survivor of fragments with one normalised issuer name and type; persons are left alone; open, then
-    oldest (created, where known), then the smallest id survives."""
+    oldest (``created_at``, where the entities have it), then the smallest id survives."""
     rows = entities.filter("type <> 'person'").withColumn("key", issuer).filter("key <> ''")
-    order = W.partitionBy("key", "type").orderBy(F.desc(F.col("surface_mode") == "open"), "id")
+    created = F.col("created_at") if "created_at" in entities.columns else F.lit(None).cast("timestamp")
+    order = W.partitionBy("key", "type").orderBy(F.desc(F.col("surface_mode") == "open"), created.asc_nulls_last(), "id")
     first = rows.withColumn("survivor", F.first("id").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     return first.filter("id <> survivor").select("id", "survivor")
-
-
-SUFFIXES = LEGAL_SUFFIXES

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dedup, edges, gates, graph
+from ..operators import dedup, edges, gates, graph, vectors
 from .views import duck, table, view
 from .views import graph as load
 
@@ -148,7 +148,7 @@ QUERIES = {
     "isolated_backfill": (
         lambda s, d: edges.isolated_backfill(_entities(s, d), view(s, d, "v_edge").filter("relation <> 'x'"), view(s, d, "v_mention")),
         duck("""WITH l AS (SELECT id FROM v_entity WHERE type IN ('event', 'concept') AND id NOT IN (SELECT source_id FROM v_edge UNION SELECT target_id FROM v_edge)),
-          m AS (SELECT DISTINCT artifact_id, canonical_id FROM v_mention WHERE artifact_id % 20 = 0)
+          m AS (SELECT DISTINCT artifact_id, canonical_id FROM v_mention)
           SELECT a.canonical_id AS source_id, b.canonical_id AS target_id, count(*) AS weight FROM m a JOIN m b ON a.artifact_id = b.artifact_id AND a.canonical_id < b.canonical_id
           WHERE a.canonical_id IN (SELECT id FROM l) OR b.canonical_id IN (SELECT id FROM l) GROUP BY 1, 2"""),
     ),
@@ -198,16 +198,7 @@ def _agency(s, d):
 
 def _topk(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    a = v.select(F.col("id").alias("a"), F.col("embedding").alias("va"), "label")
-    b = v.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), "label")
-    scored = a.join(b, "label").filter("a <> b").select("a", "b", F.round(X.cosine(F.col("va"), F.col("vb")), 9).alias("similarity"))
-    return edges.top_per(scored, ["a"], [F.desc("similarity"), F.col("b")], 8).select("a", "b", _rank().alias("rank"))
-
-
-def _rank():
-    from pyspark.sql import Window as W
-
-    return F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    return vectors.nearest(v, "label", 8).select("a", "b", "rank")
 
 
 def _tags(s, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import edges, flow, graph
+from ..operators import edges, flow, graph, vectors
 from .views import duck, table, view
 from .views import graph as load
 
@@ -59,13 +59,16 @@ def _rollup(s, d):
 def _links(s, d):
     o, c = table(s, d, "orders"), table(s, d, "customer")
     rank = F.element_at(F.array(*map(F.lit, "PADJU")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    # some committees have one member, others two; one in ten links to itself
+    k = F.col("o_custkey") % 200
+    member = F.when(k % 10 == 7, F.concat(F.lit("K"), k)).when(k < 120, F.concat(F.lit("M"), k)).otherwise(F.concat(F.lit("M"), F.col("o_custkey") % 400))
     return o.join(c, o.o_custkey == c.c_custkey).select(
-        F.concat(F.lit("K"), (F.col("o_custkey") % 200).cast("string")).alias("committee"), F.concat(F.lit("M"), (F.col("o_custkey") % 400).cast("string")).alias("member"),
+        F.concat(F.lit("K"), k.cast("string")).alias("committee"), member.alias("member"),
         rank.alias("designation"), F.year("o_orderdate").alias("cycle"),
     )
 
 
-_LINKS = """l AS (SELECT 'K' || (o_custkey % 200)::VARCHAR AS committee, 'M' || (o_custkey % 400)::VARCHAR AS member,
+_LINKS = """l AS (SELECT 'K' || (o_custkey % 200)::VARCHAR AS committee, CASE WHEN o_custkey % 10 = 7 THEN 'K' || (o_custkey % 200)::VARCHAR WHEN o_custkey % 200 < 120 THEN 'M' || (o_custkey % 200)::VARCHAR ELSE 'M' || (o_custkey % 400)::VARCHAR END AS member,
   substr('PADJU', (o_orderkey % 5 + 1)::INT, 1) AS designation, year(o_orderdate)::INT AS cycle FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
@@ -98,14 +101,10 @@ def _current(s, d):
 
 
 def _cosine1(s, d):
-    from ..functions.text import cosine
-
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    a = v.select(F.col("id").alias("a"), F.col("embedding").alias("va"), "label")
-    b = v.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), "label")
     floor = F.lit(0.2) + F.when(F.col("label") == 0, 0.04).otherwise(0.0)
-    scored = a.join(b, "label").filter("a <> b").select("a", "b", "label", F.round(cosine(F.col("va"), F.col("vb")), 9).alias("s"))
-    return edges.top_per(scored, ["a"], [F.desc("s"), F.col("b")], 1).filter(F.col("s") >= floor).select("a", "b")
+    best = vectors.nearest(v, "label", 1)
+    return best.join(v.select(F.col("id").alias("a"), "label"), "a").filter(F.col("similarity") >= floor).select("a", "b")
 
 
 QUERIES = {
@@ -174,7 +173,7 @@ QUERIES = {
     ),
     "best_by_rank": (
         lambda s, d: edges.best_designation(_links(s, d)).select("committee", "member", "designation", F.array_join(F.col("cycles").cast("array<string>"), ",").alias("cycles")),
-        f"""WITH {_LINKS}, r AS (SELECT *, row_number() OVER (PARTITION BY committee ORDER BY instr('PADJU', designation), cycle DESC) AS rn FROM l)
+        f"""WITH {_LINKS}, r AS (SELECT *, row_number() OVER (PARTITION BY committee ORDER BY instr('PADJU', designation), cycle DESC) AS rn FROM l WHERE committee <> member)
           SELECT committee, any_value(member) AS member, max(CASE WHEN rn = 1 THEN designation END) AS designation, array_to_string(list_sort(list_distinct(list(cycle))), ',') AS cycles
           FROM r GROUP BY 1 HAVING count(DISTINCT member) = 1""",
     ),
@@ -228,8 +227,7 @@ QUERIES = {
     ),
     "cosine_top1": (
         _cosine1,
-        """WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label
-            WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM s)
+        """WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM s)
           SELECT a, b FROM r WHERE rn = 1 AND s >= 0.2 + CASE label WHEN 0 THEN 0.04 ELSE 0 END""",
     ),
     "ranked_search": (

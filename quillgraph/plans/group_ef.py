@@ -7,8 +7,8 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..model import Graph
-from ..operators import dedup, flow, gates, graph, scrutiny
+from ..model import ENTITY_TYPES, Graph
+from ..operators import dedup, flow, graph, scrutiny
 from .group_ab import _LABEL, norm_sql
 from .group_cd import RECIPIENTS, SPONSORED
 from .views import duck, table, view
@@ -56,8 +56,14 @@ _WALK = f"""ok AS (SELECT id, {_LABEL} AS label FROM v_entity WHERE publication_
   h2 AS (SELECT DISTINCT b AS id FROM inc WHERE a IN (SELECT id FROM h1))"""
 
 
-def _plan(s, d):
+def _twins(s, d):
+    """The graph with entities that share names or identifiers across types."""
     g = load(s, d)
+    return Graph(view(s, d, "v_twin"), view(s, d, "v_twin_alias"), g.edges, g.citations, g.scrutiny)
+
+
+def _plan(s, d):
+    g = _twins(s, d)
     # the rules and the gate read names, types and modes; counts serve the survivors alone
     named = g.entities.withColumn("norm", X.normalize_name(F.col("name")))
     pairs = dedup.ext_id_pairs(g.aliases).unionByName(dedup.former_name_pairs(g.aliases, named)).unionByName(dedup.exact_name_pairs(named))
@@ -66,21 +72,49 @@ def _plan(s, d):
 
 
 _KEY = """CASE source_system WHEN 'sec.cik' THEN 'sec_cik:' || regexp_replace(source_id, '^0+', '') WHEN 'fec.committee' THEN 'fec_committee:' || source_id WHEN 'bioguide' THEN 'bioguide:' || source_id END"""
-_PAIRS = f"""en AS (SELECT *, {norm_sql('name')} AS norm FROM v_entity),
-  keyed AS (SELECT DISTINCT canonical_id AS id, {_KEY} AS key, 'ext_id' AS rule FROM v_alias WHERE source_system IN ('fec.committee', 'bioguide') OR (source_system = 'sec.cik' AND regexp_replace(source_id, '^0+', '') <> '')
+#: Why two types may not merge, by name and by identifier, as the rules state them.
+_BY_NAME = """CASE WHEN {0} = 'person' OR {1} = 'person' THEN 'person_name' WHEN {0} = {1} THEN NULL WHEN {0} = 'pac' OR {1} = 'pac' THEN 'pac_cross_type'
+  WHEN {0} = 'unknown' OR {1} = 'unknown' THEN NULL WHEN least({0}, {1}) = 'concept' AND greatest({0}, {1}) = 'organization' THEN NULL ELSE 'incompatible_type' END"""
+_BY_ID = """CASE WHEN {0} = {1} OR {0} = 'unknown' OR {1} = 'unknown' THEN NULL WHEN ({0} IN ('person', 'candidate')) <> ({1} IN ('person', 'candidate')) THEN 'ext_id_person_mismatch' END"""
+_PAIRS = f"""en AS (SELECT *, {norm_sql('name')} AS norm FROM v_twin),
+  keyed AS (SELECT DISTINCT canonical_id AS id, {_KEY} AS key, 'ext_id' AS rule FROM v_twin_alias WHERE source_system IN ('fec.committee', 'bioguide') OR (source_system = 'sec.cik' AND regexp_replace(source_id, '^0+', '') <> '')
     UNION ALL SELECT id, norm, 'exact_name' FROM en WHERE length(norm) >= 3 AND regexp_matches(norm, '[a-z]')
     UNION ALL SELECT id, replace(norm, ' ', ''), 'squashed_name' FROM en WHERE length(replace(norm, ' ', '')) >= 6 AND NOT regexp_matches(norm, '[0-9]')),
-  lead AS (SELECT rule, key, min(id) AS a FROM keyed GROUP BY 1, 2), pairs AS (SELECT DISTINCT a, k.id AS b, rule, key AS evidence FROM keyed k JOIN lead USING (rule, key) WHERE k.id <> a),
-  gated AS (SELECT p.*, CASE WHEN x.surface_mode <> y.surface_mode THEN 'skip_surface' WHEN x.publication_state <> y.publication_state THEN 'skip_publication'
-    WHEN rule = 'ext_id' AND (x.type = 'person') <> (y.type = 'person') THEN 'review_type' WHEN rule <> 'ext_id' AND x.type <> y.type THEN 'review_type' ELSE 'accept' END AS outcome
+  lead AS (SELECT rule, key, min(id) AS a FROM keyed GROUP BY 1, 2),
+  former AS (SELECT DISTINCT canonical_id AS x, {norm_sql('surface_name')} AS norm FROM v_twin_alias WHERE source_system = 'sec.former_name'),
+  stems AS (SELECT id, norm AS full_norm, array_to_string(string_split(norm, ' ')[1:i], ' ') AS norm FROM en, range(1, 40) t(i) WHERE i < len(string_split(norm, ' '))),
+  pairs AS (SELECT DISTINCT a, k.id AS b, rule, key AS evidence FROM keyed k JOIN lead USING (rule, key) WHERE k.id <> a
+    UNION SELECT least(id, x), greatest(id, x), 'sec_former_name', norm FROM former JOIN en USING (norm) WHERE id <> x AND length(norm) >= 3 AND regexp_matches(norm, '[a-z]')
+    UNION SELECT least(en.id, l.id), greatest(en.id, l.id), 'prefix_variant', norm FROM stems l JOIN en USING (norm)
+      WHERE en.id <> l.id AND length(norm) >= 12 AND length(full_norm) - length(norm) <= 10 AND regexp_matches(norm, '[a-z]')),
+  gated AS (SELECT p.*, x.type AS tx, y.type AS ty, CASE WHEN rule IN ('ext_id', 'sec_former_name') THEN {_BY_ID.format('x.type', 'y.type')} ELSE {_BY_NAME.format('x.type', 'y.type')} END AS conflict,
+    CASE WHEN x.surface_mode <> y.surface_mode THEN 'skip_surface' WHEN x.publication_state <> y.publication_state THEN 'skip_publication' WHEN conflict IS NOT NULL THEN 'review_type'
+      WHEN rule = 'prefix_variant' THEN 'review_rule' ELSE 'accept' END AS outcome,
+    CASE outcome WHEN 'skip_surface' THEN 'surface_mode_straddle' WHEN 'skip_publication' THEN 'publication_state_straddle' WHEN 'review_type' THEN conflict WHEN 'review_rule' THEN 'rule_not_enabled:' || rule END AS reason
     FROM pairs p JOIN en x ON x.id = a JOIN en y ON y.id = b)"""
 _COMP = f"""{_PAIRS}, l AS (SELECT a AS u, b AS v FROM gated WHERE outcome = 'accept' UNION SELECT b, a FROM gated WHERE outcome = 'accept'),
-  walk AS (SELECT DISTINCT u AS id, u AS r FROM l UNION SELECT l.v, walk.r FROM walk JOIN l ON l.u = walk.id), comp AS (SELECT id, min(r) AS cluster FROM walk GROUP BY 1)"""
+  walk AS (SELECT DISTINCT u AS id, u AS r FROM l UNION SELECT l.v, walk.r FROM walk JOIN l ON l.u = walk.id), comp AS (SELECT id, min(r) AS cluster FROM walk GROUP BY 1),
+  rules AS (SELECT cluster, bool_and(rule IN ('ext_id', 'sec_former_name')) AS by_id FROM gated JOIN comp ON comp.id = a WHERE outcome = 'accept' GROUP BY 1),
+  bad AS (SELECT DISTINCT cluster FROM comp c1 JOIN comp c2 USING (cluster) JOIN rules USING (cluster) JOIN en x ON x.id = c1.id JOIN en y ON y.id = c2.id
+    WHERE c1.id < c2.id AND CASE WHEN by_id THEN {_BY_ID.format('x.type', 'y.type')} ELSE {_BY_NAME.format('x.type', 'y.type')} END IS NOT NULL)"""
+
+
+def _survivors(s, d):
+    _, rows, gated = _plan(s, d)
+    return dedup.survivors(dedup.clusters(gated, rows), rows).select("id", "cluster", "survivor", "type", "conflict")
+
+
+def _type_gate(s, d):
+    """Every pair of types, by name and by identifier."""
+    types = F.array(*map(F.lit, ENTITY_TYPES))
+    pairs = table(s, d, "region").filter("r_regionkey = 0").select(F.explode(types).alias("a")).select("a", F.explode(types).alias("b"))
+    why = lambda by_id: dedup.type_conflict(F.col("a"), F.col("b"), F.lit(by_id))
+    return pairs.select("a", "b", why(False).alias("by_name"), why(True).alias("by_id"))
 
 
 def _components(s, d):
     _, rows, gated = _plan(s, d)
-    return dedup.clusters(gated, rows).select("id", "cluster")
+    return dedup.clusters(gated, rows).select("id", "cluster", "refused")
 
 
 def _mapping(s, d):
@@ -103,16 +137,16 @@ def _merged(s, d):
 
 def _verdict(s, d):
     g = load(s, d)
-    return scrutiny.verdicts(g.entities, g.aliases.filter("source_system <> 'sec.cik'")).select("canonical_id", "classification", "decision")
+    return scrutiny.verdicts(g.entities, g.aliases).select("canonical_id", "classification", "decision")
 
 
 def _modes(s, d):
     g = load(s, d)
-    v = scrutiny.verdicts(g.entities, g.aliases.filter("source_system <> 'sec.cik'"))
+    v = scrutiny.verdicts(g.entities, g.aliases)
     return scrutiny.surface_modes(v, g.edges, g.citations)
 
 
-_VERDICT = """vd AS (SELECT id AS canonical_id, CASE WHEN type <> 'person' OR id IN (SELECT canonical_id FROM v_alias WHERE source_system = 'bioguide') THEN 'public' ELSE 'private' END AS classification FROM v_entity)"""
+_VERDICT = """vd AS (SELECT id AS canonical_id, CASE WHEN type <> 'person' OR id IN (SELECT canonical_id FROM v_alias WHERE source_system IN ('fec.committee', 'fec.candidate', 'bioguide', 'senate.lda.registrant', 'corporate.registry.officer', 'corporate.registry.exec')) THEN 'public' ELSE 'private' END AS classification FROM v_entity)"""
 
 
 def _publish(s, d, batch, out):
@@ -152,15 +186,26 @@ QUERIES = {
             FROM i JOIN ok x ON x.id = node JOIN ok y ON y.id = other LEFT JOIN c ON edge_id = i.id WHERE node IN (SELECT id FROM v_entity WHERE type = 'organization'))
           SELECT id, relation, other, label, weight, citations, row_number() OVER (PARTITION BY id, relation ORDER BY citations DESC, coalesce(weight, 0) DESC, label, e) AS rank FROM r"""),
     ),
-    "dedup_pairs": (lambda s, d: _plan(s, d)[2].select("a", "b", "rule", "outcome"), duck(f"WITH {_PAIRS} SELECT a, b, rule, outcome FROM gated")),
-    "reason_histogram": (lambda s, d: _plan(s, d)[2].groupBy("rule", "outcome").agg(F.count("*").alias("n")), duck(f"WITH {_PAIRS} SELECT rule, outcome, count(*) AS n FROM gated GROUP BY 1, 2")),
-    "dedup_components": (_components, duck(f"WITH RECURSIVE {_COMP} SELECT id, cluster FROM comp")),
+    "dedup_pairs": (lambda s, d: _plan(s, d)[2].select("a", "b", "rule", "outcome", "reason"), duck(f"WITH {_PAIRS} SELECT a, b, rule, outcome, reason FROM gated")),
+    "reason_histogram": (lambda s, d: _plan(s, d)[2].groupBy("rule", "outcome", "reason").agg(F.count("*").alias("n")), duck(f"WITH {_PAIRS} SELECT rule, outcome, reason, count(*) AS n FROM gated GROUP BY ALL")),
+    "type_gate": (
+        _type_gate,
+        f"""WITH t AS (SELECT unnest([{', '.join(f"'{t}'" for t in ENTITY_TYPES)}]) AS type) SELECT x.type AS a, y.type AS b, {_BY_NAME.format('x.type', 'y.type')} AS by_name, {_BY_ID.format('x.type', 'y.type')} AS by_id
+          FROM t x, t y, region WHERE r_regionkey = 0""",
+    ),
+    "dedup_components": (_components, duck(f"WITH RECURSIVE {_COMP} SELECT id, cluster, cluster IN (SELECT cluster FROM bad) AS refused FROM comp")),
     "dedup_survivors": (
-        lambda s, d: dedup.survivors(dedup.clusters(_plan(s, d)[2], _plan(s, d)[1]), _plan(s, d)[1]).select("id", "cluster", "survivor"),
+        _survivors,
         duck(f"""WITH RECURSIVE {_COMP}, deg AS (SELECT node, count(*) AS n FROM (SELECT source_id AS node FROM v_edge UNION ALL SELECT target_id FROM v_edge WHERE source_id <> target_id) GROUP BY 1),
-          al AS (SELECT canonical_id, count(*) AS m, bool_or(source_system IN ('sec.cik', 'fec.committee', 'bioguide')) AS ext FROM v_alias GROUP BY 1)
-          SELECT id, cluster, first_value(id) OVER (PARTITION BY cluster ORDER BY coalesce(ext, false) DESC, coalesce(n, 0) DESC, coalesce(m, 0) DESC, id) AS survivor
-          FROM comp LEFT JOIN deg ON node = id LEFT JOIN al ON canonical_id = id"""),
+          al AS (SELECT canonical_id, count(*) AS m, list(DISTINCT source_system) AS sys FROM v_twin_alias GROUP BY 1),
+          r AS (SELECT en.id, cluster, en.type, replace(norm, ' ', '') AS sq, coalesce(sys, []) AS sys, row_number() OVER (PARTITION BY cluster ORDER BY list_has_any(coalesce(sys, []), ['sec.cik', 'fec.committee', 'bioguide']) DESC, coalesce(n, 0) DESC, coalesce(m, 0) DESC, en.id) AS rn
+            FROM comp JOIN en USING (id) LEFT JOIN deg ON node = en.id LEFT JOIN al ON canonical_id = en.id WHERE cluster NOT IN (SELECT cluster FROM bad)),
+          c AS (SELECT cluster, max(id) FILTER (rn = 1) AS survivor, max(type) FILTER (rn = 1) AS own, list_sort(list(DISTINCT type) FILTER (type <> 'unknown')) AS ts, bool_or(sq IN ('401k', 'adr', 'aietf', 'chipmakers')) AS denied,
+            list_distinct(flatten(list(sys))) AS sys FROM r GROUP BY 1)
+          SELECT id, r.cluster, survivor, CASE WHEN ts IS NULL THEN CASE WHEN list_contains(c.sys, 'sec.cik') THEN 'organization' WHEN list_contains(c.sys, 'fec.committee') THEN 'pac' WHEN list_contains(c.sys, 'bioguide') THEN 'person' ELSE 'unknown' END
+              WHEN len(ts) = 1 THEN ts[1] WHEN ts = ['concept', 'organization'] AND NOT denied THEN 'organization' WHEN own = 'unknown' AND ts = ['concept', 'organization'] THEN 'concept' ELSE own END AS type,
+            coalesce(len(ts) > 1 AND NOT (ts = ['concept', 'organization'] AND NOT denied), false) AS conflict
+          FROM r JOIN c USING (cluster)"""),
     ),
     "dedup_predict": (
         lambda s, d: dedup.predict(view(s, d, "v_edge"), _mapping(s, d)),
@@ -266,6 +311,3 @@ def _healed(s, d):
     cites = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("ref://news/"), F.col("o_orderkey").cast("string")).alias("citation_url"))
     slugs = o.filter("o_orderkey % 3 = 0").select(F.concat(F.lit("ref://news/"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("slug"))
     return heal_citations(cites, slugs, "https://news.example")
-
-
-_ = (Graph, gates)

@@ -5,6 +5,8 @@ Names in braces are the star tables: DataFrames in Spark, views in DuckDB.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import Graph
@@ -54,14 +56,24 @@ VIEWS = {
     "v_mention": """SELECT l_orderkey AS artifact_id, 'W:' || CAST(l_partkey AS VARCHAR(20)) AS canonical_id,
     CASE l_returnflag WHEN 'A' THEN 'event' WHEN 'R' THEN 'topic' ELSE 'concept' END AS kind_hint, l_linenumber AS seq FROM {lineitem}""",
 }
+#: Entities and aliases with twins: persons and others that bear one another's names or identifiers.
+_TWIN_TYPE = "CASE {0} % 6 WHEN 0 THEN 'person' WHEN 1 THEN 'candidate' WHEN 2 THEN 'unknown' WHEN 3 THEN 'organization' WHEN 4 THEN 'pac' ELSE 'concept' END"
+VIEWS["v_twin"] = f"""SELECT id, name, lname, type, k, surface_mode, publication_state, batch_id FROM v_entity
+  UNION ALL SELECT 'X:' || CAST(s_suppkey AS VARCHAR(20)), s_name, lower(s_name), {_TWIN_TYPE.format('s_suppkey')}, s_suppkey, {_GATES.replace('k %', 's_suppkey %')} FROM {{supplier}}
+  UNION ALL SELECT 'Y:' || CAST(p_partkey AS VARCHAR(20)), p_name, lower(p_name), {_TWIN_TYPE.format('p_partkey')}, p_partkey, {_GATES.replace('k %', 'p_partkey %')} FROM {{part}}"""
+VIEWS["v_twin_alias"] = """SELECT canonical_id, source_system, source_id, surface_name FROM v_alias
+  UNION ALL SELECT 'X:' || CAST(s_suppkey AS VARCHAR(20)), 'fec.committee', 'C' || CAST(10000000 + s_suppkey AS VARCHAR(20)), s_name FROM {supplier} WHERE s_suppkey % 2 = 0
+  UNION ALL SELECT 'Y:' || CAST(p_partkey AS VARCHAR(20)), 'sec.former_name', 'f' || CAST(p_partkey AS VARCHAR(20)), p_name || ' Inc' FROM {part} WHERE p_partkey % 5 = 0"""
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def _needs(sql: str) -> list[str]:
-    """Views that a statement uses, in order of definition."""
-    used = {v for v in VIEWS if v in sql}
-    if used & {"v_edge", "v_citation"}:
-        used.add("v_fact")
+    """Views that a statement uses, and those that they use, in order of definition."""
+    named = lambda text: {v for v in VIEWS if re.search(rf"\b{v}\b", text)}
+    used, todo = set(), named(sql)
+    while todo:
+        used |= todo
+        todo = set().union(*(named(VIEWS[v]) for v in todo)) - used
     return [v for v in VIEWS if v in used]
 
 
@@ -77,7 +89,7 @@ def duck(sql: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; only the tables that it reads are opened."""
-    ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in _needs(VIEWS[name]))
+    ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in _needs(VIEWS[name]) if v != name)
     sql = (f"WITH {ctes}\n" if ctes else "") + VIEWS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in STAR if "{%s}" % t in sql}
     return spark.sql(sql, **tables)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import label_or_parts, name_variants
 
 # Filing forms that count.
-FORMS = ("10-K", "10-Q", "8-K", "DEF 14A", "SC 13D", "SC 13G", "13F-HR", "3", "4", "5", "S-1")
+FORMS = ("10-K", "10-K/A", "10-Q", "10-Q/A", "8-K", "8-K/A", "DEF 14A", "S-1", "S-3", "S-4", "20-F")
 
 
 def linkage(spark: SparkSession, path: str, cycle: int) -> DataFrame:

@@ -139,7 +139,8 @@ def test_merge_keeps_invariants_and_is_idempotent(spark, small):
 
 def test_type_gate(spark):
     cases = [("person", "organization", False, False), ("person", "unknown", False, False), ("pac", "organization", False, False), ("organization", "concept", False, True),
-             ("agency", "unknown", False, True), ("person", "person", False, True), ("person", "pac", True, False), ("organization", "pac", True, True)]
+             ("agency", "unknown", False, True), ("person", "person", False, False), ("person", "person", True, True), ("person", "candidate", True, True),
+             ("candidate", "organization", True, False), ("pac", "unknown", False, False), ("pac", "pac", False, True), ("person", "pac", True, False), ("organization", "pac", True, True)]
     df = spark.createDataFrame(cases, "a string, b string, i boolean, w boolean")
     assert df.filter(dedup.types_agree(F.col("a"), F.col("b"), F.col("i")) != F.col("w")).count() == 0
 

@@ -27,7 +27,7 @@ def test_isolated_backfill_reads_every_artifact(spark):
 
 
 def test_dedup_plan_holds_prefix_variants(spark):
-    rows = view(spark, SF, "v_entity").withColumn("norm", normalize_name(F.col("name"))).collect()
+    rows = view(spark, SF, "v_twin").withColumn("norm", normalize_name(F.col("name"))).collect()
     fits = lambda s, t: len(s) >= 12 and any("a" <= c <= "z" for c in s) and t.startswith(s + " ") and len(t) - len(s) <= 10
     want = {(min(x["id"], y["id"]), max(x["id"], y["id"])) for x in rows for y in rows if fits(x["norm"], y["norm"])}
     got = QUERIES["dedup_pairs"](spark, SF).filter("rule = 'prefix_variant'").collect()
@@ -44,7 +44,7 @@ def test_dedup_plan_holds_former_names_and_review(spark, monkeypatch):
     entities = spark.createDataFrame([(i, n, types.get(i, "organization"), "open", "published") for i, n in names.items()], "id string, name string, type string, surface_mode string, publication_state string")
     aliases = spark.createDataFrame([("b", "sec.former_name", "1", "OLD WIDGETS")], "canonical_id string, source_system string, source_id string, surface_name string")
     g = graph(spark, SF)
-    monkeypatch.setattr(group_ef, "load", lambda s, d: Graph(entities, aliases, g.edges, g.citations, g.scrutiny))
+    monkeypatch.setattr(group_ef, "_twins", lambda s, d: Graph(entities, aliases, g.edges, g.citations, g.scrutiny))
     got = {(r["a"], r["b"], r["rule"], r["outcome"]) for r in QUERIES["dedup_pairs"](spark, SF).collect()}
     # an identifier stands behind a former name: the types need not be equal
     assert got == {("a", "b", "sec_former_name", "accept"), ("p", "q", "prefix_variant_curated", "accept"), ("p", "r", "prefix_variant", "review_rule")}
