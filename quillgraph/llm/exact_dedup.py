@@ -52,10 +52,9 @@ def refine(rows: DataFrame, digest: bool) -> DataFrame:
     )
     survivors = slim.join(by_prefix, ["len", "prefix"], "left_semi")
     if not digest:
-        # the second scan: full content of the surviving rows; AQE broadcasts their ids if few
-        wanted = survivors.select("row")
-        survivors = survivors.join(rows.select("row", "text").join(wanted, "row", "left_semi").select("row", _full_hash().alias("full_hash")), "row")
-        survivors = materialize(survivors)
+        # the second scan: full content of the surviving rows, which are shuffled once and hashed where they meet
+        content = rows.select("row", "text").join(survivors.hint("merge"), "row")
+        survivors = materialize(content.withColumn("full_hash", _full_hash()).drop("text"))
     best = F.min(F.struct((-F.col("code_points")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row").alias("r")))
     groups = survivors.groupBy("full_hash").agg(best.alias("b"), F.count("*").alias("group_size"))
     hit = (
@@ -76,7 +75,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     :func:`refine` for nulls, empty texts, ties and repeated rows."""
     rows, row = numbered(docs)
     plan = refine(rows.select(F.col(row).alias("row"), "doc_id", "text"), digest=False)
-    return rows.join(plan.filter("NOT kept").select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
+    # texts meet the plan in one way at every size: sorted by row, spilling if need be, nothing broadcast
+    dropped = plan.filter("NOT kept").select(F.col("row").alias(row)).hint("merge")
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     n, copy = fresh(docs, "_epochs"), fresh(docs, "_copy")
     plan = mix(rows.select(F.col(row).alias("row"), "doc_id", "source", "text"), seed).filter("epochs > 0")
     return (
-        rows.join(plan.select(F.col("row").alias(row), F.col("epochs").alias(n)), row)
+        rows.join(plan.select(F.col("row").alias(row), F.col("epochs").alias(n)).hint("merge"), row)
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
         .select(*docs.columns)
     )

@@ -269,7 +269,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     for nulls, empty texts, ties and repeated rows."""
     rows, row = numbered(docs)
     plan = classes(rows.select(F.col(row).alias("row"), "doc_id", "text"))
-    return rows.join(plan.filter("NOT kept").select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
+    # texts meet the plan in one way at every size: sorted by row, spilling if need be, nothing broadcast
+    dropped = plan.filter("NOT kept").select(F.col("row").alias(row)).hint("merge")
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def op2(docs: DataFrame) -> DataFrame:
