@@ -34,13 +34,14 @@ def _unit(vs: list) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(batches: Iterator[pa.RecordBatch], k: int, minimum: float) -> Iterator[pa.RecordBatch]:
+def _best(batches: Iterator[pa.RecordBatch], k: int, minimum: float, same: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             ids_a, va, ids_b, vb = (batch.column(c)[i].as_py() for c in ("ids", "vs", "ids_b", "vs_b"))
             x, y, b = _unit(va), _unit(vb), np.array(ids_b)
             s = np.round(x @ y.T, 9)
-            s[np.array(ids_a)[:, None] == b[None, :]] = -2.0
+            if same:
+                s[np.array(ids_a)[:, None] == b[None, :]] = -2.0
             s[~x.any(1)] = -2.0
             s[:, ~y.any(1)] = -2.0
             edge = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])] if s.shape[1] else np.zeros(len(x))
@@ -54,17 +55,18 @@ def _best(batches: Iterator[pa.RecordBatch], k: int, minimum: float) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
 
 
-def nearest(vectors: DataFrame, block: str, k: int, minimum: float = -1.0, chunk: int = CHUNK) -> DataFrame:
+def nearest(vectors: DataFrame, block: str, k: int, minimum: float = -1.0, chunk: int = CHUNK, among: DataFrame | None = None) -> DataFrame:
     """a, b, similarity (rounded to nine digits), rank of the k nearest others of every vector within its block.
 
-    ``vectors`` has id, embedding and the block column. Equal similarities go by b. Vectors without a
+    ``vectors`` has id, embedding and the block column; so has ``among``, where neighbours are sought if it
+    is given. Equal similarities go by b. Vectors without a
     length have no neighbours. A block of n vectors costs (n / chunk)^2 products of bounded size.
     """
     kind = dict(vectors.dtypes)["id"]
-    rows = vectors.select("id", "embedding", block).filter("id IS NOT NULL AND embedding IS NOT NULL")
-    left = _chunks(rows, block, chunk)
-    right = left.select("block", F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("vs").alias("vs_b"))
+    usable = lambda df: df.select("id", "embedding", block).filter("id IS NOT NULL AND embedding IS NOT NULL")
+    left = _chunks(usable(vectors), block, chunk)
+    right = (left if among is None else _chunks(usable(among), block, chunk)).select("block", F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("vs").alias("vs_b"))
     pairs = left.join(right, "block").repartition("block", "part", "part_b").select("ids", "vs", "ids_b", "vs_b")
-    found = pairs.mapInArrow(partial(_best, k=k, minimum=minimum), f"a {kind}, b {kind}, similarity double")
+    found = pairs.mapInArrow(partial(_best, k=k, minimum=minimum, same=among is None), f"a {kind}, b {kind}, similarity double")
     order = W.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import group_ab, group_cd, group_ef, group_g
+from . import group_ab, group_cd, group_ef, group_g, group_h
 
-GROUPS = (group_ab, group_cd, group_ef, group_g)
+GROUPS = (group_ab, group_cd, group_ef, group_g, group_h)
 
 
 def queries() -> dict:
