@@ -1,6 +1,7 @@
 """A training-data pipeline: documents in, encoded documents out.
 
-Five stages, each over all rows that the one before it kept. Every stage reads a written table.
+Five stages, each over all rows that the one before it kept. Every stage reads a written table and, but for
+the last, returns the columns that it was given, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,27 +13,31 @@ from quillgraph.llm.common import documents, labels, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; null and empty texts are scored as empty ones, repeated rows alike.
+    Without labels of both classes every text has one score, the smoothed share of label 1."""
     return quality_gam.kept(docs, labels(spark, sf_dir))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal without white space: the one with most code points,
+    then the smallest doc_id (null last), then the first row. Null, empty and blank texts are one group."""
     return exact_dedup.deduplicated(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each class of near copies: the smallest doc_id (null last), then the first row. Null,
+    empty and blank texts are one class."""
     return near_dedup.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, three times at most; texts without words are never taken.
+    A null source is a source; repeated rows queue one behind the other."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and decoded text, as digests."""
+    """Token ids and decoded text, as digests, of every row; a null text counts as empty and has no ids."""
     return bpe.op10(docs)
 
 

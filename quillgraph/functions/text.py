@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,10 +10,23 @@ from pyspark.sql import functions as F
 
 # Trailing tokens that are legal form, not name.
 LEGAL_SUFFIXES = ("incorporated", "corporation", "company", "limited", "inc", "corp", "co", "llc", "llp", "lp", "ltd", "plc", "gmbh", "sa", "nv", "pac")
-# Accented Latin letters and their base letters.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrsssstt" + "uuuuuuwyzzz"
-assert len(_ACCENTED) == len(_PLAIN)
+
+
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition without combining marks makes of a small letter, where that changes
+    it: single characters, and those that become several. Hangul syllables and ideographs stay."""
+    one, many = {}, {}
+    for c in map(chr, [*range(0xA0, 0x3400), *range(0xFB00, 0x10000), *range(0x1D400, 0x1D800)]):
+        if c == c.lower() and not unicodedata.combining(c):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+            if plain != c and len(plain) == 1:
+                one[c] = plain
+            elif plain != c and plain and ord(c) < 0x2200 or 0xFB00 <= ord(c) < 0xFB07:
+                many[c] = plain
+    return one, many
+
+
+_ONE, _MANY = _folds()
 # Money bands of the filings, low and high bound (None: open).
 BANDS = {
     "None (or less than $201)": (0, 200), "None (or less than $1,001)": (0, 1000), "$0 - $200": (0, 200), "$201 - $1,000": (201, 1000),
@@ -38,9 +52,16 @@ def lookup(values: dict, key: Column, default: Column | None = None) -> Column:
 
 
 def fold(name: Column) -> Column:
-    """Lower case without Latin accents: precomposed letters by table, combining marks dropped."""
-    bare = F.regexp_replace(name, r"\p{M}+", "")
-    return F.translate(F.lower(bare), _ACCENTED, _PLAIN)
+    """Compatibility decomposition, combining marks dropped, lower case, by tables made from that rule.
+
+    Plain ASCII, nearly all names, is only put in lower case; the few characters that become several are
+    replaced one by one, where a name has any.
+    """
+    low = F.lower(F.regexp_replace(name, r"\p{M}+", ""))
+    single = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    several = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _MANY.items(), single)
+    has_several = F.translate(low, "".join(_MANY), "") != low
+    return F.when(F.octet_length(low) == F.length(low), low).when(~has_several, single).otherwise(several)
 
 
 def normalize_name(name: Column) -> Column:

@@ -13,24 +13,28 @@ from .edges import incident
 from .gates import cited, label_of, published
 
 
-def importance(g: Graph, preview: bool = False) -> DataFrame:
-    """node, edges, citations, importance over published incident edges."""
+def importance(g: Graph, preview: bool = False, ids: DataFrame | None = None) -> DataFrame:
+    """node, edges, citations, importance over published incident edges; of some ids alone, if given, whose
+    edges and citations are then the only ones that are counted."""
     inc = incident(published(g.edges, preview).select("id", "source_id", "target_id"))
-    per = g.citations.groupBy(F.col("edge_id").alias("id")).agg(F.count("*").alias("c"))
+    cites = g.citations.select(F.col("edge_id").alias("id"))
+    if ids is not None:
+        inc = inc.join(ids.select(F.col("id").alias("node")), "node", "left_semi")
+        cites = cites.join(inc.select("id"), "id", "left_semi")
+    per = cites.groupBy("id").agg(F.count("*").alias("c"))
     return inc.join(per, "id", "left").groupBy("node").agg(
         F.count("*").alias("edges"), F.coalesce(F.sum("c"), F.lit(0)).alias("citations")
     ).withColumn("importance", F.col("edges") + F.col("citations"))
 
 
 def neighbourhood(start: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """id, hop of everything within ``hops`` of the start ids. Each frontier is written, not collected."""
-    seen = materialize(start.select("id", F.lit(0).alias("hop")).distinct())
+    """id, hop of everything within ``hops`` of the start ids. Each frontier is written once, not collected."""
+    seen = frontier = materialize(start.select("id", F.lit(0).alias("hop")).distinct())
     inc = incident(edges.select("source_id", "target_id")).select("node", "other")
     for hop in range(1, max(hops, 1) + 1):
-        frontier = seen.filter(F.col("hop") == hop - 1).select(F.col("id").alias("node"))
-        reached = inc.join(frontier, "node", "left_semi").select(F.col("other").alias("id")).distinct()
-        new = reached.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop"))
-        seen = materialize(seen.unionByName(new))
+        reached = inc.join(frontier.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("other").alias("id")).distinct()
+        frontier = materialize(reached.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")))
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -42,7 +46,8 @@ def subgraph(g: Graph, start: DataFrame, hops: int = 1, preview: bool = False) -
     """
     allowed = published(g.entities, preview).filter("surface_mode <> 'suppress'").select("id", "type", label_of().alias("label"))
     start = start.join(allowed, "id", "left_semi")
-    edges = cited(published(g.edges, preview), g.citations)
+    # every hop and the edges inside read the cited edges: they are worked out once
+    edges = materialize(cited(published(g.edges, preview), g.citations).select("id", "source_id", "target_id", "relation", "weight"))
     near = neighbourhood(start, edges, hops)
     nodes = near.join(allowed, "id")
     ids = nodes.select("id")
@@ -95,7 +100,7 @@ def search(g: Graph, q: str, limit: int = 20, preview: bool = False) -> DataFram
     by_alias = g.aliases.select(F.col("canonical_id").alias("id"), F.when(surface.startswith(q), 2).when(surface.contains(q), 1).alias("tier"))
     hits = by_name.union(by_alias).filter("tier IS NOT NULL").groupBy("id").agg(F.max("tier").alias("tier"))
     filers = published(g.edges, preview).filter(F.col("relation").isin(*DISCLOSURE_RELATIONS)).select(F.col("source_id").alias("id")).distinct().withColumn("boost", F.lit(2))
-    weight = importance(g, preview).select(F.col("node").alias("id"), "importance")
+    weight = importance(g, preview, hits.join(allowed.select("id"), "id", "left_semi")).select(F.col("node").alias("id"), "importance")
     rows = hits.join(allowed.select("id", "type", label_of().alias("label")), "id").join(filers, "id", "left").join(weight, "id", "left")
     return rows.select(
         "id", "label", "type", (F.col("tier") + F.coalesce("boost", F.lit(0))).alias("tier"), F.coalesce("importance", F.lit(0)).alias("importance")
