@@ -55,3 +55,37 @@ def test_entry_without_the_optional_parts(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert not any(x.startswith('op') or x == 'pipeline' for x in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls, blanks, ties, repeated rows, a long text and clashing columns go through every stage; so does an empty table."""
+    sf = "/root/testdata/sf0.001"
+    for name, table in (("odd", odd), ("empty", empty)):
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, table, sf)
+            path = str(tmp_path / name / stage)
+            out.write.parquet(path)
+            got = spark.read.parquet(path)
+            if stage != "encode":
+                assert got.columns == table.columns
+            assert got.count() <= 3 * table.count()
+            if stage == "encode":
+                assert got.count() == table.count()
+        at = table
+        for stage, f in corpus_pipeline.STAGES:
+            f(spark, at, sf).write.parquet(str(tmp_path / f"{name}-chain" / stage))
+            at = spark.read.parquet(str(tmp_path / f"{name}-chain" / stage))
+
+
+def test_entry_without_a_library(tmp_path):
+    """A library that only the optional parts need may be absent: the other queries stay."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = (
+        "import sys; sys.modules['zstandard'] = None\nimport __spark_entry__ as e\n"
+        "q = e.queries(); assert 'flow_model1' in q and 'op4_lm_score' not in q; e.oracle_sql()"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
