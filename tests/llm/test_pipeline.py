@@ -71,10 +71,6 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
             assert got.count() <= 3 * table.count()
             if stage == "encode":
                 assert got.count() == table.count()
-        at = table
-        for stage, f in corpus_pipeline.STAGES:
-            f(spark, at, sf).write.parquet(str(tmp_path / f"{name}-chain" / stage))
-            at = spark.read.parquet(str(tmp_path / f"{name}-chain" / stage))
 
 
 def test_entry_without_a_library(tmp_path):
