@@ -55,11 +55,11 @@ def fold(name: Column) -> Column:
     """Compatibility decomposition, combining marks dropped, lower case, by tables made from that rule.
 
     Plain ASCII, nearly all names, is only put in lower case; the few characters that become several are
-    replaced one by one, where a name has any.
+    looked up one by one, where a name has any.
     """
     low = F.lower(F.regexp_replace(name, r"\p{M}+", ""))
     single = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
-    several = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _MANY.items(), single)
+    several = F.array_join(F.transform(F.split(single, ""), lambda c: lookup(_MANY, c, c)), "")
     has_several = F.translate(low, "".join(_MANY), "") != low
     return F.when(F.octet_length(low) == F.length(low), low).when(~has_several, single).otherwise(several)
 
