@@ -54,7 +54,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuilt(turns: DataFrame) -> DataFrame:
     """conv_id, path (hashes of its turns), words (of each turn's text) of every rebuilt conversation.
 
-    The first h original turns of conversation c - c % 20, then c's own after its first h; h is the checksum of c
+    The first h original turns of conversation c - c % 20 (never above c, negative ids too), then c's own after its first h; h is the checksum of c
     modulo 4. Turns go by ``turn`` (null first), equal ones by role, then text. Rows without a conv_id
     belong to no conversation.
     """
@@ -68,7 +68,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     own = placed.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("p", "k", "w"))).alias("own"))
     heads = own.filter(F.col("c") % FAMILY == 0).select(F.col("c").alias("base"), F.slice("own", 1, HEAD).alias("head"))
     h = (F.crc32(F.col("c").cast("string").cast("binary")) % (HEAD + 1)).cast("int")
-    joined = own.withColumn("base", F.col("c") - F.col("c") % FAMILY).withColumn("h", h).join(heads, "base", "left")
+    joined = own.withColumn("base", F.col("c") - F.pmod("c", F.lit(FAMILY))).withColumn("h", h).join(heads, "base", "left")
     rest = F.slice("own", F.col("h") + 1, F.greatest(F.size("own") - F.col("h"), F.lit(0)))
     head = F.slice(F.coalesce("head", F.slice("own", 1, 0)), F.lit(1), F.col("h"))
     whole = joined.select("c", F.concat(head, rest).alias("all"))
@@ -343,8 +343,8 @@ k AS (SELECT c, p, md5(length(r)::VARCHAR || ':' || r || x) AS k, len(regexp_ext
 s AS (SELECT c, max(p) AS n, c::VARCHAR AS s FROM k GROUP BY c),
 h AS (SELECT c, n, xor(list_reduce([4294967295] || range(8 * length(s)), lambda a, i: xor((CASE WHEN i % 8 = 0 THEN xor(a, ord(substr(s, (i // 8 + 1)::INT, 1))) ELSE a END) >> 1,
     3988292384 * ((CASE WHEN i % 8 = 0 THEN xor(a, ord(substr(s, (i // 8 + 1)::INT, 1))) ELSE a END) & 1))), 4294967295) % 4 AS h FROM s),
-m AS (SELECT h.c, k.p, k.k, k.w FROM h JOIN k ON k.c = h.c - h.c % 20 AND k.p <= h.h
-    UNION ALL SELECT h.c, k.p - h.h + least(h.h, coalesce(b.n, 0)), k.k, k.w FROM h JOIN k ON k.c = h.c AND k.p > h.h LEFT JOIN h b ON b.c = h.c - h.c % 20),
+m AS (SELECT h.c, k.p, k.k, k.w FROM h JOIN k ON k.c = h.c - (h.c % 20 + 20) % 20 AND k.p <= h.h
+    UNION ALL SELECT h.c, k.p - h.h + least(h.h, coalesce(b.n, 0)), k.k, k.w FROM h JOIN k ON k.c = h.c AND k.p > h.h LEFT JOIN h b ON b.c = h.c - (h.c % 20 + 20) % 20),
 q AS (SELECT h.c, coalesce(string_agg(m.k, '' ORDER BY m.p), '') AS path, count(m.p) AS n FROM h LEFT JOIN m ON m.c = h.c GROUP BY h.c),
 e AS (SELECT c, n, unnest(range(n + 1)) AS d, path FROM q),
 v AS (SELECT left(path, (32 * d)::INT) AS node, d, min(c) AS c, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM e GROUP BY 1, 2),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_score, mixing, near_dedup, prefix_trie, quality_gam, quality_rules, secrets, spelling, substring_dedup, token_counts
+from . import bpe, exact_dedup, lm_score, mixing, near_dedup, prefix_trie, quality_gam, quality_rules, secrets, spelling, substring_dedup, suffix_dedup, token_counts
 from .common import documents, labels
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_substring_dedup": lambda spark, sf: substring_dedup.op8(documents(spark, sf)),
     "op9_quality_rules": lambda spark, sf: quality_rules.op9(documents(spark, sf), labels(spark, sf)),
     "op10_bpe": lambda spark, sf: bpe.op10(documents(spark, sf)),
+    "op11_suffix_dedup": lambda spark, sf: suffix_dedup.op11(documents(spark, sf)),
     "op12_prefix_trie": lambda spark, sf: prefix_trie.op12(prefix_trie.conversations(spark, sf)),
     "op13_spelling": lambda spark, sf: spelling.op13(documents(spark, sf)),
 }
