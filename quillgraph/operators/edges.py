@@ -16,23 +16,37 @@ def incident(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def upsert(old: DataFrame, new: DataFrame, policy: str) -> DataFrame:
+def counted(ledger: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The ledger (KEY, ref) after a run: every reference that has been counted on an edge, once."""
+    seen = new.select(*KEY, "ref").filter("ref IS NOT NULL")
+    return (seen if ledger is None else seen.unionByName(ledger.select(*KEY, "ref"))).distinct()
+
+
+def upsert(old: DataFrame, new: DataFrame, policy: str, ledger: DataFrame | None = None, order: str = "amount") -> DataFrame:
     """A new edge snapshot (KEY, weight) of old edges and new observations (KEY, ref, amount).
 
-    sum: every observation adds. first_sighting: an amount counts once per edge and ref. count_refs:
-    the number of distinct refs is added. constant: weight 1. overwrite: the latest ref's amount.
-    none: no weight at all. A null amount adds nothing.
+    sum: every observation adds. first_sighting: an amount counts once per edge and ref, that of the first
+    observation by ``order`` (then the smallest) that has one. count_refs: the number of distinct refs is added. constant:
+    weight 1. overwrite: the latest ref's amount. none: no weight at all. A null amount adds nothing.
+
+    ``ledger`` (KEY, ref) holds what former runs have counted (:func:`counted`): first_sighting and count_refs
+    pass it over, so running the same observations again changes nothing. An observation without a ref cannot be
+    told apart from another: it makes the edge, but counts nothing under these two policies.
     """
     per = new.groupBy(*KEY)
     amount = F.coalesce(F.sum("amount"), F.lit(0.0))
-    if policy == "sum":
+    if policy in ("first_sighting", "count_refs"):
+        refs = new.filter("ref IS NOT NULL")
+        if ledger is not None:
+            refs = refs.join(ledger.select(*KEY, "ref"), [*KEY, "ref"], "left_anti")
+        first = F.min(F.when(F.col("amount").isNotNull(), F.struct(F.col(order).alias("o"), F.col("amount").alias("a"))))["a"]
+        once = refs.groupBy(*KEY, "ref").agg(first.alias("amount"))
+        fresh = once.groupBy(*KEY).agg((amount if policy == "first_sighting" else F.count("*")).cast("double").alias("add"))
+        add = per.agg(F.lit(0.0).alias("none")).join(fresh, list(KEY), "left").select(*KEY, F.coalesce("add", "none").alias("add"))
+    elif policy == "sum":
         add = per.agg(amount.alias("add"))
-    elif policy == "first_sighting":
-        add = new.groupBy(*KEY, "ref").agg(F.first("amount", ignorenulls=True).alias("amount")).groupBy(*KEY).agg(amount.alias("add"))
-    elif policy == "count_refs":
-        add = per.agg(F.countDistinct("ref").cast("double").alias("add"))
     elif policy == "overwrite":
-        add = per.agg(F.max_by("amount", "ref").alias("add"))
+        add = per.agg(F.max_by("amount", F.struct("ref", "amount")).alias("add"))
     elif policy in ("constant", "none"):
         add = per.agg(F.lit(1.0 if policy == "constant" else None).cast("double").alias("add"))
     else:

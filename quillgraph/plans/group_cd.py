@@ -22,25 +22,36 @@ def _upsert(policy):
         f = view(s, d, "v_fact")
         new = f.select(
             F.concat(F.lit("B:"), "p_brand").alias("source_id"), F.concat(F.lit("N:"), F.col("c_nationkey").cast("string")).alias("target_id"), F.lit("holds_contract").alias("relation"),
-            F.col("l_orderkey").alias("ref"), F.col("amt").cast("double").alias("amount"),
+            F.col("l_orderkey").alias("ref"), F.col("amt").cast("double").alias("amount"), F.col("l_linenumber").alias("line"), "o_orderdate",
         )
-        if policy in ("first_sighting", "overwrite"):
-            # one amount per ref, as award records have: the lines of an order add up
-            new = new.groupBy("source_id", "target_id", "relation", "ref").agg(F.max("amount").alias("amount"))
-        old = view(s, d, "v_edge").filter("relation = 'holds_contract'")
-        return edges.upsert(old, new, policy).select("source_id", "target_id", F.round("weight", 2).alias("weight"))
+        now = view(s, d, "v_edge").filter("relation = 'holds_contract'")
+        if policy not in ("first_sighting", "count_refs"):
+            return edges.upsert(now, new, policy).select("source_id", "target_id", F.round("weight", 2).alias("weight"))
+        # two runs, as a sweep makes them: the orders of the first years, then all orders, those counted already among them
+        early, ledger = new.filter("o_orderdate < '1995-01-01'"), None
+        for batch in (early, new):
+            now = edges.upsert(now, batch, policy, ledger, order="line")
+            ledger = edges.counted(ledger, batch)
+        return now.select("source_id", "target_id", F.round("weight", 2).alias("weight"))
 
     return run
 
 
 def _upsert_sql(agg, combine="o.weight + n.w"):
-    return duck(f"""WITH r AS (SELECT 'B:' || p_brand AS s, 'N:' || c_nationkey::VARCHAR AS t, l_orderkey AS ref, amt::DOUBLE AS amount FROM v_fact),
-      f AS (SELECT s, t, ref, max(amount) AS amount FROM r GROUP BY 1, 2, 3), n AS (SELECT s, t, {agg} GROUP BY 1, 2)
+    return duck(f"""WITH r AS (SELECT 'B:' || p_brand AS s, 'N:' || c_nationkey::VARCHAR AS t, l_orderkey AS ref, amt::DOUBLE AS amount, l_linenumber AS line, o_orderdate FROM v_fact),
+      n AS (SELECT s, t, {agg} GROUP BY 1, 2)
       SELECT s AS source_id, t AS target_id, round({combine}, 2) AS weight FROM n JOIN v_edge o ON o.source_id = s AND o.target_id = t AND o.relation = 'holds_contract'""")
 
 
-def _first_amount(s, d):
-    return _upsert("first_sighting")(s, d)
+def _twice_sql(agg):
+    """Both runs one after the other, each over what is on no ledger by then."""
+    return duck(f"""WITH r AS (SELECT 'B:' || p_brand AS s, 'N:' || c_nationkey::VARCHAR AS t, l_orderkey AS ref, amt::DOUBLE AS amount, l_linenumber AS line, o_orderdate FROM v_fact),
+      l1 AS (SELECT DISTINCT s, t, ref FROM r WHERE o_orderdate < DATE '1995-01-01'),
+      f1 AS (SELECT s, t, ref, arg_min(amount, (line, amount)) AS amount FROM r WHERE o_orderdate < DATE '1995-01-01' GROUP BY 1, 2, 3),
+      f2 AS (SELECT s, t, ref, arg_min(amount, (line, amount)) AS amount FROM r WHERE NOT EXISTS (SELECT 1 FROM l1 WHERE l1.s = r.s AND l1.t = r.t AND l1.ref = r.ref) GROUP BY 1, 2, 3),
+      n1 AS (SELECT s, t, {agg} AS w FROM f1 GROUP BY 1, 2), n2 AS (SELECT s, t, {agg} AS w FROM f2 GROUP BY 1, 2)
+      SELECT o.source_id, o.target_id, round(o.weight + coalesce(n1.w, 0) + coalesce(n2.w, 0), 2) AS weight FROM v_edge o
+        LEFT JOIN n1 ON n1.s = o.source_id AND n1.t = o.target_id LEFT JOIN n2 ON n2.s = o.source_id AND n2.t = o.target_id WHERE o.relation = 'holds_contract'""")
 
 
 def _votes(s, d):
@@ -151,10 +162,10 @@ QUERIES = {
           SELECT a.canonical_id AS source_id, b.canonical_id AS target_id, count(*) AS weight FROM m a JOIN m b ON a.artifact_id = b.artifact_id AND a.canonical_id < b.canonical_id GROUP BY 1, 2 HAVING count(*) >= 2"""),
     ),
     "upsert_sum": (_upsert("sum"), _upsert_sql("sum(amount) AS w FROM r")),
-    "first_sighting_sum": (_first_amount, _upsert_sql("sum(amount) AS w FROM f")),
-    "ref_count_weight": (_upsert("count_refs"), _upsert_sql("count(DISTINCT ref) AS w FROM r")),
+    "first_sighting_sum": (_upsert("first_sighting"), _twice_sql("sum(amount)")),
+    "ref_count_weight": (_upsert("count_refs"), _twice_sql("count(*)")),
     "constant_weight": (_upsert("constant"), _upsert_sql("1.0::DOUBLE AS w FROM r", "n.w")),
-    "overwrite_weight": (_upsert("overwrite"), _upsert_sql("arg_max(amount, ref) AS w FROM f", "n.w")),
+    "overwrite_weight": (_upsert("overwrite"), _upsert_sql("arg_max(amount, (ref, amount)) AS w FROM r", "n.w")),
     "type_census_rollup": (
         _rollup,
         duck("SELECT coalesce(type, 'total') AS type, count(*) FILTER (publication_state = 'published') AS published, count(*) FILTER (publication_state = 'staged') AS staged FROM v_entity GROUP BY ROLLUP (type)"),

@@ -203,3 +203,19 @@ def test_fold_is_compatibility_decomposition(spark):
     want = {n: "".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c)).lower() for n in names}
     got = {r["n"]: r["f"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", fold(F.col("n")).alias("f")).collect()}
     assert got == want
+
+
+def test_a_second_run_of_the_same_records_changes_nothing(spark):
+    kind = "source_id string, target_id string, relation string, ref string, amount double, at int"
+    old = spark.createDataFrame([("a", "b", "r", 7.0)], "source_id string, target_id string, relation string, weight double")
+    rows = [("a", "b", "r", "1", 5.0, 2), ("a", "b", "r", "1", 9.0, 1), ("a", "b", "r", "2", None, 1), ("c", "d", "r", "1", 5.0, 1), ("c", "d", "r", "1", 5.0, 2), ("e", "f", "r", None, 4.0, 1)]
+    new = spark.createDataFrame(rows, kind)
+    for policy, want in (("first_sighting", {"a": 16.0, "c": 5.0, "e": 0.0}), ("count_refs", {"a": 9.0, "c": 1.0, "e": 0.0})):
+        show = lambda df: {r["source_id"]: r["weight"] for r in df.collect()}
+        once = edges.upsert(old, new, policy, order="at")
+        assert show(once) == want
+        ledger = edges.counted(None, new)
+        assert show(edges.upsert(once, new, policy, ledger, order="at")) == want
+        more = spark.createDataFrame([("a", "b", "r", "3", 1.0, 1), ("a", "b", "r", "1", 100.0, 1)], kind)
+        assert show(edges.upsert(once, more, policy, ledger, order="at"))["a"] == want["a"] + 1.0
+        assert edges.counted(ledger, more).count() == ledger.count() + 1
