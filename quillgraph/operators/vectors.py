@@ -27,32 +27,47 @@ def _chunks(vectors: DataFrame, block: str, chunk: int) -> DataFrame:
     return packed.select(F.col(block).alias("block"), "part", F.col("rows.id").alias("ids"), F.col("rows.embedding").alias("vs"))
 
 
-def _unit(vs: list) -> np.ndarray:
-    """Rows of length one; those without a length are zero."""
-    m = np.array(vs, np.float64).reshape(len(vs), -1)
+def _unit(vs: pa.Array, n: int) -> np.ndarray:
+    """The n vectors of a chunk as rows of length one; those without a length are zero."""
+    m = vs.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(batches: Iterator[pa.RecordBatch], k: int, minimum: float, same: bool) -> Iterator[pa.RecordBatch]:
+def _best(batches: Iterator[pa.RecordBatch], k: int | None, minimum: float, same: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            ids_a, va, ids_b, vb = (batch.column(c)[i].as_py() for c in ("ids", "vs", "ids_b", "vs_b"))
-            x, y, b = _unit(va), _unit(vb), np.array(ids_b)
+            ids_a, ids_b = batch.column("ids")[i].as_py(), batch.column("ids_b")[i].as_py()
+            x, y, b = _unit(batch.column("vs").slice(i, 1), len(ids_a)), _unit(batch.column("vs_b").slice(i, 1), len(ids_b)), np.array(ids_b)
             s = np.round(x @ y.T, 9)
             if same:
                 s[np.array(ids_a)[:, None] == b[None, :]] = -2.0
             s[~x.any(1)] = -2.0
             s[:, ~y.any(1)] = -2.0
-            edge = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])] if s.shape[1] else np.zeros(len(x))
+            few = k is not None and s.shape[1]
+            edge = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])] if few else np.full(len(x), -1.0)
             out = []
             for r in range(len(x)):
                 hit = np.flatnonzero(s[r] >= max(edge[r], minimum))
                 hit = hit[np.lexsort((b[hit], -s[r, hit]))[:k]]
                 out += [(ids_a[r], b[h].item(), float(s[r, h])) for h in hit]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
-            kind = batch.schema.field("ids").type.value_type
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+            kind, other = (batch.schema.field(c).type.value_type for c in ("ids", "ids_b"))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], other), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+
+
+def _found(vectors: DataFrame, block: str, k: int | None, minimum: float, chunk: int, among: DataFrame | None) -> DataFrame:
+    usable = lambda df: df.select("id", "embedding", block).filter("id IS NOT NULL AND embedding IS NOT NULL")
+    left = _chunks(usable(vectors), block, chunk)
+    right = (left if among is None else _chunks(usable(among), block, chunk)).select("block", F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("vs").alias("vs_b"))
+    pairs = left.join(right, "block").repartition("block", "part", "part_b").select("ids", "vs", "ids_b", "vs_b")
+    a, b = (dict(df.dtypes)["id"] for df in (vectors, vectors if among is None else among))
+    return pairs.mapInArrow(partial(_best, k=k, minimum=minimum, same=among is None), f"a {a}, b {b}, similarity double")
+
+
+def within(vectors: DataFrame, block: str, minimum: float, chunk: int = CHUNK) -> DataFrame:
+    """a, b, similarity of all ordered pairs of a block that are at least so near; as many rows as there are such pairs."""
+    return _found(vectors, block, None, minimum, chunk, None)
 
 
 def nearest(vectors: DataFrame, block: str, k: int, minimum: float = -1.0, chunk: int = CHUNK, among: DataFrame | None = None) -> DataFrame:
@@ -62,11 +77,6 @@ def nearest(vectors: DataFrame, block: str, k: int, minimum: float = -1.0, chunk
     is given. Equal similarities go by b. Vectors without a
     length have no neighbours. A block of n vectors costs (n / chunk)^2 products of bounded size.
     """
-    kind = dict(vectors.dtypes)["id"]
-    usable = lambda df: df.select("id", "embedding", block).filter("id IS NOT NULL AND embedding IS NOT NULL")
-    left = _chunks(usable(vectors), block, chunk)
-    right = (left if among is None else _chunks(usable(among), block, chunk)).select("block", F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("vs").alias("vs_b"))
-    pairs = left.join(right, "block").repartition("block", "part", "part_b").select("ids", "vs", "ids_b", "vs_b")
-    found = pairs.mapInArrow(partial(_best, k=k, minimum=minimum, same=among is None), f"a {kind}, b {kind}, similarity double")
+    found = _found(vectors, block, k, minimum, chunk, among)
     order = W.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import group_ab, group_cd, group_ef, group_g, group_h
+from . import group_ab, group_cd, group_ef, group_g, group_h, group_i
 
-GROUPS = (group_ab, group_cd, group_ef, group_g, group_h)
+GROUPS = (group_ab, group_cd, group_ef, group_g, group_h, group_i)
 
 
 def queries() -> dict:
