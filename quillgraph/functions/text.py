@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,21 +11,6 @@ from pyspark.sql import functions as F
 LEGAL_SUFFIXES = ("incorporated", "corporation", "company", "limited", "inc", "corp", "co", "llc", "llp", "lp", "ltd", "plc", "gmbh", "sa", "nv", "pac")
 
 
-def _folds() -> tuple[dict[str, str], dict[str, str]]:
-    """What compatibility decomposition without combining marks makes of a small letter, where that changes
-    it: single characters, and those that become several. Hangul syllables and ideographs stay."""
-    one, many = {}, {}
-    for c in map(chr, [*range(0xA0, 0x3400), *range(0xFB00, 0x10000), *range(0x1D400, 0x1D800)]):
-        if c == c.lower() and not unicodedata.combining(c):
-            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
-            if plain != c and len(plain) == 1:
-                one[c] = plain
-            elif plain != c and plain and ord(c) < 0x2200 or 0xFB00 <= ord(c) < 0xFB07:
-                many[c] = plain
-    return one, many
-
-
-_ONE, _MANY = _folds()
 # Money bands of the filings, low and high bound (None: open).
 BANDS = {
     "None (or less than $201)": (0, 200), "None (or less than $1,001)": (0, 1000), "$0 - $200": (0, 200), "$201 - $1,000": (201, 1000),
@@ -52,16 +36,15 @@ def lookup(values: dict, key: Column, default: Column | None = None) -> Column:
 
 
 def fold(name: Column) -> Column:
-    """Compatibility decomposition, combining marks dropped, lower case, by tables made from that rule.
+    """Compatibility decomposition, combining marks dropped, lower case.
 
-    Plain ASCII, nearly all names, is only put in lower case; the few characters that become several are
-    looked up one by one, where a name has any.
+    Plain ASCII, nearly all names, is only put in lower case; the normaliser that Spark's collations rest on is
+    called for the others alone. Spark takes such a call for one that may differ between calls, so a
+    name that is folded in a projection is folded once, however often the result is named above it.
     """
-    low = F.lower(F.regexp_replace(name, r"\p{M}+", ""))
-    single = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
-    several = F.array_join(F.transform(F.split(single, ""), lambda c: lookup(_MANY, c, c)), "")
-    has_several = F.translate(low, "".join(_MANY), "") != low
-    return F.when(F.octet_length(low) == F.length(low), low).when(~has_several, single).otherwise(several)
+    decomposed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), name, F.lit(True))
+    plain = F.when(F.octet_length(name) > F.length(name), F.regexp_replace(decomposed, r"\p{M}+", "")).otherwise(name)
+    return F.lower(plain)
 
 
 def normalize_name(name: Column) -> Column:

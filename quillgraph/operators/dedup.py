@@ -18,18 +18,21 @@ DEFAULT_RULES = ("ext_id", "sec_former_name", "exact_name", "squashed_name", "pr
 ID_RULES = ("ext_id", "sec_former_name")
 PERSON_SIDE = ("person", "candidate")
 PREFIX_MIN, PREFIX_TAIL, VECTOR_MIN = 12, 10, 0.93
-#: Prefix variants (short, long) reviewed by hand, which merge by default.
+# Prefix variants (short, long) reviewed by hand, which merge by default.
 PREFIX_CURATED = (("palantir technologies", "palantir technologies in"), ("palantir technologies", "palantir technologies inclass"))
 # Squashed names of concepts that are not organisations.
 CONCEPT_NOT_ORG = ("401k", "adr", "aietf", "chipmakers")
 
 
 def profile(g: Graph) -> DataFrame:
-    """Entities with norm, edge and alias counts and namespaces: one row each, three grouped joins."""
+    """Entities with norm, edge and alias counts and namespaces: one row each, three grouped joins.
+
+    Names that were normalised before (a column ``norm``) are taken as they are.
+    """
     degree = incident(g.edges.select("source_id", "target_id")).groupBy(F.col("node").alias("id")).agg(F.count("*").alias("edge_count"))
     ns = lookup_namespace(F.col("source_system"))
     names = g.aliases.groupBy(F.col("canonical_id").alias("id")).agg(F.count("*").alias("alias_count"), F.array_sort(F.collect_set(ns)).alias("namespaces"))
-    e = g.entities.withColumn("norm", normalize_name(F.col("name")))
+    e = g.entities if "norm" in g.entities.columns else g.entities.withColumn("norm", normalize_name(F.col("name")))
     return e.join(degree, "id", "left").join(names, "id", "left").withColumns({
         "edge_count": F.coalesce("edge_count", F.lit(0)), "alias_count": F.coalesce("alias_count", F.lit(0)),
         "namespaces": F.coalesce("namespaces", F.array().cast("array<string>")),

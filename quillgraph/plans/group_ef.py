@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..model import ENTITY_TYPES, Graph
 from ..operators import dedup, flow, graph, scrutiny
+from ..storage import materialize
 from .group_ab import _LABEL, norm_sql
 from .group_cd import RECIPIENTS, SPONSORED
 from .views import duck, table, view
@@ -64,11 +65,12 @@ def _twins(s, d):
 
 def _plan(s, d):
     g = _twins(s, d)
-    # the rules and the gate read names, types and modes; counts serve the survivors alone
-    named = g.entities.withColumn("norm", X.normalize_name(F.col("name")))
+    # the rules and the gate read names, types and modes; counts serve the survivors alone. Names are normalised once:
+    # five rules and the gate read them from the written table
+    named = materialize(g.entities.withColumn("norm", X.normalize_name(F.col("name"))))
     pairs = dedup.ext_id_pairs(g.aliases).unionByName(dedup.former_name_pairs(g.aliases, named)).unionByName(dedup.exact_name_pairs(named))
     pairs = pairs.unionByName(dedup.squashed_pairs(named)).unionByName(dedup.prefix_pairs(named))
-    return g, dedup.profile(g), dedup.gate(pairs, named)
+    return g, dedup.profile(Graph(named, g.aliases, g.edges, g.citations, g.scrutiny)), dedup.gate(pairs, named)
 
 
 _KEY = """CASE source_system WHEN 'sec.cik' THEN 'sec_cik:' || regexp_replace(source_id, '^0+', '') WHEN 'fec.committee' THEN 'fec_committee:' || source_id WHEN 'bioguide' THEN 'bioguide:' || source_id END"""
@@ -101,7 +103,7 @@ _COMP = f"""{_PAIRS}, l AS (SELECT a AS u, b AS v FROM gated WHERE outcome = 'ac
 
 def _survivors(s, d):
     _, rows, gated = _plan(s, d)
-    return dedup.survivors(dedup.clusters(gated, rows), rows).select("id", "cluster", "survivor", "type", "conflict")
+    return dedup.survivors(dedup.clusters(materialize(gated), rows), rows).select("id", "cluster", "survivor", "type", "conflict")
 
 
 def _type_gate(s, d):
@@ -114,7 +116,7 @@ def _type_gate(s, d):
 
 def _components(s, d):
     _, rows, gated = _plan(s, d)
-    return dedup.clusters(gated, rows).select("id", "cluster", "refused")
+    return dedup.clusters(materialize(gated), rows).select("id", "cluster", "refused")
 
 
 def _mapping(s, d):

@@ -1,12 +1,12 @@
-"""Incremental resolving."""
+"""Incremental resolving, merges from a queue."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import mentions
+from ..operators import crosswalk, mentions
 from .group_ab import norm_sql
-from .views import table
+from .views import duck, table, view
 
 _KIND = "CASE label WHEN 0 THEN 'person' WHEN 1 THEN ' Org ' WHEN 2 THEN 'gizmo' ELSE 'concept' END"
 _TYPE = "CASE label WHEN 0 THEN 'person' WHEN 1 THEN 'organization' WHEN 2 THEN 'unknown' ELSE 'concept' END"
@@ -48,6 +48,30 @@ _SQL = f"""WITH RECURSIVE m AS (SELECT ((vec_id + j) % 4) * 1000000000 + vec_id
   SELECT r.id, r.type, coalesce(w.known, 'new:' || q.id::VARCHAR) AS entity, w.how FROM w JOIN r ON r.n = w.n LEFT JOIN r q ON q.n = w.maker
   UNION ALL SELECT id, type, NULL, 'skipped' FROM m WHERE e IS NULL"""
 
+def _queue(s, d):
+    """Each customer into the one of half its number (long chains), suppliers into no entity, nations in a round."""
+    c, p, n = table(s, d, "customer"), table(s, d, "supplier"), table(s, d, "nation")
+    rows = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("C:"), "c_custkey").alias("from_id"), F.concat(F.lit("C:"), F.expr("c_custkey div 2")).alias("to_id"))
+    rows = rows.unionByName(p.select((-F.col("s_suppkey")).alias("id"), F.concat(F.lit("C:"), "s_suppkey").alias("from_id"), F.concat(F.lit("K:"), "s_suppkey").alias("to_id")))
+    rows = rows.unionByName(n.select((F.col("n_nationkey") + 1000000000).cast("long").alias("id"), F.concat(F.lit("N:"), "n_nationkey").alias("from_id"), F.concat(F.lit("N:"), (F.col("n_nationkey") + 7) % 25).alias("to_id")))
+    return rows.withColumn("applied_at", F.lit(None).cast("timestamp"))
+
+
+_QUEUE = """q AS (SELECT c_custkey AS id, 'C:' || c_custkey::VARCHAR AS from_id, 'C:' || (c_custkey // 2)::VARCHAR AS to_id FROM customer
+    UNION ALL SELECT -s_suppkey, 'C:' || s_suppkey::VARCHAR, 'K:' || s_suppkey::VARCHAR FROM supplier
+    UNION ALL SELECT n_nationkey + 1000000000, 'N:' || n_nationkey::VARCHAR, 'N:' || ((n_nationkey + 7) % 25)::VARCHAR FROM nation),
+  md AS MATERIALIZED (SELECT id, CASE surface_mode WHEN 'suppress' THEN 2 WHEN 'alias' THEN 1 ELSE 0 END AS m FROM v_entity),
+  j AS (SELECT q.*, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 'missing' WHEN from_id = to_id THEN 'same' WHEN a.m > b.m THEN 'refused' END AS v FROM q LEFT JOIN md a ON a.id = from_id LEFT JOIN md b ON b.id = to_id),
+  l AS MATERIALIZED (SELECT id, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY id) AS rn FROM j WHERE v IS NULL) WHERE rn = 1),
+  reach AS (SELECT from_id AS x, to_id AS y FROM l UNION SELECT reach.x, l.to_id FROM reach JOIN l ON l.from_id = reach.y),
+  cut AS MATERIALIZED (SELECT max(l.id) AS id FROM reach a JOIN reach b ON b.x = a.y AND b.y = a.x JOIN l ON l.from_id = a.y WHERE a.x IN (SELECT x FROM reach WHERE x = y) GROUP BY a.x),
+  l2 AS MATERIALIZED (SELECT * FROM l WHERE id NOT IN (SELECT id FROM cut)),
+  walk AS (SELECT from_id AS x, to_id AS y FROM l2 UNION ALL SELECT walk.x, l2.to_id FROM walk JOIN l2 ON l2.from_id = walk.y),
+  fin AS (SELECT x, y FROM walk WHERE y NOT IN (SELECT from_id FROM l2))
+  SELECT j.id, j.from_id, j.to_id, CASE WHEN v IS NOT NULL THEN v WHEN j.id IN (SELECT id FROM cut) THEN 'cycle' WHEN j.id IN (SELECT id FROM l2) THEN 'apply' ELSE 'duplicate' END AS verdict,
+    CASE WHEN j.id IN (SELECT id FROM l2) THEN fin.y END AS survivor FROM j LEFT JOIN fin ON fin.x = j.from_id"""
+
 QUERIES = {
+    "crosswalk_plan": (lambda s, d: crosswalk.plan(_queue(s, d), view(s, d, "v_entity")), duck(f"WITH RECURSIVE {_QUEUE}")),
     "resolve_mentions": (lambda s, d: mentions.resolve_mentions(_mentioned(s, d), _known(s, d)), _SQL),
 }

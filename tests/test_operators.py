@@ -199,7 +199,7 @@ def test_fold_is_compatibility_decomposition(spark):
 
     from quillgraph.functions.text import fold
 
-    names = ["Nguyễn Thị", "Čeněk ǍǏǑ", "ﬁne ﬂow", "ＦＵＬＬ width", "Ⅷ ½", "e\u0301t\u00e9", "Straße Łódź", "ｶﾅ", "№ 5™", "plain", "", "ĳssel Ǆ"]
+    names = ["Nguyễn Thị", "Čeněk ǍǏǑ", "ﬁne ﬂow", "ＦＵＬＬ width", "Ⅷ ½", "e\u0301t\u00e9", "Straße Łódź", "ｶﾅ", "№ 5™", "plain", "", "ĳssel Ǆ", "한글 names"]
     want = {n: "".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c)).lower() for n in names}
     got = {r["n"]: r["f"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", fold(F.col("n")).alias("f")).collect()}
     assert got == want
