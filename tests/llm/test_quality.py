@@ -126,20 +126,37 @@ def test_candidates_match_brute_force_and_take_one_walk():
     for _ in range(200):
         text = [" ", "", ","][rng.integers(0, 3)].join(bits[i] for i in rng.integers(0, len(bits), 30))
         base = secrets.base_spans(text)
-        runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text)]
         assert secrets.candidates(text, base) == [(s, e) for s, e in runs if not any(a < e and b > s for a, _, b in base)]
 
 
 def test_threshold_keeps_recall_where_labels_are_hard():
-    """With a quarter of the labels turned round the threshold gives way, not the recall."""
-    windows, y = secrets.generated(400)
+    """With a quarter of the labels turned round the threshold gives way, not the recall: on rows that set nothing."""
     rng = np.random.default_rng(8)
-    hard = np.where(rng.random(len(y)) < 0.25, 1 - np.array(y), y)
-    net = secrets.fit(windows, hard.tolist(), epochs=3)
-    held = np.flatnonzero((np.arange(len(y)) % 8 >= 6) & (hard == 1))
-    hit = net.probability([windows[i] for i in held]) >= net.threshold
-    shown = np.array([bool(secrets.candidates(windows[i][1], [])) for i in held])
-    assert (hit & shown).mean() >= secrets.RECALL
+    turned = lambda y: np.where(rng.random(len(y)) < 0.25, 1 - np.array(y), y)
+    windows, y = secrets.generated(600)
+    net = secrets.fit(windows, turned(y).tolist(), epochs=3)
+    others, z = secrets.generated(600, seed=5)
+    hit = net.probability(others) >= net.threshold
+    assert hit[turned(z) == 1].mean() >= secrets.RECALL
+
+
+def test_network_judges_the_candidates_of_the_corpus(spark):
+    """Trained on one table, it sees every long run of another, keeps the planted keys and leaves words and numbers alone."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path)
+    net = secrets.train(docs)
+    rng = np.random.default_rng(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(letters[i] for i in rng.integers(0, 52, 40)) for _ in range(100)] + ["ghp_" + "".join((letters + "0123456789")[i] for i in rng.integers(0, 62, 36)) for _ in range(100)]
+    planted = spark.createDataFrame([(i, f"some words before {k} and after") for i, k in enumerate(keys)], "doc_id long, text string")
+    found = secrets.op6(planted, net).collect()
+    assert sum(r["n_model"] for r in found) >= secrets.RECALL * len(keys) and all(r["n_candidates"] == 1 for r in found)
+    # documents whose ids drew no training row are not told apart here: the share of plain runs that are added is small
+    rows = secrets.op6(docs, net).collect()
+    runs = sum(r["n_candidates"] for r in rows)
+    assert runs > 100 and sum(r["n_model"] for r in rows) <= 0.05 * runs
+    assert all(len(r["scores"].split(",")) == len(r["spans"].split(",")) for r in rows)
 
 
 def test_secrets_train_on_odd_and_empty_tables(odd, empty):
