@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import group_ab, group_cd, group_ef, group_g, group_h, group_i
+from . import group_ab, group_cd, group_ef, group_g, group_h, group_i, group_j
 
-GROUPS = (group_ab, group_cd, group_ef, group_g, group_h, group_i)
+GROUPS = (group_ab, group_cd, group_ef, group_g, group_h, group_i, group_j)
 
 
 def queries() -> dict:
