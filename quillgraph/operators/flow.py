@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import Graph
+from ..storage import materialize
 from .gates import label_of, published
 
 
@@ -116,3 +117,46 @@ def top_citations(edges: DataFrame, citations: DataFrame, n: int) -> DataFrame:
     once = joined.withColumn("_u", F.row_number().over(W.partitionBy("source_id", "citation_url").orderBy(*order))).filter("_u = 1")
     ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("source_id").orderBy(*order))).filter(F.col("rank") <= n)
     return ranked.select("source_id", "rank", "citation_url", "kind", "edge_id")
+
+
+def bill_of(entities: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
+    """id of the bill that a text names: the one with that identifier, else the only bill whose name holds the text,
+    whatever its case. No row if there is none, or several by name; of several by identifier the smallest id."""
+    bills = entities.filter("type = 'bill'").select("id", "name")
+    known = aliases.filter((F.col("source_system") == "congress.bill") & (F.lower(F.trim("source_id")) == text.strip().lower())).select(F.col("canonical_id").alias("id"))
+    by_id = bills.join(known, "id", "left_semi").agg(F.min("id").alias("id"), F.lit(1).alias("p")).filter("id IS NOT NULL")
+    hit = bills.filter(F.lower("name").contains(text.strip().lower())) if text.strip() else bills.limit(0)
+    by_name = hit.agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").select("id", F.lit(2).alias("p"))
+    return by_id.unionByName(by_name).agg(F.min_by("id", "p").alias("id")).filter("id IS NOT NULL")
+
+
+def rollup(rows: DataFrame) -> DataFrame:
+    """One row over the rows that are returned: total_contributed, total_contracts, entities. Zero for none.
+
+    ``rows`` should be a written table (:func:`report` gives one), or the limit is worked out once more."""
+    total = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 2)
+    return rows.agg(total("contributed").alias("total_contributed"), total("contracts").alias("total_contracts"), F.count("*").alias("entities"))
+
+
+def report(g: Graph, rows: DataFrame, recipients: DataFrame, per_side: int = 3, preview: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of a model with ``captured`` and ``has_pac``, their best citations (entity, side, rank, citation_url), and
+    the totals. The ranked and limited rows are written once, and all three read them from there, so captured
+    money and citations are looked up for what is returned alone.
+
+    Contracts are cited by the entity's own edges, contributions by those of the sources whose money it was given
+    credit for, to these recipients.
+    """
+    rows = materialize(rows)
+    ids = rows.select(F.col("entity").alias("id"))
+    edges = published(g.edges, preview)
+    gated = Graph(g.entities, g.aliases, edges, g.citations)
+    full = rows.join(captured_total(gated, ids), "entity", "left")
+    own = edges.filter("relation = 'holds_contract'").join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    totals = contributions(edges, recipients)
+    moved = totals.join(sponsors(gated), totals["source_id"] == F.col("pac"), "left")
+    credit = moved.select("source_id", F.when((F.col("total") > 0) & F.col("sponsor").isNotNull(), F.col("sponsor")).otherwise(F.col("source_id")).alias("entity"))
+    credit = credit.join(rows.select("entity"), "entity", "left_semi")
+    given = edges.filter("relation = 'contributes_to'").join(recipients.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    given = given.join(credit, "source_id").withColumn("source_id", F.col("entity"))
+    side = lambda held, name: top_citations(held, g.citations, per_side).select(F.col("source_id").alias("entity"), F.lit(name).alias("side"), "rank", "citation_url")
+    return full, side(own, "contracts").unionByName(side(given, "contributions")), rollup(rows)

@@ -98,9 +98,10 @@ def search(g: Graph, q: str, limit: int = 20, preview: bool = False) -> DataFram
     by_name = allowed.select("id", F.when(name == q, 5).when(name.startswith(q), 4).when(name.contains(q), 3).alias("tier"))
     surface = F.lower("surface_name")
     by_alias = g.aliases.select(F.col("canonical_id").alias("id"), F.when(surface.startswith(q), 2).when(surface.contains(q), 1).alias("tier"))
-    hits = by_name.union(by_alias).filter("tier IS NOT NULL").groupBy("id").agg(F.max("tier").alias("tier"))
+    # few: written, so that importance is counted for them alone and their own plan is not repeated
+    hits = materialize(by_name.union(by_alias).filter("tier IS NOT NULL").groupBy("id").agg(F.max("tier").alias("tier")))
     filers = published(g.edges, preview).filter(F.col("relation").isin(*DISCLOSURE_RELATIONS)).select(F.col("source_id").alias("id")).distinct().withColumn("boost", F.lit(2))
-    weight = importance(g, preview).select(F.col("node").alias("id"), "importance")
+    weight = importance(g, preview, hits).select(F.col("node").alias("id"), "importance")
     rows = hits.join(allowed.select("id", "type", label_of().alias("label")), "id").join(filers, "id", "left").join(weight, "id", "left")
     return rows.select(
         "id", "label", "type", (F.col("tier") + F.coalesce("boost", F.lit(0))).alias("tier"), F.coalesce("importance", F.lit(0)).alias("importance")
@@ -122,6 +123,33 @@ def connections(g: Graph, ids: DataFrame, preview: bool = False) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
+def receipts(g: Graph, ids: DataFrame, rows: DataFrame, preview: bool = False, kinds: tuple[str, ...] = ("oge_278e", "oge_278t")) -> DataFrame:
+    """id, relation, other, edge_id, receipts, transactions of the dossiers of some ids.
+
+    Receipts (kind, url, ref, page) stand in order of page, then ref, null first; both ends have to be open, or a
+    page would tell who a hidden one is. Traded edges have a transaction for each receipt whose filing row
+    is known: type, date and band out of its ``parsed`` JSON (``rows``: id, parsed), read as a variant, so a
+    field that is absent, or JSON that is none, gives null. Edges without receipts are left out.
+    """
+    open_ = published(g.entities, preview).filter("surface_mode = 'open'").select("id")
+    edges = published(g.edges, preview).select(F.col("id").alias("edge_id"), "source_id", "target_id", "relation")
+    mine = incident(edges).join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
+    mine = mine.join(open_.withColumnRenamed("id", "node"), "node", "left_semi").join(open_.withColumnRenamed("id", "other"), "other", "left_semi")
+    cites = g.citations.filter(F.col("kind").isin(*kinds)).select("edge_id", "kind", "citation_url", "citation_ref", "page", "disclosure_row_id")
+    parsed = rows.select(F.col("id").alias("disclosure_row_id"), F.try_parse_json("parsed").alias("p"), F.lit(True).alias("known"))
+    told = mine.join(cites, "edge_id").join(parsed, "disclosure_row_id", "left")
+    field = lambda name: F.try_variant_get("p", f"$.{name}", "string")
+    deal = F.struct(field("transaction_type").alias("type"), field("trade_date").alias("date"), field("amount_band").alias("amount_band"), "page", F.col("citation_url").alias("url"))
+    told = told.select("node", "relation", "other", "edge_id", F.struct(
+        F.coalesce("page", F.lit(0)).alias("at"), F.coalesce("citation_ref", F.lit("")).alias("by"),
+        F.struct("kind", F.col("citation_url").alias("url"), F.col("citation_ref").alias("ref"), "page").alias("receipt"),
+        F.when((F.col("relation") == "traded") & F.col("known"), deal).alias("deal"),
+    ).alias("r"))
+    per = told.groupBy("node", "relation", "other", "edge_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return per.select(
+        F.col("node").alias("id"), "relation", "other", "edge_id", F.col("r.receipt").alias("receipts"), F.filter("r.deal", lambda x: x.isNotNull()).alias("transactions"))
+
+
 def dossier(g: Graph, id_: str, preview: bool = False, per_relation: int = 50) -> DataFrame:
     """One row: id, label, type, prominence, articles, connections (JSON by relation). No row if not to be shown."""
     spark = g.entities.sparkSession

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Alias systems that prove a public role.
-PUBLIC_SIGNALS = ("fec.committee", "fec.candidate", "bioguide", "senate.lda.registrant", "corporate.registry.officer", "corporate.registry.exec")
+# Alias systems that prove a public role; the registrant's in both its spellings.
+PUBLIC_SIGNALS = ("fec.committee", "fec.candidate", "bioguide", "senate_lda.registrant", "senate.lda.registrant", "corporate.registry.officer", "corporate.registry.exec")
 
 
 def verdicts(entities: DataFrame, aliases: DataFrame, classifier: Callable[[DataFrame], Column] | None = None) -> DataFrame:

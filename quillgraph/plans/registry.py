@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import group_ab, group_cd, group_ef, group_g, group_h, group_i, group_j, group_k
+from . import group_ab, group_cd, group_ef, group_g, group_h, group_i, group_j, group_k, group_l
 
-GROUPS = (group_ab, group_cd, group_ef, group_g, group_h, group_i, group_j, group_k)
+GROUPS = (group_ab, group_cd, group_ef, group_g, group_h, group_i, group_j, group_k, group_l)
 
 
 def queries() -> dict:
