@@ -66,17 +66,52 @@ def merge_metadata(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return last.groupBy(*keys).agg(F.to_json(F.map_from_entries(packed)).alias("metadata"))
 
 
-def cooccurrence(mentions: DataFrame, minimum: int = 1) -> DataFrame:
+def mention_pairs(mentions: DataFrame, chunk: int = 2048) -> DataFrame:
+    """artifact_id, source_id < target_id: every two entities that an artifact mentions, once.
+
+    An artifact's mentions are dealt to parts of about ``chunk`` by a hash of the entity, and parts meet in pairs,
+    so an artifact with very many mentions is as many joins of bounded size and no task's alone. Null ids are no
+    mentions.
+    """
+    m = mentions.select("artifact_id", "canonical_id").filter("artifact_id IS NOT NULL AND canonical_id IS NOT NULL").distinct()
+    parts = m.groupBy("artifact_id").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    # few artifacts have more than a part: the others need no hash and meet themselves alone
+    dealt = m.join(parts, "artifact_id").withColumn("part", F.pmod(F.xxhash64("canonical_id"), F.col("parts")).cast("int"))
+    low = dealt.select("artifact_id", F.col("canonical_id").alias("a"), F.col("part").alias("pa"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("pb"))
+    high = dealt.select("artifact_id", F.col("canonical_id").alias("b"), F.col("part").alias("pb"), F.explode(F.sequence(F.lit(0), "part")).alias("pa"))
+    met = low.join(high, ["artifact_id", "pa", "pb"]).filter((F.col("pa") < F.col("pb")) | (F.col("a") < F.col("b")))
+    return met.select("artifact_id", F.least("a", "b").alias("source_id"), F.greatest("a", "b").alias("target_id"))
+
+
+def cooccurrence(mentions: DataFrame, minimum: int = 1, chunk: int = 2048) -> DataFrame:
     """source_id < target_id, weight = artifacts shared, at least ``minimum``.
 
-    Pairs are generated inside an artifact only; partial counts are added before the shuffle.
+    Pairs are generated inside an artifact only (:func:`mention_pairs`); partial counts are added before the shuffle.
     """
-    m = mentions.select("artifact_id", "canonical_id").distinct()
-    a, b = m.select("artifact_id", F.col("canonical_id").alias("source_id")), m.select("artifact_id", F.col("canonical_id").alias("target_id"))
-    pairs = a.join(b, "artifact_id").filter("source_id < target_id")
+    pairs = mention_pairs(mentions, chunk)
     return pairs.groupBy("source_id", "target_id").agg(F.count("*").alias("weight")).filter(F.col("weight") >= minimum)
 
 
+def pair_citations(mentions: DataFrame, artifacts: DataFrame, base: str, old: DataFrame | None = None, relation: str = "mentioned_with", minimum: int = 1, chunk: int = 2048) -> DataFrame:
+    """edge_id, kind, citation_url, citation_ref of co-occurrence edges: each artifact (artifact_id, kind, slug) that
+    mentions both ends, by its permalink, once.
+
+    Artifacts that are not known are cited by their id alone. ``old`` (edge_id, citation_ref): what a former run
+    has cited is not cited again, whatever its address was then.
+    """
+    pairs = mention_pairs(mentions, chunk)
+    if minimum > 1:
+        pairs = pairs.join(cooccurrence(mentions, minimum, chunk).select("source_id", "target_id"), ["source_id", "target_id"], "left_semi")
+    from ..functions.text import permalink
+
+    known = artifacts.groupBy("artifact_id").agg(F.min_by("kind", F.coalesce("kind", F.lit(""))).alias("kind"), F.min("slug").alias("slug"))
+    ref = F.col("artifact_id").cast("string")
+    url = permalink(base, F.col("slug"), F.coalesce("kind", F.lit("artifact")), ref)
+    out = pairs.join(known, "artifact_id", "left").select(
+        F.concat_ws("|", F.lit(relation), "source_id", "target_id").alias("edge_id"), F.lit("article_permalink").alias("kind"), url.alias("citation_url"), ref.alias("citation_ref"))
+    return out if old is None else out.join(old.select("edge_id", "citation_ref"), ["edge_id", "citation_ref"], "left_anti").select(*out.columns)
+
+
 def isolated(entities: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("source_id").alias("id")).union(edges.select(F.col("target_id").alias("id")))
     return entities.join(ends, "id", "left_anti")
@@ -85,12 +120,34 @@ def isolated(entities: DataFrame, edges: DataFrame) -> DataFrame:
 def isolated_backfill(entities: DataFrame, edges: DataFrame, mentions: DataFrame, types=("event", "concept")) -> DataFrame:
     """Co-occurrence edges with at least one end that has no edge yet."""
     lone = isolated(entities.filter(F.col("type").isin(*types)), edges).select("id")
-    touched = mentions.join(lone.withColumnRenamed("id", "canonical_id"), "canonical_id", "left_semi").select("artifact_id").distinct()
-    pairs = cooccurrence(mentions.join(touched, "artifact_id", "left_semi"))
+    pairs = cooccurrence(_around(mentions, lone))
     s, t = lone.select(F.col("id").alias("source_id"), F.lit(1).alias("ls")), lone.select(F.col("id").alias("target_id"), F.lit(1).alias("lt"))
     return pairs.join(s, "source_id", "left").join(t, "target_id", "left").filter("ls = 1 OR lt = 1").select("source_id", "target_id", "weight")
 
 
+def _around(mentions: DataFrame, ids: DataFrame) -> DataFrame:
+    """All mentions of the artifacts that mention any of the ids."""
+    touched = mentions.join(ids.select(F.col("id").alias("canonical_id")), "canonical_id", "left_semi").select("artifact_id").distinct()
+    return mentions.join(touched, "artifact_id", "left_semi")
+
+
+def backfill_citations(entities: DataFrame, edges: DataFrame, mentions: DataFrame, artifacts: DataFrame, base: str, types=("event", "concept")) -> DataFrame:
+    """Citations of the edges that :func:`isolated_backfill` makes, as :func:`pair_citations` gives them."""
+    lone = isolated(entities.filter(F.col("type").isin(*types)), edges).select("id")
+    made = isolated_backfill(entities, edges, mentions, types).select(F.concat_ws("|", F.lit("mentioned_with"), "source_id", "target_id").alias("edge_id"))
+    return pair_citations(_around(mentions, lone), artifacts, base).join(made, "edge_id", "left_semi")
+
+
+def backfill_aliases(entities: DataFrame, edges: DataFrame, aliases: DataFrame, mentions: DataFrame, system: str = "mention", types=("event", "concept")) -> DataFrame:
+    """canonical_id, source_system, source_id, surface_name: the alias of its mention for every isolated entity that is
+    mentioned and has none of the system, under the first artifact by id; the name is the entity's own."""
+    lone = isolated(entities.filter(F.col("type").isin(*types)), edges).select("id", "name")
+    have = aliases.filter(F.col("source_system") == system).select(F.col("canonical_id").alias("id"))
+    first = mentions.groupBy(F.col("canonical_id").alias("id")).agg(F.min("artifact_id").cast("string").alias("source_id"))
+    rows = lone.join(have, "id", "left_anti").join(first, "id")
+    return rows.select(F.col("id").alias("canonical_id"), F.lit(system).alias("source_system"), "source_id", F.col("name").alias("surface_name"))
+
+
 def majority_kind(mentions: DataFrame) -> DataFrame:
     """The most frequent kind hint of each entity; of equals the first by name."""
     n = mentions.filter("kind_hint IS NOT NULL").groupBy("canonical_id", "kind_hint").agg(F.count("*").alias("n"))

@@ -1,14 +1,15 @@
-"""Reports over returned rows, receipts of dossiers."""
+"""Reports over returned rows, receipts of dossiers, citations of co-occurrence, rebuilt relations."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..operators import flow, graph
+from ..operators import edges, flow, graph
+from ..sinks import snapshot
 from .group_cd import RECIPIENTS, SPONSORED
 from .group_ef import _RANK, MODEL1, MODEL2, _published_edges
-from .views import duck, view
+from .views import duck, table, view
 from .views import graph as load
 
 
@@ -76,7 +77,47 @@ _DISCLOSED = """t AS (SELECT 'S:' || l_suppkey::VARCHAR AS source, CASE WHEN l_l
   rc AS (SELECT *, 'https://filings.example/#page=' || coalesce(page::VARCHAR, '') AS url, row_number() OVER w - 1 AS place, l_quantity % 11 > 0 AS known FROM t
     WHERE kind IS NOT NULL AND source IN (SELECT id FROM ok) AND target IN (SELECT id FROM ok) WINDOW w AS (PARTITION BY source, target, relation ORDER BY coalesce(page, 0), row))"""
 
+def _artifacts(s, d):
+    """Orders as artifacts; some have no slug yet, some are not known."""
+    o = table(s, d, "orders").filter("o_orderstatus <> 'P'")
+    slug = F.when(F.col("o_orderstatus") == "F", F.concat(F.lower(F.substring("o_orderpriority", 3, 20)), F.lit("-"), F.col("o_orderkey").cast("string")))
+    return o.select(F.col("o_orderkey").alias("artifact_id"), F.lit("news").alias("kind"), slug.alias("slug"))
+
+
+_ARTIFACTS = "ar AS (SELECT o_orderkey AS artifact_id, CASE WHEN o_orderstatus = 'F' THEN lower(substr(o_orderpriority, 3, 20)) || '-' || o_orderkey::VARCHAR END AS slug FROM orders WHERE o_orderstatus <> 'P')"
+_URL = """CASE WHEN coalesce(ar.slug, '') <> '' THEN 'https://read.example/' || ar.slug ELSE 'ref://' || CASE WHEN ar.artifact_id IS NULL THEN 'artifact' ELSE 'news' END || '/' || p.artifact_id::VARCHAR END"""
+
+
+def _cited_pairs(s, d):
+    """Two runs: the first has cited the artifacts of small ids, the second cites the others."""
+    m, a = view(s, d, "v_mention"), _artifacts(s, d)
+    old = edges.pair_citations(m.filter("artifact_id < 500"), a, "https://before.example")
+    return edges.pair_citations(m, a, "https://read.example", old)
+
+
+def _rebuilt(s, d):
+    """Contracts wiped and ingested again from the orders of the last years."""
+    f, old, cites = view(s, d, "v_fact").filter("o_orderdate >= '1995-01-01'"), view(s, d, "v_edge"), view(s, d, "v_citation")
+    part = lambda c: F.concat(F.lit("B:"), c)
+    new = f.groupBy(part("p_brand").alias("source_id"), F.concat(F.lit("P:"), "o_orderpriority").alias("target_id")).agg(F.sum("amt").cast("double").alias("weight"))
+    new = new.select(F.concat_ws("|", F.lit("holds_contract"), "source_id", "target_id").alias("id"), "source_id", "target_id", F.lit("holds_contract").alias("relation"), "weight")
+    was = old.select(*new.columns)
+    after, _ = snapshot.replaced(was, cites, "holds_contract", new, cites.limit(0))
+    return snapshot.changes(was, after, "relation")
+
+
 QUERIES = {
+    "pair_citations": (
+        _cited_pairs,
+        duck(f"""WITH {_ARTIFACTS}, m AS (SELECT DISTINCT artifact_id, canonical_id FROM v_mention), p AS (SELECT a.artifact_id, a.canonical_id AS s, b.canonical_id AS t FROM m a JOIN m b ON a.artifact_id = b.artifact_id AND a.canonical_id < b.canonical_id)
+          SELECT 'mentioned_with|' || s || '|' || t AS edge_id, 'article_permalink' AS kind, {_URL} AS citation_url, p.artifact_id::VARCHAR AS citation_ref FROM p LEFT JOIN ar ON ar.artifact_id = p.artifact_id WHERE p.artifact_id >= 500"""),
+    ),
+    "rebuild_changes": (
+        _rebuilt,
+        duck("""WITH b AS (SELECT relation, count(*) AS n FROM v_edge GROUP BY 1), a AS (SELECT relation, n FROM b WHERE relation <> 'holds_contract'
+            UNION ALL SELECT 'holds_contract', count(*) FROM (SELECT DISTINCT p_brand, o_orderpriority FROM v_fact WHERE o_orderdate >= DATE '1995-01-01'))
+          SELECT coalesce(b.relation, a.relation) AS relation, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM b FULL JOIN a ON a.relation = b.relation"""),
+    ),
     "flow_model1_rollup": (lambda s, d: _report(s, d)[2], _TOTALS.format(MODEL1)),
     "flow_model2_rollup": (lambda s, d: _rollup(s, d, flow.model2(load(s, d), "P:1-URGENT", ["1", "2"])), _TOTALS.format(MODEL2)),
     "flow_model1_captured": (lambda s, d: _report(s, d)[0], duck(_CAPTURED)),

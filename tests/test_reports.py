@@ -1,7 +1,7 @@
 import pytest
 
 from quillgraph.model import Graph
-from quillgraph.operators import flow, graph, scrutiny
+from quillgraph.operators import edges, flow, graph, scrutiny
 
 E = "id string, name string, type string, surface_mode string, publication_state string"
 X = "id string, source_id string, target_id string, relation string, weight double, publication_state string"
@@ -44,3 +44,27 @@ def test_registered_lobbyists_are_public_in_either_spelling(spark):
     people = spark.createDataFrame([(i, i, "person") for i in "abc"], "id string, name string, type string")
     aliases = spark.createDataFrame([("a", "senate_lda.registrant", "1"), ("b", "senate.lda.registrant", "2"), ("c", "news", "3")], "canonical_id string, source_system string, source_id string")
     assert {r["canonical_id"]: r["classification"] for r in scrutiny.verdicts(people, aliases).collect()} == {"a": "public", "b": "public", "c": "private"}
+
+
+def test_a_hot_artifact_is_dealt_to_many_tasks(spark):
+    """Pairs of parts are what the join goes by: no key holds more than a chunk with a chunk."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(1500).select(F.lit(1).alias("artifact_id"), F.format_string("%05d", "id").alias("canonical_id"))
+    cold = spark.createDataFrame([(2, "a"), (2, "b"), (2, "b"), (3, "c"), (None, "x"), (4, None)], "artifact_id int, canonical_id string")
+    pairs = edges.mention_pairs(hot.unionByName(cold), chunk=100)
+    assert pairs.filter("artifact_id = 1").count() == pairs.filter("artifact_id = 1").distinct().count() == 1500 * 1499 // 2
+    assert [tuple(r) for r in pairs.filter("artifact_id > 1").collect()] == [(2, "a", "b")]
+    plan = edges.mention_pairs(hot.unionByName(cold), chunk=100)._jdf.queryExecution().toString()
+    assert "pa" in plan and "pb" in plan and "CartesianProduct" not in plan
+
+
+def test_backfill_attaches_aliases_and_citations(spark):
+    e = spark.createDataFrame([("w1", "One", "concept"), ("w2", "Two", "event"), ("w3", "Three", "concept"), ("p", "P", "person")], "id string, name string, type string")
+    x = spark.createDataFrame([("w3", "p")], "source_id string, target_id string")
+    a = spark.createDataFrame([("w2", "mention", "7")], "canonical_id string, source_system string, source_id string")
+    m = spark.createDataFrame([(1, "w1"), (1, "w3"), (2, "w1"), (2, "w2"), (3, "w3"), (3, "p")], "artifact_id int, canonical_id string")
+    art = spark.createDataFrame([(1, "news", "slug-1"), (1, "news", "slug-2")], "artifact_id int, kind string, slug string")
+    assert [tuple(r) for r in edges.backfill_aliases(e, x, a, m).collect()] == [("w1", "mention", "1", "One")]
+    got = {(r["edge_id"], r["citation_url"], r["citation_ref"]) for r in edges.backfill_citations(e, x, m, art, "https://r").collect()}
+    assert got == {("mentioned_with|w1|w3", "https://r/slug-1", "1"), ("mentioned_with|w1|w2", "ref://artifact/2", "2")}
