@@ -1,10 +1,10 @@
-"""Rosters and committee bridges."""
+"""Rosters, committee bridges and parties."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import roster
+from ..operators import enrich, roster
 from .group_ab import norm_sql
 from .views import duck, table, view
 
@@ -68,7 +68,29 @@ _MEMBERS = f"""al AS MATERIALIZED (SELECT * FROM v_twin_alias UNION ALL {_CANDID
   SELECT mem.member, coalesce(g.entity, 'new:' || substr(sha256('bioguide|' || mem.member), 1, 16)) AS id, CASE g.level WHEN 0 THEN 'bioguide' WHEN 1 THEN 'fec.candidate' WHEN 2 THEN 'name_fragment' ELSE 'created' END AS how
   FROM mem LEFT JOIN (SELECT * FROM wlk WHERE entity IS NOT NULL) g ON g.member = mem.member"""
 
+def _records(s, d):
+    """Committee records of suppliers, half without a party, and candidate records of some."""
+    p = table(s, d, "supplier")
+    k = F.col("s_suppkey")
+    ids = F.array(*[F.concat(F.lit("H"), k + i) for i in (0, 1, 2)])
+    com = p.select(F.concat(F.lit("C"), k + 10000000).alias("fec_id"), F.when(k % 4 == 0, "REP").when(k % 4 == 1, " dem").alias("party"), F.when(k % 5 != 0, ids).alias("candidate_ids"))
+    can = p.select(F.concat(F.lit("H"), k).alias("fec_id"), F.when(k % 3 == 0, "DFL").when(k % 3 == 1, "GRE").otherwise("rep").alias("party"))
+    return com, can
+
+
+_PARTIES = """al AS (SELECT * FROM v_twin_alias),
+  td AS (SELECT fec_id, min(canonical_id) AS canonical_id FROM (SELECT canonical_id, min(source_id) AS fec_id FROM al WHERE source_system IN ('fec.committee', 'fec.disbursement.recipient')
+    AND canonical_id NOT IN (SELECT canonical_id FROM al WHERE source_system = 'party') GROUP BY 1) WHERE fec_id NOT IN (SELECT source_id FROM al WHERE source_system = 'party') GROUP BY 1),
+  own AS (SELECT 'C' || (s_suppkey + 10000000)::VARCHAR AS fec_id, CASE s_suppkey % 4 WHEN 0 THEN 'Republican' WHEN 1 THEN 'Democratic' END AS party, s_suppkey AS k FROM supplier),
+  can AS (SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'Democratic' WHEN 2 THEN 'Republican' END AS party FROM supplier),
+  far AS (SELECT own.fec_id, arg_min(can.party, can.k) AS party FROM own JOIN can ON can.k IN (own.k, own.k + 1) AND can.party IS NOT NULL WHERE own.party IS NULL AND own.k % 5 <> 0 GROUP BY 1)
+  SELECT td.canonical_id, td.fec_id AS source_id, coalesce(own.party, far.party) AS party FROM td JOIN own USING (fec_id) LEFT JOIN far USING (fec_id) WHERE coalesce(own.party, far.party) IS NOT NULL"""
+
 QUERIES = {
+    "party_enrichment": (
+        lambda s, d: enrich.party_aliases(view(s, d, "v_twin_alias"), *_records(s, d)).select("canonical_id", "source_id", F.col("surface_name").alias("party")),
+        duck(f"WITH {_PARTIES}"),
+    ),
     "roster_resolve": (lambda s, d: roster.resolve_roster(_members(s, d), view(s, d, "v_twin"), _aliases(s, d)), duck(f"WITH RECURSIVE {_MEMBERS}")),
     "committee_bridge": (
         lambda s, d: roster.committee_bridge(_links(s, d), _aliases(s, d), view(s, d, "v_edge")).withColumn("cycles", F.array_join(F.col("cycles").cast("array<string>"), ",")),
