@@ -119,21 +119,38 @@ def _components(s, d):
     return dedup.clusters(materialize(gated), rows).select("id", "cluster", "refused")
 
 
+_SURVIVORS = f"""{_COMP}, deg AS (SELECT node, count(*) AS n FROM (SELECT source_id AS node FROM v_edge UNION ALL SELECT target_id FROM v_edge WHERE source_id <> target_id) GROUP BY 1),
+          al AS (SELECT canonical_id, count(*) AS m, list(DISTINCT source_system) AS sys FROM v_twin_alias GROUP BY 1),
+          r AS (SELECT en.id, cluster, en.type, replace(norm, ' ', '') AS sq, coalesce(sys, []) AS sys, row_number() OVER (PARTITION BY cluster ORDER BY list_has_any(coalesce(sys, []), ['sec.cik', 'fec.committee', 'bioguide']) DESC, coalesce(n, 0) DESC, coalesce(m, 0) DESC, en.id) AS rn
+            FROM comp JOIN en USING (id) LEFT JOIN deg ON node = en.id LEFT JOIN al ON canonical_id = en.id WHERE cluster NOT IN (SELECT cluster FROM bad)),
+          c AS (SELECT cluster, max(id) FILTER (rn = 1) AS survivor, max(type) FILTER (rn = 1) AS own, list_sort(list(DISTINCT type) FILTER (type <> 'unknown')) AS ts, bool_or(sq IN ('401k', 'adr', 'aietf', 'chipmakers')) AS denied,
+            list_distinct(flatten(list(sys))) AS sys FROM r GROUP BY 1)"""
+_SURVIVOR_ROWS = """SELECT id, r.cluster, survivor, CASE WHEN ts IS NULL THEN CASE WHEN list_contains(c.sys, 'sec.cik') THEN 'organization' WHEN list_contains(c.sys, 'fec.committee') THEN 'pac' WHEN list_contains(c.sys, 'bioguide') THEN 'person' ELSE 'unknown' END
+              WHEN len(ts) = 1 THEN ts[1] WHEN ts = ['concept', 'organization'] AND NOT denied THEN 'organization' WHEN own = 'unknown' AND ts = ['concept', 'organization'] THEN 'concept' ELSE own END AS type,
+            coalesce(len(ts) > 1 AND NOT (ts = ['concept', 'organization'] AND NOT denied), false) AS conflict
+          FROM r JOIN c USING (cluster)"""
+
+
 def _mapping(s, d):
-    """A merge map for the merge queries: customers of one odd/even pair go to the smaller id."""
-    e = view(s, d, "v_entity").filter("id LIKE 'C:%' AND k % 10 = 1")
-    return e.select("id", F.concat(F.lit("C:"), (F.col("k") - 1).cast("string")).alias("survivor")).join(
-        view(s, d, "v_entity").select(F.col("id").alias("survivor")), "survivor", "left_semi").select("id", "survivor")
+    """What the dedup plan's clusters make of the twins: every member but the survivor, to the survivor."""
+    return materialize(_survivors(s, d).filter("id <> survivor").select("id", "survivor"))
 
 
-_MAP = """mp AS (SELECT e.id, f.id AS survivor, CASE e.surface_mode WHEN 'suppress' THEN 2 WHEN 'alias' THEN 1 ELSE 0 END AS dr, CASE f.surface_mode WHEN 'suppress' THEN 2 WHEN 'alias' THEN 1 ELSE 0 END AS kr
-    FROM v_entity e JOIN v_entity f ON f.id = 'C:' || (e.k - 1)::VARCHAR WHERE e.id LIKE 'C:%' AND e.k % 10 = 1),
+_MAP = f"""{_SURVIVORS}, mp AS MATERIALIZED (SELECT r.id, survivor, CASE e.surface_mode WHEN 'suppress' THEN 2 WHEN 'alias' THEN 1 ELSE 0 END AS dr, CASE f.surface_mode WHEN 'suppress' THEN 2 WHEN 'alias' THEN 1 ELSE 0 END AS kr
+    FROM r JOIN c USING (cluster) JOIN en e ON e.id = r.id JOIN en f ON f.id = survivor WHERE r.id <> survivor),
   mv AS (SELECT e.id, coalesce(s.survivor, source_id) AS s, coalesce(t.survivor, target_id) AS t, source_id AS os, target_id AS ot, relation, weight FROM v_edge e
-    LEFT JOIN {0} s ON s.id = source_id LEFT JOIN {0} t ON t.id = target_id)"""
+    LEFT JOIN {{0}} s ON s.id = source_id LEFT JOIN {{0}} t ON t.id = target_id)"""
+_ALLOWED = "(SELECT * FROM mp WHERE dr <= kr)"
+_POST = f"""{_MAP.format(_ALLOWED)}, me AS (SELECT min(id) AS id, s, t, list(id) AS old FROM mv WHERE NOT (s = t AND os <> ot) GROUP BY s, t, relation),
+  mc AS (SELECT me.id AS edge_id FROM (SELECT id, unnest(old) AS was FROM me) me JOIN v_citation ON edge_id = was)
+  SELECT (SELECT count(*) FROM v_twin WHERE id NOT IN (SELECT id FROM {_ALLOWED})) = (SELECT count(*) FROM v_twin) - (SELECT count(*) FROM mp) AS entities_ok,
+    (SELECT count(*) FROM mc WHERE edge_id NOT IN (SELECT id FROM me)) <= (SELECT count(*) FROM v_citation WHERE edge_id NOT IN (SELECT id FROM v_edge)) AS no_new_orphans,
+    (SELECT count(*) FROM me WHERE id NOT IN (SELECT edge_id FROM mc)) <= (SELECT count(*) FROM v_edge WHERE id NOT IN (SELECT edge_id FROM v_citation)) AS no_new_uncited,
+    (SELECT count(*) FROM me WHERE s = t) <= (SELECT count(*) FROM v_edge WHERE source_id = target_id) AS no_new_loops"""
 
 
 def _merged(s, d):
-    out = dedup.merge(load(s, d), _mapping(s, d))
+    out = dedup.merge(_twins(s, d), _mapping(s, d))
     return out.edges.select("id", "source_id", "target_id", F.round("weight", 2).alias("weight"))
 
 
@@ -158,11 +175,8 @@ def _publish(s, d, batch, out):
 
 
 def _post(s, d):
-    g = load(s, d)
-    m = _mapping(s, d)
-    after = dedup.merge(g, m)
-    merged = g.entities.count() - after.entities.count()
-    return dedup.postconditions(dedup.invariants(g), dedup.invariants(after), merged)
+    g, m = _twins(s, d), _mapping(s, d)
+    return dedup.postconditions(dedup.invariants(g), dedup.invariants(dedup.merge(g, m)), m.count())
 
 
 def _names(s, d):
@@ -198,33 +212,24 @@ QUERIES = {
     "dedup_components": (_components, duck(f"WITH RECURSIVE {_COMP} SELECT id, cluster, cluster IN (SELECT cluster FROM bad) AS refused FROM comp")),
     "dedup_survivors": (
         _survivors,
-        duck(f"""WITH RECURSIVE {_COMP}, deg AS (SELECT node, count(*) AS n FROM (SELECT source_id AS node FROM v_edge UNION ALL SELECT target_id FROM v_edge WHERE source_id <> target_id) GROUP BY 1),
-          al AS (SELECT canonical_id, count(*) AS m, list(DISTINCT source_system) AS sys FROM v_twin_alias GROUP BY 1),
-          r AS (SELECT en.id, cluster, en.type, replace(norm, ' ', '') AS sq, coalesce(sys, []) AS sys, row_number() OVER (PARTITION BY cluster ORDER BY list_has_any(coalesce(sys, []), ['sec.cik', 'fec.committee', 'bioguide']) DESC, coalesce(n, 0) DESC, coalesce(m, 0) DESC, en.id) AS rn
-            FROM comp JOIN en USING (id) LEFT JOIN deg ON node = en.id LEFT JOIN al ON canonical_id = en.id WHERE cluster NOT IN (SELECT cluster FROM bad)),
-          c AS (SELECT cluster, max(id) FILTER (rn = 1) AS survivor, max(type) FILTER (rn = 1) AS own, list_sort(list(DISTINCT type) FILTER (type <> 'unknown')) AS ts, bool_or(sq IN ('401k', 'adr', 'aietf', 'chipmakers')) AS denied,
-            list_distinct(flatten(list(sys))) AS sys FROM r GROUP BY 1)
-          SELECT id, r.cluster, survivor, CASE WHEN ts IS NULL THEN CASE WHEN list_contains(c.sys, 'sec.cik') THEN 'organization' WHEN list_contains(c.sys, 'fec.committee') THEN 'pac' WHEN list_contains(c.sys, 'bioguide') THEN 'person' ELSE 'unknown' END
-              WHEN len(ts) = 1 THEN ts[1] WHEN ts = ['concept', 'organization'] AND NOT denied THEN 'organization' WHEN own = 'unknown' AND ts = ['concept', 'organization'] THEN 'concept' ELSE own END AS type,
-            coalesce(len(ts) > 1 AND NOT (ts = ['concept', 'organization'] AND NOT denied), false) AS conflict
-          FROM r JOIN c USING (cluster)"""),
+        duck(f"WITH RECURSIVE {_SURVIVORS} {_SURVIVOR_ROWS}"),
     ),
     "dedup_predict": (
         lambda s, d: dedup.predict(view(s, d, "v_edge"), _mapping(s, d)),
-        duck(f"""WITH {_MAP.format('mp')}, g AS (SELECT count(*) AS n, count(*) FILTER (s = t AND os <> ot) AS l FROM mv GROUP BY s, t, relation)
+        duck(f"""WITH RECURSIVE {_MAP.format('mp')}, g AS (SELECT count(*) AS n, count(*) FILTER (s = t AND os <> ot) AS l FROM mv GROUP BY s, t, relation)
           SELECT sum(n)::BIGINT AS before, sum(l)::BIGINT AS self_loops, sum(greatest(n - l - 1, 0))::BIGINT AS collisions, sum(least(n - l, 1))::BIGINT AS after FROM g"""),
     ),
     "merge_aggregate": (
         _merged,
-        duck(f"""WITH {_MAP.format('(SELECT * FROM mp WHERE dr <= kr)')} SELECT min(id) AS id, s AS source_id, t AS target_id, round(sum(weight), 2) AS weight FROM mv WHERE NOT (s = t AND os <> ot) GROUP BY s, t, relation"""),
+        duck(f"""WITH RECURSIVE {_MAP.format(_ALLOWED)} SELECT min(id) AS id, s AS source_id, t AS target_id, round(sum(weight), 2) AS weight FROM mv WHERE NOT (s = t AND os <> ot) GROUP BY s, t, relation"""),
     ),
     "merge_keep_weight": (
         lambda s, d: dedup.merge_edges(view(s, d, "v_edge"), _mapping(s, d), "keep").select("id", "weight"),
-        duck(f"WITH {_MAP.format('mp')} SELECT min(id) AS id, arg_min(weight, id) AS weight FROM mv WHERE NOT (s = t AND os <> ot) GROUP BY s, t, relation"),
+        duck(f"WITH RECURSIVE {_MAP.format('mp')} SELECT min(id) AS id, arg_min(weight, id) AS weight FROM mv WHERE NOT (s = t AND os <> ot) GROUP BY s, t, relation"),
     ),
     "merge_citations": (
-        lambda s, d: dedup.merge(load(s, d), _mapping(s, d)).citations.groupBy("edge_id").agg(F.count("*").alias("n")),
-        duck(f"""WITH {_MAP.format('(SELECT * FROM mp WHERE dr <= kr)')}, g AS (SELECT id, min(id) OVER (PARTITION BY s, t, relation) AS to_id FROM mv WHERE NOT (s = t AND os <> ot))
+        lambda s, d: dedup.merge(_twins(s, d), _mapping(s, d)).citations.groupBy("edge_id").agg(F.count("*").alias("n")),
+        duck(f"""WITH RECURSIVE {_MAP.format(_ALLOWED)}, g AS (SELECT id, min(id) OVER (PARTITION BY s, t, relation) AS to_id FROM mv WHERE NOT (s = t AND os <> ot))
           SELECT to_id AS edge_id, count(*) AS n FROM v_citation c JOIN g ON g.id = c.edge_id GROUP BY 1"""),
     ),
     "publish_batch": (
@@ -246,7 +251,7 @@ QUERIES = {
           UNION ALL SELECT 'aliases', count(*) FROM v_alias UNION ALL SELECT 'uncited_edges', count(*) FROM v_edge WHERE id NOT IN (SELECT edge_id FROM v_citation)
           UNION ALL SELECT 'orphan_citations', count(*) FROM v_citation WHERE edge_id NOT IN (SELECT id FROM v_edge) UNION ALL SELECT 'self_loops', count(*) FROM v_edge WHERE source_id = target_id"""),
     ),
-    "postconditions": (_post, "SELECT true AS entities_ok, true AS no_new_orphans, true AS no_new_uncited, true AS no_new_loops"),
+    "postconditions": (_post, duck(f"WITH RECURSIVE {_POST}")),
     "scrutiny_verdicts": (_verdict, duck(f"WITH {_VERDICT} SELECT canonical_id, classification, CASE classification WHEN 'public' THEN 'surface' ELSE 'suppress' END AS decision FROM vd")),
     "surface_modes": (
         _modes,
