@@ -22,6 +22,9 @@ BANDS = {
 }
 TRIVIAL_BANDS = ("None (or less than $201)", "None (or less than $1,001)")
 DESIGNATION_RANK = {"P": 0, "A": 1, "D": 2, "J": 3, "U": 4}
+DESIGNATIONS = {
+    "P": "principal campaign committee", "A": "authorized committee", "D": "leadership PAC", "J": "joint fundraising committee", "U": "unauthorized committee", "B": "lobbyist/registrant PAC",
+}
 PARTIES = {"REP": "Republican", "DEM": "Democratic", "DFL": "Democratic"}
 KINDS = {
     "person": "person", "org": "organization", "organization": "organization", "company": "organization", "pac": "pac", "agency": "agency",
@@ -104,12 +107,17 @@ def last_first(label: Column) -> Column:
     return F.when(up.contains(" "), F.regexp_replace(up, r"^(.*)\s+(\S+)$", "$2, $1")).otherwise(up)
 
 
-def name_variants(first: Column, last: Column, middle: Column, nick: Column, official: Column) -> Column:
-    full = lambda *p: F.when(reduce(lambda a, b: a & b, [(x.isNotNull()) & (x != "") for x in p]), F.concat_ws(" ", *p))
-    listed = F.array(
-        F.when(official != "", official), full(first, last), F.when(first.isNotNull() & last.isNotNull(), F.concat(F.upper(last), F.lit(", "), F.upper(first))),
-        full(nick, last), full(first, middle, last),
-    )
+def name_variants(first: Column, last: Column, middle: Column, nick: Column, official: Column, suffix: Column | None = None, others: Column | None = None) -> Column:
+    """All spellings of a member's name, each once, in order: the official name, the parts, LAST, FIRST as filings
+    have it, first and last, nickname and last, first, middle and last, and other names (array of first, last; a
+    missing first is the member's own). Blank parts make nothing."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    f, n, m, k, o = (some(c) for c in (first, last, middle, nick, official))
+    full = lambda *p, by=" ": F.when(reduce(lambda a, b: a & b, [x.isNotNull() for x in p]), F.concat_ws(by, *p))
+    listed = F.array(o, f, n, m, k, *([some(suffix)] if suffix is not None else []), full(n, f, by=", "), full(f, n), full(k, n), full(f, m, n))
+    if others is not None:
+        own = F.transform(others, lambda x: F.when(some(x["last"]).isNotNull(), F.trim(F.concat_ws(" ", F.coalesce(some(x["first"]), f), some(x["last"])))))
+        listed = F.concat(listed, F.coalesce(own, F.array().cast("array<string>")))
     return F.array_distinct(F.filter(listed, lambda x: x.isNotNull()))
 
 
@@ -173,6 +181,17 @@ def recipient_type(text: Column) -> Column:
     return F.when(t.startswith("CANDIDATE"), F.lit("candidate")).when(F.coalesce(t, F.lit("")) != "", F.lit("pac")).otherwise(F.lit("organization"))
 
 
+def contributor_type(text: Column) -> Column:
+    """What a committee that gives is: pac where its kind says so, else organization."""
+    t = F.upper(F.coalesce(text, F.lit("")))
+    return F.when(t.contains("PAC") | t.contains("SUPER"), F.lit("pac")).otherwise(F.lit("organization"))
+
+
+def designation_label(code: Column) -> Column:
+    """The designation in words; a code that is none stays as it is."""
+    return lookup(DESIGNATIONS, code, code)
+
+
 def title_words(name: Column) -> Column:
     return F.initcap(F.lower(name))
 

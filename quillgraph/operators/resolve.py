@@ -135,3 +135,50 @@ def seeds(anchors: DataFrame, domains: list[str] | None = None, types: list[str]
 
 def seeds_per_domain(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("priority_domain").agg(F.count("*").alias("n"))
+
+
+def retyped(entities: DataFrame, aliases: DataFrame, types: tuple[str, ...] = ("event", "concept")) -> DataFrame:
+    """Entities with the type of those that have none (unknown) set to what most of their aliases hint at, if that is
+    one of ``types``. Blank hints count as a kind of their own; of equals the first by name."""
+    hint = F.lower(F.trim(F.coalesce("kind_hint", F.lit(""))))
+    n = aliases.groupBy(F.col("canonical_id").alias("id"), hint.alias("kind")).agg(F.count("*").alias("n"))
+    best = n.groupBy("id").agg(F.min_by("kind", F.struct((-F.col("n")).alias("n"), F.col("kind"))).alias("kind"))
+    new = F.when((F.col("type") == "unknown") & F.col("kind").isin(*types), F.col("kind")).otherwise(F.col("type"))
+    return entities.join(best, "id", "left").withColumn("type", new).select(*entities.columns)
+
+
+def type_shares(before: DataFrame, after: DataFrame) -> DataFrame:
+    """type, before, after, before_percent, after_percent: entities by type in two snapshots, and their share of all,
+    to one decimal; null for an empty snapshot."""
+    n = lambda df, name: df.groupBy("type").agg(F.count("*").alias(name))
+    both = n(before, "before").join(n(after, "after"), "type", "full_outer").select("type", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+    total = both.agg(F.sum("before").alias("tb"), F.sum("after").alias("ta"))
+    share = lambda c, t: F.when(F.col(t) > 0, F.round(100 * F.col(c) / F.col(t), 1))
+    return both.join(F.broadcast(total)).select("type", "before", "after", share("before", "tb").alias("before_percent"), share("after", "ta").alias("after_percent"))
+
+
+def first_of(*frames: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of several lists, one a key: that of the first list which has it, and there the smallest."""
+    rest = [c for c in frames[0].columns if c != key]
+    rows = None
+    for i, df in enumerate(frames):
+        one = df.select(key, F.struct(F.lit(i).alias("_i"), *rest).alias("_r"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(key).agg(F.min("_r").alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def vote_edges(votes: DataFrame, aliases: DataFrame, edges: DataFrame) -> DataFrame:
+    """source_id, target_id, relation, citation_ref, citation_url of vote edges that are not there yet.
+
+    ``votes``: member (bioguide), bill (entity), vote, ref, url, at. Only votes with a direction make an edge, one a
+    member, bill and direction, cited by its first vote (``at``, then ref); members who are no entity make none, of
+    several entities with one id the smallest.
+    """
+    from ..functions.text import vote_direction
+
+    who = aliases.filter("source_system = 'bioguide'").groupBy(F.col("source_id").alias("member")).agg(F.min("canonical_id").alias("source_id"))
+    cast = votes.withColumn("relation", vote_direction(F.col("vote"))).filter("relation IS NOT NULL AND bill IS NOT NULL").join(who, "member")
+    first = F.min(F.struct("at", "ref", "url")).alias("f")
+    made = cast.groupBy("source_id", F.col("bill").alias("target_id"), "relation").agg(first)
+    there = edges.select("source_id", "target_id", "relation")
+    return made.join(there, ["source_id", "target_id", "relation"], "left_anti").select("source_id", "target_id", "relation", F.col("f.ref").alias("citation_ref"), F.col("f.url").alias("citation_url"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import enrich, roster
+from ..operators import enrich, resolve, roster
 from .group_ab import norm_sql
 from .views import duck, table, view
 
@@ -86,7 +86,46 @@ _PARTIES = """al AS (SELECT * FROM v_twin_alias),
   far AS (SELECT own.fec_id, arg_min(can.party, can.k) AS party FROM own JOIN can ON can.k IN (own.k, own.k + 1) AND can.party IS NOT NULL WHERE own.party IS NULL AND own.k % 5 <> 0 GROUP BY 1)
   SELECT td.canonical_id, td.fec_id AS source_id, coalesce(own.party, far.party) AS party FROM td JOIN own USING (fec_id) LEFT JOIN far USING (fec_id) WHERE coalesce(own.party, far.party) IS NOT NULL"""
 
+def _hints(s, d):
+    """Entities of no type, one a part, and their mentions' hints as aliases."""
+    e = table(s, d, "part").select(F.concat(F.lit("W:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, "unknown").otherwise("topic").alias("type"))
+    a = table(s, d, "lineitem").select(F.concat(F.lit("W:"), "l_partkey").alias("canonical_id"), F.when(F.col("l_returnflag") == "A", " Event").when(F.col("l_returnflag") == "R", "concept").when(F.col("l_linenumber") > 4, "person").alias("kind_hint"))
+    return e, a
+
+
+def _retyped(s, d):
+    e, a = _hints(s, d)
+    return resolve.type_shares(e, resolve.retyped(e, a))
+
+
+_RETYPED = """WITH e AS (SELECT 'W:' || p_partkey::VARCHAR AS id, CASE WHEN p_size > 25 THEN 'unknown' ELSE 'topic' END AS type FROM part),
+  n AS (SELECT 'W:' || l_partkey::VARCHAR AS id, CASE WHEN l_returnflag = 'A' THEN 'event' WHEN l_returnflag = 'R' THEN 'concept' WHEN l_linenumber > 4 THEN 'person' ELSE '' END AS kind, count(*) AS n FROM lineitem GROUP BY 1, 2),
+  b AS (SELECT id, kind FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, kind) = 1),
+  a AS (SELECT CASE WHEN type = 'unknown' AND kind IN ('event', 'concept') THEN kind ELSE type END AS type FROM e LEFT JOIN b USING (id)),
+  x AS (SELECT type, count(*) AS n FROM e GROUP BY 1), y AS (SELECT type, count(*) AS n FROM a GROUP BY 1)
+  SELECT coalesce(x.type, y.type) AS type, coalesce(x.n, 0) AS before, coalesce(y.n, 0) AS after, round(100 * coalesce(x.n, 0) / (SELECT count(*) FROM e), 1) AS before_percent, round(100 * coalesce(y.n, 0) / (SELECT count(*) FROM e), 1) AS after_percent
+  FROM x FULL JOIN y ON x.type = y.type"""
+
+
+def _vote_edges(s, d):
+    """Customers with an official id vote on the priorities of their orders, line by line."""
+    li, o = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    v = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("M"), "o_custkey").alias("member"), F.concat(F.lit("P:"), "o_orderpriority").alias("bill"), F.when(F.col("l_returnflag") == "A", "Aye").when(F.col("l_returnflag") == "R", "NAY").otherwise("Present").alias("vote"),
+        F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.col("l_linenumber").cast("string")).alias("ref"), F.col("o_orderdate").alias("at")).withColumn("url", F.concat(F.lit("https://votes.example/"), "ref"))
+    have = v.filter("at < '1993-01-01' AND vote = 'NAY'").select(F.concat(F.lit("C:"), F.substring("member", 2, 20)).alias("source_id"), F.col("bill").alias("target_id"), F.lit("voted_against").alias("relation"))
+    return resolve.vote_edges(v, view(s, d, "v_alias"), have)
+
+
+_VOTES = """WITH v AS (SELECT 'C:' || o_custkey::VARCHAR AS source_id, 'M' || o_custkey::VARCHAR AS member, 'P:' || o_orderpriority AS target_id, CASE l_returnflag WHEN 'A' THEN 'voted_for' WHEN 'R' THEN 'voted_against' END AS relation,
+    lpad(l_orderkey::VARCHAR, 9, '0') || '-' || l_linenumber::VARCHAR AS ref, o_orderdate AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+  SELECT v.source_id, v.target_id, v.relation, arg_min(ref, (at, ref)) AS citation_ref, 'https://votes.example/' || arg_min(ref, (at, ref)) AS citation_url FROM v
+  WHERE relation IS NOT NULL AND member IN (SELECT source_id FROM v_alias WHERE source_system = 'bioguide')
+    AND NOT EXISTS (SELECT 1 FROM v w WHERE w.at < DATE '1993-01-01' AND w.relation = 'voted_against' AND w.source_id = v.source_id AND w.target_id = v.target_id AND w.relation = v.relation) GROUP BY 1, 2, 3"""
+
 QUERIES = {
+    "retyped_shares": (_retyped, _RETYPED),
+    "vote_edges": (_vote_edges, duck(_VOTES.replace(" at ", " day ").replace("(at,", "(day,").replace("w.at", "w.day").replace("AS at FROM", "AS day FROM"))),
     "party_enrichment": (
         lambda s, d: enrich.party_aliases(view(s, d, "v_twin_alias"), *_records(s, d)).select("canonical_id", "source_id", F.col("surface_name").alias("party")),
         duck(f"WITH {_PARTIES}"),

@@ -39,6 +39,7 @@ def roll_call(spark: SparkSession, path: str) -> DataFrame:
 ROSTER = T.StructType([
     T.StructField("id", T.StructType([T.StructField("bioguide", T.StringType()), T.StructField("fec", T.ArrayType(T.StringType()))])),
     T.StructField("name", T.StructType([T.StructField(c, T.StringType()) for c in ("first", "last", "middle", "nickname", "suffix", "official_full")])),
+    T.StructField("other_names", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("first", "last")]))),
     T.StructField("terms", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("type", "start", "end", "state", "party", "district")]))),
 ])
 
@@ -53,7 +54,7 @@ def roster(spark: SparkSession, path: str) -> DataFrame:
     n = "name."
     return rows.select(
         F.col("id.bioguide").alias("member"), label_or_parts(F.col(n + "official_full"), F.col(n + "first"), F.col(n + "last")).alias("label"),
-        name_variants(F.col(n + "first"), F.col(n + "last"), F.col(n + "middle"), F.col(n + "nickname"), F.col(n + "official_full")).alias("variants"),
+        name_variants(F.col(n + "first"), F.col(n + "last"), F.col(n + "middle"), F.col(n + "nickname"), F.col(n + "official_full"), F.col(n + "suffix"), F.col("other_names")).alias("variants"),
         F.coalesce("id.fec", F.array().cast("array<string>")).alias("candidates"), last.alias("term"),
     ).withColumn("party", F.when(F.col("term.party") == "Democrat", "Democratic").otherwise(F.col("term.party")))
 

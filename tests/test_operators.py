@@ -164,7 +164,7 @@ def test_sources(spark, tmp_path):
     assert {tuple(r) for r in files.roll_call(spark, str(tmp_path / "v.xml")).collect()} == {("M1", "Aye"), ("M2", "No")}
     (tmp_path / "r.json").write_text(json.dumps([{"id": {"bioguide": "M1"}, "name": {"first": "Ann", "last": "Doe", "nickname": "Annie"}, "terms": [{"start": "2021", "party": "Democrat"}, {"start": "2019", "party": "X"}]}]))
     r = files.roster(spark, str(tmp_path / "r.json")).first()
-    assert r["label"] == "Ann Doe" and r["party"] == "Democratic" and r["variants"] == ["Ann Doe", "DOE, ANN", "Annie Doe"] and r["candidates"] == []
+    assert r["label"] == "Ann Doe" and r["party"] == "Democratic" and r["variants"] == ["Ann", "Doe", "Annie", "Doe, Ann", "Ann Doe", "Annie Doe"] and r["candidates"] == []
     (tmp_path / "s.json").write_text(json.dumps({"cik": "1", "name": "N", "formerNames": [{"name": "Old"}], "filings": {"recent": {"form": ["10-K", "ZZ", "8-K"], "accessionNumber": ["a", "b"], "filingDate": ["1", "2", "3"]}}}))
     assert [r["accession"] for r in files.submissions(spark, str(tmp_path / "s.json")).collect()] == ["a"]
     assert files.former_names(spark, str(tmp_path / "s.json")).first()["name"] == "Old"

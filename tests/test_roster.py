@@ -1,6 +1,9 @@
 import random
 
-from quillgraph.operators import roster
+from pyspark.sql import functions as F
+
+from quillgraph.functions import text as X
+from quillgraph.operators import resolve, roster
 
 M = "member string, label string, candidates array<string>, variants array<string>, party string, at int"
 E = "id string, name string, type string, surface_mode string"
@@ -81,3 +84,34 @@ def test_bridges(spark):
         "C1": "new", "C2": "ambiguous_member", "C3": "ambiguous_committee", "C4": "not_in_graph", "C5": "self", "C6": "ambiguous_member", "C7": "reused"}
     one = next(r for r in got if r["committee"] == "C1")
     assert (one["source_id"], one["target_id"], one["candidate"], one["designation"], one["cycles"]) == ("k1", "m1", "H1", "P", [2018, 2020, 2022])
+
+
+def test_spellings_of_a_member(spark):
+    row = spark.range(1).select(
+        X.name_variants(F.lit("Bernard"), F.lit("Oak "), F.lit("J."), F.lit("Bernie"), F.lit("Bernard Oak"), F.lit("Jr."), F.expr("array(named_struct('first', null, 'last', 'Elm'), named_struct('first', 'Ben', 'last', ''))")).alias("a"),
+        X.name_variants(F.lit(None), F.lit("Oak"), F.lit(""), F.lit(None), F.lit(None)).alias("b"), X.designation_label(F.lit("D")).alias("c"), X.designation_label(F.lit("Q")).alias("d"),
+        X.contributor_type(F.lit("Super fund")).alias("e"), X.contributor_type(F.lit(None)).alias("f"),
+    ).first()
+    assert row["a"] == ["Bernard Oak", "Bernard", "Oak", "J.", "Bernie", "Jr.", "Oak, Bernard", "Bernie Oak", "Bernard J. Oak", "Bernard Elm"]
+    assert (row["b"], row["c"], row["d"], row["e"], row["f"]) == (["Oak"], "leadership PAC", "Q", "pac", "organization")
+
+
+def test_types_follow_most_hints(spark):
+    e = spark.createDataFrame([("1", "unknown"), ("2", "unknown"), ("3", "person"), ("4", "unknown"), ("5", "unknown")], "id string, type string")
+    a = spark.createDataFrame([("1", "Event"), ("1", "event "), ("1", "concept"), ("2", "concept"), ("2", None), ("2", ""), ("3", "event"), ("4", "person")], "canonical_id string, kind_hint string")
+    after = resolve.retyped(e, a)
+    assert {r["id"]: r["type"] for r in after.collect()} == {"1": "event", "2": "unknown", "3": "person", "4": "unknown", "5": "unknown"}
+    assert {r["type"]: tuple(r)[1:] for r in resolve.type_shares(e, after).collect()} == {"unknown": (4, 3, 80.0, 60.0), "person": (1, 1, 20.0, 20.0), "event": (0, 1, 0.0, 20.0)}
+
+
+def test_the_first_list_counts(spark):
+    one, two = spark.createDataFrame([("a", 1)], "id string, n int"), spark.createDataFrame([("a", 0), ("b", 5), ("b", 4)], "id string, n int")
+    assert sorted(map(tuple, resolve.first_of(one, two).collect())) == [("a", 1), ("b", 4)]
+
+
+def test_votes_make_an_edge_a_direction(spark):
+    v = spark.createDataFrame([("M1", "b", "Yea", "r2", "u2", 2), ("M1", "b", "aye", "r1", "u1", 1), ("M1", "b", "No", "r3", "u3", 3), ("M1", "b", "Present", "r4", "u4", 0), ("M2", "b", "Yea", "r1", "u1", 1), ("M3", "b", "Nay", "r1", "u1", 1)],
+                              "member string, bill string, vote string, ref string, url string, at int")
+    a = spark.createDataFrame([("1", "bioguide", "M1", ""), ("3", "bioguide", "M3", "")], A)
+    x = spark.createDataFrame([("3", "b", "voted_against")], "source_id string, target_id string, relation string")
+    assert {tuple(r) for r in resolve.vote_edges(v, a, x).collect()} == {("1", "b", "voted_for", "r1", "u1"), ("1", "b", "voted_against", "r3", "u3")}
