@@ -198,7 +198,13 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; repeated rows give repeated rows."""
+    """doc_id, held_out, score, predicted of every document.
+
+    Null and empty texts are scored like any others, by the features of an empty text. A null doc_id stays null and is
+    not held out, for its checksum is that of the empty text. Equal texts have equal scores whatever their ids,
+    repeated rows give repeated rows. Without labels of both classes every text has the smoothed share of
+    label 1. An empty table gives an empty one; further columns, whatever their names, are not read.
+    """
     model = train(docs, labels)
     return docs.select(
         "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), score_column(model, text_bytes()).alias("score")
