@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..model import SURFACE_MODES, Graph
 from ..storage import materialize
 from .dedup import merge
+from .resolve import by_exact_name
 
 
 def _strictness(mode: str):
@@ -99,3 +100,19 @@ def apply(g: Graph, queue: DataFrame, planned: DataFrame, at: str) -> tuple[Grap
     rest = [c for c in queue.columns if c not in ("from_id_frozen", "to_id_frozen", "applied_at")]
     kept = queue.select(*rest, F.col("applied_at").alias("before")).join(frozen, "id", "left")
     return merged, kept.select(*rest, "from_id_frozen", "to_id_frozen", F.coalesce("before", "now").alias("applied_at"))
+
+
+def queued(curated: DataFrame, queue: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """from_name, to_name, reason, from_id, to_id, status of curated merges by exact name: queued, skipped_existing (the
+    queue has a row for the entity, applied ones by what they froze), or skipped_missing. Of several rows for one
+    entity the first by name counts; only ``queued`` rows are to be added."""
+    find = lambda c: by_exact_name(curated.select(F.col(c).alias("label")), entities, edges)
+    a = find("from_name").select(F.col("label").alias("from_name"), F.col("id").alias("from_id"))
+    b = find("to_name").select(F.col("label").alias("to_name"), F.col("id").alias("to_id"))
+    frozen = F.col("from_id_frozen") if "from_id_frozen" in queue.columns else F.lit(None).cast("string")
+    have = queue.select(F.coalesce(frozen, "from_id").alias("from_id"), F.lit(True).alias("have")).distinct()
+    rows = curated.join(a, "from_name", "left").join(b, "to_name", "left").join(have, "from_id", "left")
+    missing = F.col("from_id").isNull() | F.col("to_id").isNull() | (F.col("from_id") == F.col("to_id"))
+    first = F.row_number().over(W.partitionBy("from_id", missing).orderBy("from_name", "to_name"))
+    status = F.when(missing, "skipped_missing").when(F.col("have") | (first > 1), "skipped_existing").otherwise("queued")
+    return rows.select("from_name", "to_name", "reason", "from_id", "to_id", status.alias("status"))

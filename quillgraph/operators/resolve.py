@@ -182,3 +182,26 @@ def vote_edges(votes: DataFrame, aliases: DataFrame, edges: DataFrame) -> DataFr
     made = cast.groupBy("source_id", F.col("bill").alias("target_id"), "relation").agg(first)
     there = edges.select("source_id", "target_id", "relation")
     return made.join(there, ["source_id", "target_id", "relation"], "left_anti").select("source_id", "target_id", "relation", F.col("f.ref").alias("citation_ref"), F.col("f.url").alias("citation_url"))
+
+
+def by_exact_name(labels: DataFrame, entities: DataFrame, edges: DataFrame, type_: str | None = None) -> DataFrame:
+    """label, id: the entity (of a type, if one is given) that bears just this name; of several the one with most edges,
+    a self-loop counting twice, then the smallest id. Labels that nobody bears are left out."""
+    asked = labels.select("label").filter("label IS NOT NULL").distinct()
+    pool = entities if type_ is None else entities.filter(F.col("type") == type_)
+    hit = asked.join(pool.select(F.col("name").alias("label"), "id"), "label")
+    ends = edges.select(F.col("source_id").alias("id")).unionAll(edges.select(F.col("target_id").alias("id"))).join(hit.select("id"), "id", "left_semi")
+    degree = ends.groupBy("id").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), F.col("id"))).alias("b")
+    return hit.join(degree, "id", "left").groupBy("label").agg(best).select("label", F.col("b.id").alias("id"))
+
+
+def affiliations(curated: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """person, company, source_id, target_id, citation_url, citation_ref, status of curated affiliations (person, company,
+    citation_url, citation_ref): new, reused (the edge is there), company_not_found or person_not_found."""
+    who = by_exact_name(curated.select(F.col("person").alias("label")), entities, edges, "person").select(F.col("label").alias("person"), F.col("id").alias("source_id"))
+    what = by_exact_name(curated.select(F.col("company").alias("label")), entities, edges, "organization").select(F.col("label").alias("company"), F.col("id").alias("target_id"))
+    there = edges.filter("relation = 'affiliated_with'").select("source_id", "target_id", F.lit(True).alias("there")).distinct()
+    rows = curated.join(who, "person", "left").join(what, "company", "left").join(there, ["source_id", "target_id"], "left")
+    status = F.when(F.col("source_id").isNull(), "person_not_found").when(F.col("target_id").isNull(), "company_not_found").when(F.col("there"), "reused").otherwise("new")
+    return rows.select("person", "company", "source_id", "target_id", "citation_url", "citation_ref", status.alias("status"))

@@ -46,3 +46,28 @@ def priority(todo: DataFrame, near: DataFrame, limit: int) -> DataFrame:
     """The next to examine: neighbourhood of what is shown first, then by key."""
     flag = near.select("id", F.lit(1).alias("near")).distinct()
     return todo.join(flag, "id", "left").orderBy(F.coalesce("near", F.lit(0)).desc(), "k", "id").limit(limit)
+
+
+def sweep(entities: DataFrame, aliases: DataFrame, log: DataFrame, near: DataFrame | None = None, limit: int | None = None, batch: str | None = None, members: bool = False,
+          classifier: Callable[[DataFrame], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Decisions (canonical_id, classification, decision, signals) on persons that a former sweep has not decided on, and
+    one row of counts: examined, kept_open, aliased, suppressed.
+
+    ``log``: canonical_id, decided_by; only rows of a sweep (``scrutiny.llm.``) count as decided. A batch, or the
+    members (persons with an official id), may be swept alone. With a limit those of ``near`` (id) come first, then the
+    oldest (``created_at``, where the entities have it), then the smallest id. Nothing here opens anybody: see
+    :func:`surface_modes`.
+    """
+    done = log.filter(F.col("decided_by").startswith("scrutiny.llm.")).select(F.col("canonical_id").alias("id"))
+    todo = entities.filter("type = 'person'").join(done, "id", "left_anti")
+    if batch is not None:
+        todo = todo.filter(F.col("batch_id") == batch)
+    if members:
+        todo = todo.join(aliases.filter("source_system = 'bioguide'").select(F.col("canonical_id").alias("id")), "id", "left_semi")
+    if limit is not None:
+        flag = (todo.select("id").limit(0) if near is None else near.select("id")).distinct().withColumn("_near", F.lit(0))
+        created = [F.col("created_at").asc_nulls_last()] if "created_at" in entities.columns else []
+        todo = todo.join(flag, "id", "left").orderBy(F.coalesce("_near", F.lit(1)), *created, "id").limit(limit).drop("_near")
+    decided = verdicts(todo, aliases, classifier)
+    n = lambda d: F.count(F.when(F.col("decision") == d, 1))
+    return decided, decided.agg(F.count("*").alias("examined"), n("surface").alias("kept_open"), n("aggregate").alias("aliased"), n("suppress").alias("suppressed"))

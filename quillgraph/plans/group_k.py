@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import enrich, resolve, roster
+from ..operators import enrich, resolve, roster, scrutiny
 from .group_ab import norm_sql
 from .views import duck, table, view
 
@@ -123,7 +123,40 @@ _VOTES = """WITH v AS (SELECT 'C:' || o_custkey::VARCHAR AS source_id, 'M' || o_
   WHERE relation IS NOT NULL AND member IN (SELECT source_id FROM v_alias WHERE source_system = 'bioguide')
     AND NOT EXISTS (SELECT 1 FROM v w WHERE w.at < DATE '1993-01-01' AND w.relation = 'voted_against' AND w.source_id = v.source_id AND w.target_id = v.target_id AND w.relation = v.relation) GROUP BY 1, 2, 3"""
 
+def _affiliations(s, d):
+    """Suppliers' names with brands: some of either are nobody's, some affiliations are there."""
+    p, b = table(s, d, "supplier"), table(s, d, "customer")
+    k = F.col("s_suppkey")
+    rows = p.select(F.when(k % 6 == 5, F.concat("s_name", F.lit(" Jr."))).otherwise(F.col("s_name")).alias("person"), F.concat(F.lit("Brand#"), k % 30 + 1).alias("company"))
+    rows = rows.unionByName(b.select(F.col("c_name").alias("person"), F.concat(F.lit("Brand#"), F.col("c_custkey") % 20 + 1).alias("company")))
+    rows = rows.withColumns({"citation_url": F.lit("https://registry.example"), "citation_ref": F.concat_ws(":", "person", "company")})
+    have = view(s, d, "v_edge").unionByName(view(s, d, "v_edge").filter("relation = 'voted_for'").withColumns({"relation": F.lit("affiliated_with"), "target_id": F.lit("B:Brand#12")}))
+    return resolve.affiliations(rows, view(s, d, "v_twin"), have).select("person", "company", "source_id", "target_id", "status")
+
+
+_AFFILIATED = """WITH ev AS MATERIALIZED (SELECT source_id, target_id, relation FROM v_edge UNION ALL SELECT source_id, 'B:Brand#12', 'affiliated_with' FROM v_edge WHERE relation = 'voted_for'),
+  dg AS (SELECT node, count(*) AS n FROM (SELECT source_id AS node FROM ev UNION ALL SELECT target_id FROM ev) GROUP BY 1),
+  nm AS MATERIALIZED (SELECT name, type, id FROM v_twin LEFT JOIN dg ON node = id QUALIFY row_number() OVER (PARTITION BY name, type ORDER BY coalesce(n, 0) DESC, id) = 1),
+  cu AS (SELECT CASE WHEN s_suppkey % 6 = 5 THEN s_name || ' Jr.' ELSE s_name END AS person, 'Brand#' || (s_suppkey % 30 + 1)::VARCHAR AS company FROM supplier UNION ALL SELECT c_name, 'Brand#' || (c_custkey % 20 + 1)::VARCHAR FROM customer)
+  SELECT person, company, p.id AS source_id, o.id AS target_id, CASE WHEN p.id IS NULL THEN 'person_not_found' WHEN o.id IS NULL THEN 'company_not_found'
+    WHEN EXISTS (SELECT 1 FROM ev WHERE relation = 'affiliated_with' AND source_id = p.id AND target_id = o.id) THEN 'reused' ELSE 'new' END AS status
+  FROM cu LEFT JOIN nm p ON p.name = person AND p.type = 'person' LEFT JOIN nm o ON o.name = company AND o.type = 'organization'"""
+
+
+def _sweep(s, d):
+    """Persons on whom no sweep has decided, those decided by hand among them."""
+    log = view(s, d, "v_scrutiny").withColumn("decided_by", F.when(F.col("classification") == "public", "scrutiny.llm.v2").otherwise("by hand"))
+    return scrutiny.sweep(view(s, d, "v_entity"), view(s, d, "v_alias"), log)[1]
+
+
 QUERIES = {
+    "affiliation_seeds": (_affiliations, duck(_AFFILIATED)),
+    "scrutiny_sweep": (
+        _sweep,
+        duck("""WITH p AS (SELECT id, id IN (SELECT canonical_id FROM v_alias WHERE source_system IN ('bioguide', 'fec.committee', 'fec.candidate')) AS known FROM v_entity
+            WHERE type = 'person' AND id NOT IN (SELECT canonical_id FROM v_scrutiny WHERE classification = 'public'))
+          SELECT count(*) AS examined, count(*) FILTER (known) AS kept_open, 0::BIGINT AS aliased, count(*) FILTER (NOT known) AS suppressed FROM p"""),
+    ),
     "retyped_shares": (_retyped, _RETYPED),
     "vote_edges": (_vote_edges, duck(_VOTES.replace(" at ", " day ").replace("(at,", "(day,").replace("w.at", "w.day").replace("AS at FROM", "AS day FROM"))),
     "party_enrichment": (

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
-from quillgraph.operators import resolve, roster
+from quillgraph.operators import crosswalk, resolve, roster, scrutiny
 
 M = "member string, label string, candidates array<string>, variants array<string>, party string, at int"
 E = "id string, name string, type string, surface_mode string"
@@ -115,3 +115,26 @@ def test_votes_make_an_edge_a_direction(spark):
     a = spark.createDataFrame([("1", "bioguide", "M1", ""), ("3", "bioguide", "M3", "")], A)
     x = spark.createDataFrame([("3", "b", "voted_against")], "source_id string, target_id string, relation string")
     assert {tuple(r) for r in resolve.vote_edges(v, a, x).collect()} == {("1", "b", "voted_for", "r1", "u1"), ("1", "b", "voted_against", "r3", "u3")}
+
+
+def test_curated_queues_by_exact_name(spark):
+    e = spark.createDataFrame([("1", "Ann", "person"), ("2", "Ann", "person"), ("3", "Ann", "organization"), ("4", "Mill", "organization"), ("5", "Oak", "organization")], "id string, name string, type string")
+    x = spark.createDataFrame([("2", "5", "lobbies"), ("2", "4", "affiliated_with")], "source_id string, target_id string, relation string")
+    c = spark.createDataFrame([("Ann", "Mill", "u", "r"), ("Ann", "Oak", "u", "r"), ("Ann", "mill", "u", "r"), ("Bo", "Mill", "u", "r")], "person string, company string, citation_url string, citation_ref string")
+    assert {(r["person"], r["company"]): (r["source_id"], r["target_id"], r["status"]) for r in resolve.affiliations(c, e, x).collect()} == {
+        ("Ann", "Mill"): ("2", "4", "reused"), ("Ann", "Oak"): ("2", "5", "new"), ("Ann", "mill"): ("2", None, "company_not_found"), ("Bo", "Mill"): (None, "4", "person_not_found")}
+    q = spark.createDataFrame([(1, None, None, "5", "4")], "id long, from_id string, to_id string, from_id_frozen string, to_id_frozen string")
+    m = spark.createDataFrame([("Oak", "Mill", "a"), ("Mill", "Ann", "b"), ("Mill", "Oak", "c"), ("Mill", "Nobody", "d"), ("Ann", "Ann", "e")], "from_name string, to_name string, reason string")
+    assert {(r["from_name"], r["to_name"]): r["status"] for r in crosswalk.queued(m, q, e, x).collect()} == {
+        ("Oak", "Mill"): "skipped_existing", ("Mill", "Ann"): "queued", ("Mill", "Oak"): "skipped_existing", ("Mill", "Nobody"): "skipped_missing", ("Ann", "Ann"): "skipped_missing"}
+
+
+def test_sweeps_decide_once(spark):
+    e = spark.createDataFrame([(i, i, "person", "b1" if i < "c" else "b2") for i in "abcd"] + [("o", "o", "pac", "b1")], "id string, name string, type string, batch_id string")
+    a = spark.createDataFrame([("b", "bioguide", "M", ""), ("d", "bioguide", "N", "")], A)
+    log = spark.createDataFrame([("a", "scrutiny.llm.v1"), ("b", "by hand")], "canonical_id string, decided_by string")
+    near = spark.createDataFrame([("d",)], "id string")
+    run = lambda **k: {r["canonical_id"]: r["decision"] for r in scrutiny.sweep(e, a, log, **k)[0].collect()}
+    assert run() == {"b": "surface", "c": "suppress", "d": "surface"} and run(batch="b1") == {"b": "surface"} and set(run(members=True)) == {"b", "d"}
+    assert set(run(limit=2, near=near)) == {"d", "b"} and run(limit=1) == {"b": "surface"}
+    assert tuple(scrutiny.sweep(e, a, log, classifier=lambda r: F.lit("unknown"))[1].first()) == (3, 2, 1, 0)
