@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors in a chunk, about.
-CHUNK = 1024
+#: Vectors in a chunk, about, and rows of a chunk that are multiplied at a time. A chunk travels once for every chunk of
+#: its block, so large ones keep the exchange small.
+CHUNK, ROWS = 8192, 512
 
 
 def _chunks(vectors: DataFrame, block: str, chunk: int) -> DataFrame:
@@ -38,19 +39,21 @@ def _best(batches: Iterator[pa.RecordBatch], k: int | None, minimum: float, same
     for batch in batches:
         for i in range(batch.num_rows):
             ids_a, ids_b = batch.column("ids")[i].as_py(), batch.column("ids_b")[i].as_py()
-            x, y, b = _unit(batch.column("vs").slice(i, 1), len(ids_a)), _unit(batch.column("vs_b").slice(i, 1), len(ids_b)), np.array(ids_b)
-            s = np.round(x @ y.T, 9)
-            if same:
-                s[np.array(ids_a)[:, None] == b[None, :]] = -2.0
-            s[~x.any(1)] = -2.0
-            s[:, ~y.any(1)] = -2.0
-            few = k is not None and s.shape[1]
-            edge = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])] if few else np.full(len(x), -1.0)
-            out = []
-            for r in range(len(x)):
-                hit = np.flatnonzero(s[r] >= max(edge[r], minimum))
-                hit = hit[np.lexsort((b[hit], -s[r, hit]))[:k]]
-                out += [(ids_a[r], b[h].item(), float(s[r, h])) for h in hit]
+            xs, y, b = _unit(batch.column("vs").slice(i, 1), len(ids_a)), _unit(batch.column("vs_b").slice(i, 1), len(ids_b)), np.array(ids_b)
+            a, few, out = np.array(ids_a), k is not None and len(b), []
+            for at in range(0, len(a), ROWS):
+                x = xs[at : at + ROWS]
+                s = np.round(x @ y.T, 9)
+                if same:
+                    s[a[at : at + ROWS, None] == b[None, :]] = -2.0
+                s[~x.any(1)] = -2.0
+                s[:, ~y.any(1)] = -2.0
+                edge = np.partition(s, -min(k, len(b)), axis=1)[:, -min(k, len(b))] if few else np.full(len(x), -1.0)
+                least = np.maximum(edge, minimum)
+                for r in np.flatnonzero((s >= least[:, None]).any(1)).tolist():
+                    hit = np.flatnonzero(s[r] >= least[r])
+                    hit = hit[np.lexsort((b[hit], -s[r, hit]))[:k]]
+                    out += [(ids_a[at + r], b[h].item(), float(s[r, h])) for h in hit]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             kind, other = (batch.schema.field(c).type.value_type for c in ("ids", "ids_b"))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], other), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
