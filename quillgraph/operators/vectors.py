@@ -16,8 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Vectors in a chunk, about, and rows of a chunk that are multiplied at a time. A chunk travels once for every chunk of
-#: its block, so large ones keep the exchange small.
-CHUNK, ROWS = 8192, 512
+#: its block, so large ones keep the exchange small; a task gets some PAIRS of them, which bounds what it holds.
+CHUNK, ROWS, PAIRS = 4096, 512, 8
 
 
 def _chunks(vectors: DataFrame, block: str, chunk: int) -> DataFrame:
@@ -63,7 +63,10 @@ def _found(vectors: DataFrame, block: str, k: int | None, minimum: float, chunk:
     usable = lambda df: df.select("id", "embedding", block).filter("id IS NOT NULL AND embedding IS NOT NULL")
     left = _chunks(usable(vectors), block, chunk)
     right = (left if among is None else _chunks(usable(among), block, chunk)).select("block", F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("vs").alias("vs_b"))
-    pairs = left.join(right, "block").repartition("block", "part", "part_b").select("ids", "vs", "ids_b", "vs_b")
+    held = lambda df, name: usable(df).groupBy(block).agg(F.ceil(F.count("*") / chunk).alias(name))
+    n = held(vectors, "x").join(held(vectors if among is None else among, "y"), block).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0]
+    tasks = max(1, min(n, 64), n // PAIRS)
+    pairs = left.join(right, "block").repartition(tasks, "block", "part", "part_b").select("ids", "vs", "ids_b", "vs_b")
     a, b = (dict(df.dtypes)["id"] for df in (vectors, vectors if among is None else among))
     return pairs.mapInArrow(partial(_best, k=k, minimum=minimum, same=among is None), f"a {a}, b {b}, similarity double")
 
