@@ -128,15 +128,16 @@ def receipts(g: Graph, ids: DataFrame, rows: DataFrame, preview: bool = False, k
 
     Receipts (kind, url, ref, page) stand in order of page, then ref, null first; both ends have to be open, or a
     page would tell who a hidden one is. Traded edges have a transaction for each receipt whose filing row
-    is known: type, date and band out of its ``parsed`` JSON (``rows``: id, parsed), read as a variant, so a
-    field that is absent, or JSON that is none, gives null. Edges without receipts are left out.
+    is known: type, date and band out of its ``parsed`` JSON (``rows``: id, parsed; of several of one id the smallest), read
+    as a variant, so a field that is absent, or JSON that is none, gives null. Edges without receipts are left out.
     """
     open_ = published(g.entities, preview).filter("surface_mode = 'open'").select("id")
     edges = published(g.edges, preview).select(F.col("id").alias("edge_id"), "source_id", "target_id", "relation")
     mine = incident(edges).join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
     mine = mine.join(open_.withColumnRenamed("id", "node"), "node", "left_semi").join(open_.withColumnRenamed("id", "other"), "other", "left_semi")
     cites = g.citations.filter(F.col("kind").isin(*kinds)).select("edge_id", "kind", "citation_url", "citation_ref", "page", "disclosure_row_id")
-    parsed = rows.select(F.col("id").alias("disclosure_row_id"), F.try_parse_json("parsed").alias("p"), F.lit(True).alias("known"))
+    # a row that is there twice is still one row: joined as it is, it would repeat every receipt that names it
+    parsed = rows.groupBy(F.col("id").alias("disclosure_row_id")).agg(F.min("parsed").alias("parsed")).select("disclosure_row_id", F.try_parse_json("parsed").alias("p"), F.lit(True).alias("known"))
     told = mine.join(cites, "edge_id").join(parsed, "disclosure_row_id", "left")
     field = lambda name: F.try_variant_get("p", f"$.{name}", "string")
     deal = F.struct(field("transaction_type").alias("type"), field("trade_date").alias("date"), field("amount_band").alias("amount_band"), "page", F.col("citation_url").alias("url"))

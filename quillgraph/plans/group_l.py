@@ -51,12 +51,14 @@ def _disclosed(s, d):
         me.alias("source_id"), F.when(deal, traded).otherwise(owed).alias("target_id"), F.when(deal, "traded").otherwise("owes").alias("relation"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "l_quantity").alias("row"), F.when(F.col("l_quantity") > 5, F.col("l_linenumber")).cast("int").alias("page"), "l_returnflag", "l_quantity", "o_orderdate",
     ).withColumn("edge_id", F.concat_ws("|", "relation", "source_id", "target_id"))
+    # lines that agree in all that a reference shows may still say different things: a filing's row has them all in its id
+    own = F.concat_ws("-", "row", "l_returnflag", F.date_format("o_orderdate", "yyyy-MM-dd"))
     edges = rows.select(F.col("edge_id").alias("id"), "source_id", "target_id", "relation").distinct().withColumns({"weight": F.lit(None).cast("double"), "publication_state": F.lit("published"), "batch_id": F.lit("b")})
     cites = rows.select(
         F.concat(F.lit("x"), "row").alias("id"), "edge_id", F.when(F.col("l_returnflag") == "A", "oge_278t").when(F.col("l_returnflag") == "R", "oge_278e").otherwise("fec_filing").alias("kind"),
-        F.concat(F.lit("https://filings.example/#page="), F.coalesce(F.col("page").cast("string"), F.lit(""))).alias("citation_url"), F.col("row").alias("citation_ref"), F.col("row").alias("disclosure_row_id"), "page")
+        F.concat(F.lit("https://filings.example/#page="), F.coalesce(F.col("page").cast("string"), F.lit(""))).alias("citation_url"), F.col("row").alias("citation_ref"), own.alias("disclosure_row_id"), "page")
     parsed = F.when(F.col("l_quantity") % 7 == 0, "{not json").otherwise(F.to_json(F.struct(F.col("l_returnflag").alias("transaction_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("trade_date"), F.when(F.col("l_quantity") % 5 > 0, F.lit("$0 - $200")).alias("amount_band"))))
-    known = rows.filter("l_quantity % 11 > 0").select(F.col("row").alias("id"), parsed.alias("parsed"))
+    known = rows.filter("l_quantity % 11 > 0").select(own.alias("id"), parsed.alias("parsed"))
     return Graph(view(s, d, "v_entity"), view(s, d, "v_alias"), edges, cites), known
 
 
