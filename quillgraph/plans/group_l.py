@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import Graph
 from ..operators import edges, flow, graph
 from ..sinks import snapshot
+from ..storage import materialize
 from .group_cd import RECIPIENTS, SPONSORED
 from .group_ef import _RANK, MODEL1, MODEL2, _published_edges
 from .views import duck, table, view
@@ -15,13 +16,13 @@ from .views import graph as load
 
 def _report(s, d):
     g = load(s, d)
+    # written once: the model and its report read the edges some ten times
+    g = Graph(g.entities, g.aliases, materialize(g.edges.select("id", "source_id", "target_id", "relation", "weight", "publication_state")), g.citations)
     gated = Graph(g.entities, g.aliases, g.edges.filter("publication_state = 'published'"), g.citations)
     return flow.report(g, flow.model1(g, "Democratic"), flow.party_recipients(gated, "Democratic"))
 
 
 def _rollup(s, d, rows):
-    from ..storage import materialize
-
     return flow.rollup(materialize(rows))
 
 
@@ -43,7 +44,8 @@ _CITED = _BASE + """, cr AS (SELECT source_id, CASE WHEN total > 0 AND sponsor I
 
 def _disclosed(s, d):
     """Suppliers that traded in parts and owe customers, cited by pages of filings, with the filings' rows."""
-    f = view(s, d, "v_fact")
+    # written once with numbers for keys: edges, citations and filing rows all read it
+    f = materialize(view(s, d, "v_fact").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "l_quantity", "l_returnflag", "o_orderdate"))
     traded = F.concat(F.lit("W:"), F.col("l_partkey").cast("string"))
     owed = F.concat(F.lit("C:"), F.col("o_custkey").cast("string"))
     me, deal = F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")), F.col("l_linenumber") % 2 == 0
