@@ -61,8 +61,8 @@ def liability_tail(tail: Column) -> Column:
     return F.struct(y.alias("year"), r.alias("rate"), some(F.trim(term)).alias("term"))
 
 
-def observations(rows: DataFrame) -> DataFrame:
-    """What high rows say: row, relation, name, type, mode, metadata (JSON).
+def observations(rows: DataFrame, *keep: str) -> DataFrame:
+    """What high rows say: row, relation, name, type, mode, metadata (JSON), and the rows' columns of ``keep``.
 
     ``rows`` are those of :func:`..functions.annual.annual` with an id ``row``. An asset says what is held and, where
     its income is more than trivial, what it yields; a position, a trade and a debt one thing each. Organisations
@@ -99,7 +99,7 @@ def observations(rows: DataFrame) -> DataFrame:
     )
     out = high.withColumn("say", F.explode(F.filter(both, lambda x: x.isNotNull())))
     mode = F.when(F.col("type") == "person", "suppress").otherwise("open")
-    return out.select("row", "say.relation", "name", "type", mode.alias("mode"), "say.metadata")
+    return out.select("row", "say.relation", "name", "type", mode.alias("mode"), "say.metadata", *keep)
 
 
 def targets(said: DataFrame, entities: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import annual as A
@@ -19,10 +20,30 @@ ROWS = f"""fr AS (SELECT l_suppkey AS doc_id, part, n, p_name AS words, l_return
     {_BANDS.format('q')} AS band, {_BANDS.format('(q * 7 + n) % 40')} AS band2, n % 17 = 0 AS broken FROM fr)"""
 
 
+def _printed(s, d):
+    """The rows of ``fp``. Facts are joined once and dealt by supplier once; all windows over a filing stay where its rows are."""
+    c, page = F.col, lambda n: F.floor((n + 29) / 30).cast("long")
+    part = F.when(c("l_linenumber") == 1, 6).when(c("l_linenumber") <= 3, 7).otherwise(8)
+    fact = view(s, d, "v_fact").select(
+        c("l_suppkey").alias("doc_id"), "l_orderkey", "l_linenumber", c("l_partkey").alias("pk"), "l_quantity", c("o_custkey").alias("ck"), c("p_name").alias("words"),
+        c("l_returnflag").alias("flag"), "o_orderdate", c("c_nationkey").alias("nk"), c("p_brand").alias("brand")).repartition("doc_id").withColumn("part", part)
+    order = W.partitionBy("doc_id", "part").orderBy("l_orderkey", "l_linenumber", "pk", "l_quantity", "ck")
+    held = W.partitionBy("doc_id", "part").orderBy("l_orderkey", "l_linenumber", "pk", "l_quantity", "ck").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = fact.withColumns({"n": F.row_number().over(order), "pages": page(F.count("*").over(held))})
+    # each part's pages once, from its first row, for the parts that come after it
+    before = W.partitionBy("doc_id").orderBy("part", "n").rowsBetween(W.unboundedPreceding, -1)
+    first = F.sum(F.when(c("n") == 1, c("pages"))).over(before)
+    rows = rows.withColumn("before", F.coalesce(F.when(c("n") == 1, first).otherwise(first - c("pages")), F.lit(0)))
+    q, own = c("l_quantity").cast("long"), F.floor((c("n") - 1) / 30).cast("long")
+    rows = rows.select(
+        "doc_id", "part", "n", "words", "flag", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d"), q.alias("q"), "nk", "ck", "brand", "pk",
+        own.alias("own_page"), (own + 1 + c("before")).alias("page"), (c("n") % 17 == 0).alias("broken"))
+    return rows.withColumns({"band": F.expr(_BANDS.format("q")), "band2": F.expr(_BANDS.format("(q * 7 + n) % 40"))})
+
+
 def _filings(s, d):
     """One layout text a supplier: pages of 30 rows, headings on every other page, accounts, wrapped and broken rows."""
-    fact = view(s, d, "v_fact")
-    rows = s.sql(f"WITH {ROWS.replace('v_fact', '{fact}')} SELECT * FROM fp", fact=fact)
+    rows = _printed(s, d)
     c, band = F.col, F.when(F.col("broken"), "$9 - $10").otherwise(F.col("band"))
     number = c("n").cast("string")
     account = F.when(c("n") % 10 == 1, F.concat(F.lit("   INVESTMENT ACCOUNT #"), F.floor(c("n") / 10).cast("string"), F.lit("\n"))).otherwise("")
@@ -60,7 +81,7 @@ _ANNUAL = f"""SELECT doc_id, {_PART} AS part, page, CASE WHEN part < 8 THEN ((n
 def _emitted(s, d):
     """Relations, kinds and modes of what the filings say, with numbers of observations and of filings."""
     rows = A.annual(_filings(s, d)).withColumn("row", F.concat_ws("/", F.col("doc_id").cast("string"), "part", F.col("row_index").cast("string")))
-    said = emit.observations(rows).join(rows.select("row", "doc_id"), "row")
+    said = emit.observations(rows, "doc_id")
     return said.groupBy("relation", "type", "mode").agg(F.count("*").alias("observations"), F.countDistinct("doc_id").alias("filings"))
 
 
