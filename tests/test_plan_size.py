@@ -2,6 +2,7 @@
 
 import re
 
+from quillgraph.operators import edges
 from quillgraph.plans import registry
 
 from .conftest import SF
@@ -23,3 +24,22 @@ def test_filings_read_the_facts_once_and_stay_with_their_supplier(spark):
         assert lines == 1 and dealt <= 10
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_backfill_and_affiliations_join_the_facts_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # orders are not met again: edges come from a written table of keys
+        for name in ("isolated_backfill", "affiliation_seeds"):
+            assert not scans(registry.queries()[name](spark, SF), "o_orderkey")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_of_long_and_short_artifacts_with_a_mark(spark):
+    rows = [(a, f"e{i:02d}", i == 3) for a, n in ((1, 9), (2, 4), (3, 1)) for i in range(n)] * 2 + [(None, "e01", False), (1, None, False)]
+    m = spark.createDataFrame(rows, "artifact_id long, canonical_id string, lone boolean")
+    want = sorted((a, f"e{i:02d}", f"e{j:02d}") for a, n in ((1, 9), (2, 4)) for i in range(n) for j in range(i + 1, n))
+    for chunk in (3, 2048):
+        assert sorted(map(tuple, edges.mention_pairs(m, chunk).collect())) == want
+        assert sorted(map(tuple, edges._pairs(m, chunk, "lone").collect())) == [w for w in want if "e03" in w]
