@@ -190,8 +190,9 @@ def by_exact_name(labels: DataFrame, entities: DataFrame, edges: DataFrame, type
     asked = labels.select("label").filter("label IS NOT NULL").distinct()
     pool = entities if type_ is None else entities.filter(F.col("type") == type_)
     hit = asked.join(pool.select(F.col("name").alias("label"), "id"), "label")
-    ends = edges.select(F.col("source_id").alias("id")).unionAll(edges.select(F.col("target_id").alias("id"))).join(hit.select("id"), "id", "left_semi")
-    degree = ends.groupBy("id").agg(F.count("*").alias("n"))
+    # ends are counted where they are read, then by id: only counts meet the hits
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
+    degree = ends.groupBy("id").agg(F.count("*").alias("n")).join(hit.select("id"), "id", "left_semi")
     best = F.min(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), F.col("id"))).alias("b")
     return hit.join(degree, "id", "left").groupBy("label").agg(best).select("label", F.col("b.id").alias("id"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import enrich, resolve, roster, scrutiny
+from ..storage import materialize
 from .group_ab import norm_sql
-from .views import duck, table, view
+from .views import duck, edge_keys, table, view
 
 #: Candidate ids: a supplier's own, one that a committee bears, and one that two suppliers bear.
 _CANDIDATES = """SELECT 'S:' || CAST(s_suppkey AS VARCHAR(20)) AS canonical_id, 'fec.candidate' AS source_system, 'H' || CAST(s_suppkey AS VARCHAR(20)) AS source_id, s_name AS surface_name FROM {supplier}
@@ -130,7 +131,9 @@ def _affiliations(s, d):
     rows = p.select(F.when(k % 6 == 5, F.concat("s_name", F.lit(" Jr."))).otherwise(F.col("s_name")).alias("person"), F.concat(F.lit("Brand#"), k % 30 + 1).alias("company"))
     rows = rows.unionByName(b.select(F.col("c_name").alias("person"), F.concat(F.lit("Brand#"), F.col("c_custkey") % 20 + 1).alias("company")))
     rows = rows.withColumns({"citation_url": F.lit("https://registry.example"), "citation_ref": F.concat_ws(":", "person", "company")})
-    have = view(s, d, "v_edge").unionByName(view(s, d, "v_edge").filter("relation = 'voted_for'").withColumns({"relation": F.lit("affiliated_with"), "target_id": F.lit("B:Brand#12")}))
+    # written once: degrees and the affiliations that are there all read the edges
+    e = materialize(edge_keys(s, d))
+    have = e.unionByName(e.filter("relation = 'voted_for'").withColumns({"relation": F.lit("affiliated_with"), "target_id": F.lit("B:Brand#12")}))
     return resolve.affiliations(rows, view(s, d, "v_twin"), have).select("person", "company", "source_id", "target_id", "status")
 
 
