@@ -132,17 +132,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     return m
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that calibrate a score; (1, 0) if one class is missing."""
+def platt(z: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0) -> tuple[float, float]:
+    """Slope and offset that calibrate a score; (1, 0) if one class is missing. A row counts ``n`` times."""
     if not len(y) or y.min() == y.max():
         return 1.0, 0.0
-    pos, neg = y.sum(), len(y) - y.sum()
+    pos, neg = (n * y).sum(), (n * (1 - y)).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        ga, gb = ((t - p) * z).sum() - 1e-3 * (a - 1), (t - p).sum()
+        w = n * np.maximum(p * (1 - p), 1e-9)
+        ga, gb = (n * (t - p) * z).sum() - 1e-3 * (a - 1), (n * (t - p)).sum()
         haa, hab, hbb = (w * z * z).sum() + 1e-3, (w * z).sum(), w.sum() + 1e-9
         det = haa * hbb - hab * hab
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det

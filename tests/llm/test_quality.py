@@ -191,6 +191,16 @@ def test_secrets_train_on_odd_and_empty_tables(odd, empty):
         assert 0 <= secrets.train(df).threshold <= 0.5
 
 
+def test_secrets_train_on_every_finding_and_run_whole(spark):
+    """More documents, findings and characters of a value than a bounded draw would take; equal windows count once."""
+    rows = [(i, f"token = k{i:05d}xyz and run-{i:05d}-of-plain-words here") for i in range(4500)] + [(5000 + i, "token = " + "a" * 6000) for i in range(3)]
+    net = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    windows, y = secrets.generated()
+    assert net.seen == len({(*w, v) for w, v in zip(windows, y, strict=True)}) + 9000 + 1
+    others, z = secrets.generated(300, seed=99)
+    assert (net.probability(others) >= net.threshold)[np.array(z) == 1].mean() >= secrets.RECALL
+
+
 def test_rule_scores_do_not_depend_on_neighbours(docs):
     texts = [(r["text"] or "").encode() for r in docs.limit(200).collect()] + [b"", b"a", b"ab", b"abc", b"abcd"]
     rng = np.random.default_rng(0)
