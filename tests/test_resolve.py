@@ -42,3 +42,24 @@ def test_seeds(spark):
     assert [r["label"] for r in resolve.seeds(one).collect()] == ["A", "B"] and resolve.seeds(one, holding="committee_ids", persons=False).count() == 0
     assert resolve.seeds(one, domains=["x"], types=["person"]).count() == 1 and resolve.seeds(one, but=("x",)).count() == 1
     assert resolve.recipient_key(F.lit(None), F.lit(" "), F.lit(3)) is not None
+
+
+def test_chunks_of_a_large_block_are_dealt_once(spark):
+    """Exact in small blocks, large ones and with ids of either kind; a chunk of a large block is not copied for each other one."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 7 == 0], [0.0] * 3 if i == 11 else rng.normal(size=3).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, block string, embedding array<double>")
+    unit = {i: np.array(e) / max(np.linalg.norm(e), 1e-9) for i, _, e in rows}
+    pairs = {(i, j, round(float(unit[i] @ unit[j]), 9)) for i, a, _ in rows for j, b, _ in rows if a == b and i != j and 11 not in (i, j)}
+    near = vectors.within(df, "block", 0.8, chunk=6)
+    got = [tuple(r) for r in near.collect()]
+    close = lambda rows: sorted((a, b, round(s, 7)) for a, b, s in rows)
+    assert close(got) == close(p for p in pairs if p[2] >= 0.8)
+    assert "CartesianProduct" in near._jdf.queryExecution().executedPlan().toString()
+    others = df.filter("id % 3 = 0").withColumn("id", F.concat(F.lit("k"), "id"))
+    show = lambda d: sorted((r["a"], r["b"], round(r["similarity"], 7), r["rank"]) for r in d.collect())
+    for kwargs in ({}, {"among": others}, {"minimum": 0.9}):
+        few, all_ = vectors.nearest(df, "block", 2, chunk=4, **kwargs), vectors.nearest(df, "block", 2, **kwargs)
+        assert "CartesianProduct" in few._jdf.queryExecution().executedPlan().toString() and show(few) == show(all_)
