@@ -33,11 +33,13 @@ HIDDEN, EMBED, WINDOW, LANES = 32, 32, 16, 256
 #: Each of ROUNDS rounds trains on its own part of the training documents; together they cover all.
 ROUNDS, RATE, RATE_LANES, RATE_POWER = 4, 0.1, 16, 0.5
 #: Least and most lanes of a training run, and the windows that it should have at least.
-TRAIN_LANES, STEPS = (4, 256), 256
-CHUNK_BYTES, BUCKET_ENTRIES = 8 << 20, 1_000_000
+TRAIN_LANES, STEPS = (4, 512), 256
+CHUNK_BYTES, BUCKET_ENTRIES = 12 << 20, 1_000_000
 MODULUS, HELD_OUT = 7, 2
 #: Training texts that a task gathers before it trains on them, about.
 TRAIN_BYTES = 8 << 20
+#: Texts of a training task, about, where there are more than cores to train: wide windows cost less a token than narrow ones.
+TASK_BYTES = 56 << 20
 END = 0xE0D0E0D0E0D0E0D1
 OUT_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 OUT = pa.schema([
@@ -83,23 +85,41 @@ _PARTS = ("ids", "nulls", "sizes", "blob")
 
 
 def _pack(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A partition's texts in chunks, which are filled across the borders of Arrow batches."""
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in sliced(batches, "text", chunk_bytes):
-        ids = batch.column("doc_id").to_pylist()
-        texts = batch.column("text").to_pylist()
-        yield pa.RecordBatch.from_pydict({
+    ids, texts, held = [], [], 0
+
+    def chunk() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
             "ids": [np.array([i or 0 for i in ids], np.int64).tobytes()], "nulls": [np.array([i is None for i in ids], bool).tobytes()],
-            "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "blob": [packer.compress(b"".join(texts))],
-            "about": [sum(map(len, texts)) // 5],
+            "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "blob": [packer.compress(b"".join(texts))], "about": [held // 5],
         })
 
+    for batch in sliced(batches, "text", chunk_bytes):
+        more = batch.column("text").to_pylist()
+        size = sum(map(len, more))
+        if texts and held + size > chunk_bytes:
+            yield chunk()
+            ids, texts, held = [], [], 0
+        ids += batch.column("doc_id").to_pylist()
+        texts += more
+        held += size
+    if texts:
+        yield chunk()
+
+
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    """Distinct tokens in order; plain sorting is several times as fast as np.unique here."""
+    s = np.sort(tokens)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
 
 def _send_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, *parts in zip(*(batch.column(n).to_pylist() for n in ("chunk", *_PARTS)), strict=True):
             c = Chunk.unpack(*parts)
-            h, back = np.unique(c.tokens, return_inverse=True)
-            n = np.bincount(back, weights=~c.held[c.doc], minlength=len(h)).astype(np.uint32)
+            h, known = _distinct(c.tokens), np.sort(c.tokens[~c.held[c.doc]])
+            n = (np.searchsorted(known, h, "right") - np.searchsorted(known, h, "left")).astype(np.uint32)
             rows = [(b, chunk, h[i].tobytes() + n[i].tobytes()) for b, i in _by_bucket(h, buckets)]
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "chunk", "data"), map(list, zip(*rows, strict=True)), strict=True)))
@@ -160,13 +180,11 @@ class Vocabulary:
         return self.size + TAIL_INPUTS
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """By the hyperbolic tangent, which numpy works out several numbers at a time."""
-    y = x * np.float32(0.5)
-    np.tanh(y, out=y)
-    y *= np.float32(0.5)
-    y += np.float32(0.5)
-    return y
+def _inverse_logit(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place: the gates' weights come negated."""
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
 
 
 class Network:
@@ -208,9 +226,13 @@ class Network:
             at += a.size
         return Network(out)
 
-    def table(self) -> np.ndarray:
-        """What each input adds to the gates."""
-        return self.embed @ self.wx + self.bx
+    def gates(self, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What each input (of ``rows``, or all) adds to both gates (2 x inputs x HIDDEN) and to the candidate, and the state's
+        weights for them; those of the gates negated."""
+        emb = self.embed if rows is None else self.embed[rows]
+        g = emb @ self.wx + self.bx
+        two = lambda a: -np.stack((a[:, :HIDDEN], a[:, HIDDEN : 2 * HIDDEN]))
+        return two(g), np.ascontiguousarray(g[:, 2 * HIDDEN :]), two(self.wh), np.ascontiguousarray(self.wh[:, 2 * HIDDEN :])
 
 
 class Lanes:
@@ -258,10 +280,10 @@ def _layout(sizes: np.ndarray, first: np.ndarray, inputs: np.ndarray, targets: n
 def log_likelihood(net: Network, v: Vocabulary, sizes: np.ndarray, first: np.ndarray, tokens: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log P(class) + log P(word | class), natural, of every token; for words beyond the head the class alone."""
     x, y, new, total = _layout(sizes, first, v.inputs(tokens, ids), np.arange(len(tokens)), v.begin, LANES)
-    table, H = net.table(), HIDDEN
+    by_gate, by_state, wg, ws = net.gates()
     out = np.zeros(len(tokens))
     lanes = x.shape[1]
-    h = np.zeros((lanes, H), np.float32)
+    h = np.zeros((lanes, HIDDEN), np.float32)
     cls = np.where(ids >= 0, ids // CLASS_SIZE, v.classes)
     with np.errstate(over="ignore"):
         held, held_y, count = [], [], 0
@@ -270,11 +292,16 @@ def log_likelihood(net: Network, v: Vocabulary, sizes: np.ndarray, first: np.nda
             h = h[:live]
             fresh = new[t, :live]
             if fresh.any():
-                h[fresh] = 0
-            gx, gh = table[x[t, :live]], h @ net.wh
-            zr = _sigmoid(gx[:, : 2 * H] + gh[:, : 2 * H])
-            n = np.tanh(gx[:, 2 * H :] + zr[:, H:] * gh[:, 2 * H :])
-            h = n + zr[:, :H] * (h - n)
+                h = np.where(fresh[:, None], np.float32(0), h)
+            zr, n, gh = by_gate.take(x[t, :live], axis=1), by_state.take(x[t, :live], axis=0), h @ ws
+            zr += h @ wg
+            _inverse_logit(zr)
+            gh *= zr[1]
+            n += gh
+            np.tanh(n, out=n)
+            h = h - n
+            h *= zr[0]
+            h += n
             held.append(h)
             held_y.append(y[t, :live])
             count += live
@@ -284,33 +311,42 @@ def log_likelihood(net: Network, v: Vocabulary, sizes: np.ndarray, first: np.nda
     return out
 
 
+#: Rows of the classes' logits that are worked off at a time, so that they stay in the cache.
+BLOCK = 2048
+
+
 def _emit(net, hs, ys, cls, ids, v, out) -> None:
     """log P(class) + log P(word | class) of the targets ``ys`` after the states ``hs``."""
     c = cls[ys]
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c.astype(np.int16), kind="stable")
     hs, ys, c = hs[order], ys[order], c[order]
     cuts = np.searchsorted(c, np.arange(v.classes + 1))
-    n, rows = int(cuts[-1]), np.arange(len(c))
-    z = hs @ net.wc
-    z += net.bc
-    lp = z[rows, c] - _log_sum(z)
+    n = int(cuts[-1])
+    lp, bias, z = np.empty(len(c)), np.exp(net.bc), np.empty((min(BLOCK, len(c)), v.classes + 1), np.float32)
+    for a in range(0, len(c), BLOCK):
+        b = min(a + BLOCK, len(c))
+        lp[a:b] = _log_share(hs[a:b], net.wc, net.bc, bias, c[a:b], z[: b - a])
     if n:
-        q = np.empty((n, CLASS_SIZE), np.float32)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            np.matmul(hs[cuts[k] : cuts[k + 1]], net.wo[k], out=q[cuts[k] : cuts[k + 1]])
-        q += net.bo[c[:n]]
-        lp[:n] += q[rows[:n], ids[ys[:n]] % CLASS_SIZE] - _log_sum(q)
+        word, words = ids[ys[:n]] % CLASS_SIZE, np.exp(net.bo)
+        held = np.flatnonzero(np.diff(cuts))
+        q = np.empty((int(np.diff(cuts).max()), CLASS_SIZE), np.float32)
+        for k in held.tolist():
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            lp[a:b] += _log_share(hs[a:b], net.wo[k], net.bo[k], words[k], word[a:b], q[: b - a])
     out[ys] = lp
 
 
-#: Logits are log shares plus bounded sums and stay far below this; the bound keeps exp finite whatever the weights.
+#: Logits are bounded sums and stay far below this; the bound keeps exp finite whatever the weights.
 BOUND = np.float32(80)
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of each row; ``z`` is bounded, then overwritten."""
-    np.exp(np.minimum(z, BOUND, out=z), out=z)
-    return np.log((z @ np.ones(z.shape[1], np.float32)).astype(np.float64) + 1e-30)
+def _log_share(hs, w, b, exp_b, target, z) -> np.ndarray:
+    """Logarithm of the target's softmax in each row; ``exp_b`` are the exponentials of the biases ``b``, ``z`` is scratch."""
+    np.matmul(hs, w, out=z)
+    np.minimum(z, BOUND, out=z)
+    own = z[np.arange(len(z)), target] + b[target]
+    np.exp(z, out=z)
+    return own - np.log((z @ exp_b).astype(np.float64) + 1e-30)
 
 
 def lanes_for(tokens: int) -> int:
@@ -346,41 +382,52 @@ class Trainer:
         T, B = x.shape
         # words repeat within a window: what an input adds to the gates is worked out once for each
         inputs = x.ravel()
-        by_input = np.argsort(inputs, kind="stable")
-        s = inputs[by_input]
-        new_input = np.concatenate(([True], s[1:] != s[:-1]))
-        first = np.flatnonzero(new_input)
-        place = np.empty(T * B, np.int64)
-        place[by_input] = np.cumsum(new_input) - 1
-        distinct = s[first]
-        emb = net.embed[distinct]
-        gx = (emb @ net.wx + net.bx)[place].reshape(T, B, 3 * H)
-        prev, hs = np.empty((T, B, H), np.float32), np.empty((T, B, H), np.float32)
-        zr, ns, ghn = np.empty((T, B, 2 * H), np.float32), np.empty((T, B, H), np.float32), np.empty((T, B, H), np.float32)
-        starts = new.any(1)
+        there = np.zeros(len(net.embed), np.int64)
+        there[inputs] = 1
+        distinct = np.flatnonzero(there)
+        place = (np.cumsum(there) - 1)[inputs]
+        by_gate, by_state, wg, ws = net.gates(distinct)
+        zr, ns = by_gate.take(place, axis=1).reshape(2, T, B, H), by_state.take(place, axis=0).reshape(T, B, H)
+        prev, hs, ghn = np.empty((T, B, H), np.float32), np.empty((T, B, H), np.float32), np.empty((T, B, H), np.float32)
+        g2, g1 = np.empty((2, B, H), np.float32), np.empty((B, H), np.float32)
+        starts = new.any(1).tolist()
         with np.errstate(over="ignore"):
             for t in range(T):
                 if starts[t]:
                     h = np.where(new[t][:, None], np.float32(0), h)
                 prev[t] = h
-                gh = h @ net.wh
-                zr[t] = _sigmoid(gx[t, :, : 2 * H] + gh[:, : 2 * H])
-                ghn[t] = gh[:, 2 * H :]
-                ns[t] = n = np.tanh(gx[t, :, 2 * H :] + zr[t, :, H:] * ghn[t])
-                hs[t] = h = n + zr[t, :, :H] * (h - n)
+                gates, n, out = zr[:, t], ns[t], hs[t]
+                gates += np.matmul(h, wg, out=g2)
+                _inverse_logit(gates)
+                n += np.multiply(gates[1], np.matmul(h, ws, out=ghn[t]), out=g1)
+                np.tanh(n, out=n)
+                np.subtract(h, n, out=out)
+                out *= gates[0]
+                out += n
+                h = out
         flat, ys = hs.reshape(T * B, H), y.ravel()
         use = np.flatnonzero(ys >= 0)
         if not len(use):
             return h
         # targets in order of their class, so that each class is one block of rows
         c = cls[ys[use]]
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c.astype(np.int16), kind="stable")
         use, c = use[order], c[order]
         dflat = np.zeros_like(flat)
         dflat[use], g = self._softmax(flat[use], c, word[ys[use]], scale)
-        dgx = self._backward(dflat.reshape(T, B, H), prev, zr, ns, ghn, new, starts, g)
-        g["wx"], g["bx"] = emb[place].T @ dgx, np.ones(T * B, np.float32) @ dgx
-        self._move("embed", np.add.reduceat((dgx @ net.wx.T)[by_input], first, axis=0), distinct)
+        dg, dn, dnr = self._backward(dflat.reshape(T, B, H), prev, zr, ns, ghn, new, starts, wg, ws)
+        # inputs and states side by side: the gates' slopes are the same for both
+        both = np.concatenate((net.embed[distinct].take(place, axis=0), prev.reshape(T * B, H)), axis=1)
+        gates, ones = both.T @ dg, np.ones(T * B, np.float32)
+        g["wx"] = np.concatenate((*gates[:, :EMBED], both[:, :EMBED].T @ dn), axis=1)
+        g["wh"] = np.concatenate((*gates[:, EMBED:], both[:, EMBED:].T @ dnr), axis=1)
+        g["bx"] = np.concatenate((*(ones @ dg), ones @ dn))
+        demb = dn @ net.wx[:, 2 * H :].T
+        for k in range(2):
+            demb += dg[k] @ net.wx[:, k * H : (k + 1) * H].T
+        cells = place[:, None] * EMBED + np.arange(EMBED)
+        demb = np.bincount(cells.ravel(), weights=demb.ravel(), minlength=len(distinct) * EMBED)
+        self._move("embed", demb.reshape(-1, EMBED).astype(np.float32), distinct)
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
         clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         for n, d in g.items():
@@ -407,12 +454,16 @@ class Trainer:
             q += net.bo[c[:n]]
             self._shares(q, scale)
             q[rows[:n], w[:n]] -= scale
-            moved = np.empty((len(held), HIDDEN, CLASS_SIZE), np.float32)
+            back, ones = np.empty((n, HIDDEN), np.float32), np.ones(n, np.float32)
+            moved, bias = np.empty((len(held), HIDDEN, CLASS_SIZE), np.float32), np.empty((len(held), CLASS_SIZE), np.float32)
             for i, (k, a, b) in enumerate(blocks):
-                dhu[a:b] += q[a:b] @ net.wo[k].T
-                np.matmul(hu[a:b].T, q[a:b], out=moved[i])
+                part = q[a:b]
+                np.matmul(part, net.wo[k].T, out=back[a:b])
+                np.matmul(hu[a:b].T, part, out=moved[i])
+                np.matmul(ones[a:b], part, out=bias[i])
+            dhu[:n] += back
             self._move("wo", moved, held)
-            self._move("bo", np.add.reduceat(q, cuts[held], axis=0), held)
+            self._move("bo", bias, held)
         return dhu, g
 
     @staticmethod
@@ -421,30 +472,42 @@ class Trainer:
         np.exp(np.minimum(z, BOUND, out=z), out=z)
         z *= (scale / (z @ np.ones(z.shape[1], np.float32) + np.float32(1e-30)))[:, None]
 
-    def _backward(self, dhs, prev, zr, ns, ghn, new, starts, g) -> np.ndarray:
-        """Gradient by what the inputs add to the gates, through the steps of the window back to front."""
-        net, (T, B, H) = self.net, dhs.shape
-        z, r = zr[:, :, :H], zr[:, :, H:]
-        # what does not depend on the gradient that comes back from later steps
-        by_n = (1 - z) * (1 - ns * ns)
-        by_z = (prev - ns) * z * (1 - z)
-        by_r = ghn * r * (1 - r)
-        dgx, dgh = np.empty((T, B, 3 * H), np.float32), np.empty((T, B, 3 * H), np.float32)
-        back, dh = np.ascontiguousarray(net.wh.T), np.zeros((B, H), np.float32)
+    def _backward(self, dhs, prev, zr, ns, ghn, new, starts, wg, ws) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients by what the inputs add to both gates and to the candidate, and by what the state adds to it, through the window's
+        steps back to front. Each step's arrays stay in the cache; ``zr``, ``ns`` and ``ghn`` are overwritten by the results."""
+        T, B, H = dhs.shape
+        back_g, back_s, dh = -wg.transpose(0, 2, 1), ws.T, np.zeros((B, H), np.float32)
+        g2, g1 = np.empty((2, B, H), np.float32), np.empty((B, H), np.float32)
+        one = np.float32(1)
         for t in range(T - 1, -1, -1):
+            z, r, n, s = zr[0, t], zr[1, t], ns[t], ghn[t]
             dh += dhs[t]
-            dn = dgx[t, :, 2 * H :]
-            np.multiply(dh, by_n[t], out=dn)
-            np.multiply(dh, by_z[t], out=dgx[t, :, :H])
-            np.multiply(dn, by_r[t], out=dgx[t, :, H : 2 * H])
-            dgh[t, :, : 2 * H] = dgx[t, :, : 2 * H]
-            np.multiply(dn, r[t], out=dgh[t, :, 2 * H :])
-            dh *= z[t]
-            dh += dgh[t] @ back
+            through = dh * z
+            # by the update gate: dh (prev - n) z (1 - z)
+            dz = np.subtract(prev[t], n, out=g1)
+            np.multiply(n, n, out=n)
+            np.subtract(one, n, out=n)
+            np.subtract(one, z, out=z)
+            dz *= z
+            dz *= through
+            # by the candidate: dh (1 - z) (1 - n^2)
+            n *= z
+            n *= dh
+            z[...] = dz
+            # by the reset gate: dn ghn r (1 - r); by the state's part of the candidate: dn r
+            np.multiply(n, r, out=g1)
+            np.subtract(one, r, out=r)
+            r *= s
+            r *= g1
+            s[...] = g1
+            dh = through
+            np.matmul(zr[:, t], back_g, out=g2)
+            dh += g2[0]
+            dh += g2[1]
+            dh += np.matmul(s, back_s, out=g1)
             if starts[t]:
                 dh[new[t]] = 0
-        g["wh"] = prev.reshape(T * B, H).T @ dgh.reshape(T * B, 3 * H)
-        return dgx.reshape(T * B, 3 * H)
+        return zr.reshape(2, T * B, H), ns.reshape(T * B, H), ghn.reshape(T * B, H)
 
     def _move(self, name: str, d: np.ndarray, rows: np.ndarray | None = None) -> None:
         """AdaGrad step on some rows of an array, or on all of it."""
@@ -508,7 +571,8 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"slot": [0], "weight": [weight], "model": [(total / weight).astype(np.float32).tobytes()]})
 
 
-def train(chunks: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
+def train(chunks: DataFrame, v: Vocabulary, tasks: int, rounds: int = ROUNDS) -> Network:
+    chunks = chunks.coalesce(tasks)
     net = Network.new(v)
     schema = "slot long, weight double, model binary"
     for turn in range(rounds):
@@ -533,18 +597,17 @@ def _score(batches: Iterator[pa.RecordBatch], net: Network, v: Vocabulary) -> It
                 got.append(unpacker.decompress(data))
                 continue
             c = Chunk.unpack(*parts)
-            _, back = np.unique(c.tokens, return_inverse=True)
-            counts = np.frombuffer(b"".join(got), np.uint64).astype(np.float64)[back]
+            words, back = np.unique(c.tokens, return_inverse=True)
+            counts = np.frombuffer(b"".join(got), np.uint64)
             got = []
-            ids = v.ids(c.tokens)
-            smooth = np.log10(counts + 1)
+            ids, known, smooth = v.ids(words)[back], (counts > 0)[back], np.log10(counts + 1.0)[back]
             base = np.add.reduceat(smooth, c.first) - c.sizes * np.log10(v.tokens + v.distinct + 1.0)
             lp = log_likelihood(net, v, c.sizes, c.first, c.tokens, ids) / np.log(10)
             lp += np.where(ids < 0, smooth - np.log10(v.tail_total), 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.sizes, pa.int64()),
-                    pa.array(np.add.reduceat(counts > 0, c.first, dtype=np.int64)), pa.array(np.full(c.n, v.tokens), pa.int64()),
+                    pa.array(np.add.reduceat(known, c.first, dtype=np.int64)), pa.array(np.full(c.n, v.tokens), pa.int64()),
                     pa.array(base), pa.array(np.add.reduceat(lp, c.first)),
                 ],
                 schema=OUT,
@@ -572,7 +635,8 @@ def op4(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, head: int = HEAD) -> Da
     tokens, distinct = figures.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tops = figures.select("data").mapInArrow(_tops, "h long, n long").orderBy(F.desc("n"), "h").limit(head).collect()
     v = Vocabulary(np.array([r["h"] for r in tops], np.int64).view(np.uint64), np.array([r["n"] for r in tops], np.int64), tokens, distinct)
-    net = train(chunks, v)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    net = train(chunks, v, max(cores, int(words * 5 / TASK_BYTES)))
     none = F.lit(None).cast("binary")
     own = chunks.select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), none.alias("data"), *_PARTS)
     answers = counted.filter("chunk >= 0").select("chunk", F.lit(0).alias("kind"), "bucket", "data", *[none.alias(c) for c in _PARTS])

@@ -125,6 +125,30 @@ def test_rounds_train_on_every_training_document(docs):
     assert all(seen) and sum(seen) == n.sum()
 
 
+def test_chunks_are_filled_across_batches():
+    """Texts that come in small batches share chunks; none is lost and none exceeds the size but for a long text of its own."""
+    rows = [(i, b"w%d " % i * 20) for i in range(50)] + [(50, b"long " * 500), (None, b"")]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "text": [t]}) for i, t in rows]
+    packed = [b.to_pylist()[0] for b in lm_score._pack(iter(batches), 1000)]
+    whole = [lm_score.unpack(*(b[n] for n in lm_score._PARTS)) for b in packed]
+    assert [r for ids, texts in whole for r in zip(ids, texts, strict=True)] == rows
+    assert len(packed) < 10 and all(len(texts) == 1 or sum(map(len, texts)) <= 1000 for _, texts in whole)
+
+
+def test_training_runs_in_few_tasks(docs):
+    """Many small partitions are pooled: as many local models a round as there are cores, and words counted alike."""
+    chunks = []
+    train = lm_score.train
+    try:
+        lm_score.train = lambda c, v, tasks: chunks.append((c, tasks)) or train(c, v, tasks)
+        got = lm_score.op4(docs.repartition(30), chunk_bytes=20_000).collect()
+    finally:
+        lm_score.train = train
+    (c, tasks), data = chunks[0], [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert c.coalesce(tasks).rdd.getNumPartitions() <= tasks == docs.sparkSession.sparkContext.defaultParallelism
+    assert sorted(str((*tuple(r)[:5], round(r["base_score"], 6))) for r in got) == sorted(map(str, base_brute(data)))
+
+
 def duck_mix(data):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
