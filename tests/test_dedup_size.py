@@ -80,3 +80,19 @@ def test_reasons_are_those_of_every_pair(spark, crowd):
     got = {(r["rule"], r["outcome"], r["reason"]): r["n"] for r in dedup.reasons(aliases, entities).collect()}
     assert got == want and want["prefix_variant_curated", "accept", None] == 6
     assert {r["rule"] for r in dedup.prefix_pairs(entities, curated_only=True).collect()} == {"prefix_variant_curated"}
+
+
+def _dealt(spark):
+    """Rows that all stages so far have written to shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    return sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None)))
+
+
+def test_a_name_of_many_bearers_is_dealt_by_its_bearers_not_by_its_pairs(spark):
+    rows = [(f"e{i:04d}", "red bolt", "red bolt", "organization", "open", "published") for i in range(1500)]
+    aliases = spark.createDataFrame([(r[0], "sec.former_name", r[0], "Red Bolt Inc") for r in rows], A)
+    members = dedup._former_members(aliases, spark.createDataFrame(rows, E))
+    before = _dealt(spark)
+    assert dedup._former_met(members, each=2500).count() == 1500 * 1499 // 2
+    # 900 blocks, of 30 by 30 pieces: a bearer travels to 30 of them as either side, not to all 900
+    assert _dealt(spark) - before < 1500 * 100
