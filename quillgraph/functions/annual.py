@@ -87,23 +87,27 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", header: str
     )
 
 
-def _grammar() -> dict[str, Column]:
-    """What each part's grammar finds; null where the part has no such field or the row does not have it."""
+def _read(rows: DataFrame) -> DataFrame:
+    """Rows with what each part's grammar finds; null where the part has no such field or the row does not have it.
+
+    What several fields are made of is a column first, so that no expression is matched once for each of them.
+    """
     assets, deals, debts, posts = F.col("part").isin(*ASSETS), F.col("part") == "part_7_transactions", F.col("part") == "part_8_liabilities", F.col("part") == "part_1_positions"
-    first = rf"(?s)^(.*?)({_BAND})(.*)$"
-    lead, band, after = (F.regexp_extract("rest", first, i) for i in (1, 2, 3))
-    between, second = (F.regexp_extract(after, first, i) for i in (1, 2))
-    mark = r"(?U)\s{2,}(N/A|Yes|No)\s*$"
-    raw = _some(F.regexp_extract("rest", _TAIL, 2))
-    return {
-        "description": F.when(assets & (band != ""), _strip(F.regexp_replace(lead, mark, ""))).when(deals & raw.isNotNull(), _strip(F.regexp_extract("rest", _TAIL, 1))),
-        "eif": F.when(assets & (band != ""), _some(F.regexp_extract(lead, mark, 1))),
-        "value_band": F.when(assets, _some(band)), "income_type": F.when(assets & (second != ""), _some(_strip(between))), "income_band": F.when(assets, _some(second)),
+    first, found = rf"(?s)^(.*?)({_BAND})(.*)$", F.col("band") != ""
+    banded = lambda i: F.when(assets | debts, F.regexp_extract("rest", first, i))
+    rows = rows.withColumns({"before": banded(1), "band": banded(2), "after": banded(3), "raw": F.when(deals, _some(F.regexp_extract("rest", _TAIL, 2)))})
+    rows = rows.withColumns({"between": F.when(assets, F.regexp_extract("after", first, 1)), "second": F.when(assets, F.regexp_extract("after", first, 2))})
+    mark, raw = r"(?U)\s{2,}(N/A|Yes|No)\s*$", F.col("raw")
+    return rows.withColumns({
+        "description": F.when(assets & found, _strip(F.regexp_replace("before", mark, ""))).when(deals & raw.isNotNull(), _strip(F.regexp_extract("rest", _TAIL, 1))),
+        "eif": F.when(assets & found, _some(F.regexp_extract("before", mark, 1))),
+        "value_band": F.when(assets, _some(F.col("band"))), "income_type": F.when(assets & (F.col("second") != ""), _some(_strip(F.col("between")))),
+        "income_band": F.when(assets, _some(F.col("second"))),
         "transaction_type": F.when(deals, F.coalesce(lookup(SCANNED_TYPES, F.lower(raw)), transaction_type(raw), lookup({"s (partial)": "sale", "p (partial)": "purchase", "salo (partial)": "sale"}, F.lower(raw)))),
-        "transaction_raw": F.when(deals, raw), "trade_date": F.when(deals, _some(F.regexp_extract("rest", _TAIL, 3))),
-        "amount_band": F.when(deals, _some(F.regexp_extract("rest", _TAIL, 4))).when(debts, _some(band)),
-        "lead": F.when(posts, _some(_strip(F.col("rest")))).when(debts & (band != ""), _strip(lead)), "tail": F.when(debts & (band != ""), _strip(after)),
-    }
+        "transaction_raw": raw, "trade_date": F.when(deals, _some(F.regexp_extract("rest", _TAIL, 3))),
+        "amount_band": F.when(deals, _some(F.regexp_extract("rest", _TAIL, 4))).when(debts, _some(F.col("band"))),
+        "lead": F.when(posts, _some(_strip(F.col("rest")))).when(debts & found, _strip(F.col("before"))), "tail": F.when(debts & found, _strip(F.col("after"))),
+    })
 
 
 def annual(docs: DataFrame, key: str = "doc_id", text: str = "text", header: str | None = None) -> DataFrame:
@@ -115,7 +119,7 @@ def annual(docs: DataFrame, key: str = "doc_id", text: str = "text", header: str
     told in prose and always low. Null and empty texts have no rows; filings are told apart by ``key``, so rows
     with one key are read as one filing.
     """
-    rows = blocks(docs, key, text, header).withColumns(_grammar())
+    rows = _read(blocks(docs, key, text, header))
     assets, part = F.col("part").isin(*ASSETS), F.col("part")
     reason = (
         F.when(assets & F.col("value_band").isNull(), NO_BAND).when((part == "part_7_transactions") & F.col("transaction_raw").isNull(), NO_TAIL)

@@ -70,14 +70,16 @@ def observations(rows: DataFrame, *keep: str) -> DataFrame:
     band say nothing. A band out of the known ones counts from 0.
     """
     part, name = F.col("part"), lambda c: F.coalesce(F.nullif(issuer(c), F.lit("")), c)
-    high = rows.filter(F.col("confidence") == "high").filter(part.isin(*RELATION))
+    # a number that Spark may not work out twice keeps the filters above the grammar, which is else matched for them once more
+    high = rows.withColumn("read", F.monotonically_increasing_id()).filter((F.col("confidence") == "high") & (F.col("read") >= 0)).filter(part.isin(*RELATION))
     owed = F.when(part == "part_8_liabilities", F.struct(liability_lead(F.col("lead")).alias("l"), liability_tail(F.coalesce("tail", F.lit(""))).alias("t")))
     surface = F.when(part == "part_1_positions", position_org(F.col("lead"))).when(part == "part_8_liabilities", F.col("owed.l.creditor")).otherwise(F.trim("description"))
     high = high.withColumn("owed", owed).withColumn("surface", F.nullif(surface, F.lit("")))
     band = F.coalesce("value_band", "amount_band")
     high = high.filter(F.col("surface").isNotNull() & ((part == "part_1_positions") | band.isNotNull()) & ((part != "part_7_transactions") | F.col("transaction_type").isNotNull()))
     kind = F.when(part == "part_8_liabilities", creditor_type(F.col("surface")))
-    high = high.withColumn("kind", kind).withColumn("issued", name(F.col("surface")))
+    # a person's name is no issuer's
+    high = high.withColumn("kind", kind).withColumn("issued", name(F.when(F.col("kind").isNull() | (F.col("kind") != "person"), F.col("surface"))))
     high = high.withColumn("name", F.when(F.col("kind") == "person", F.col("surface")).otherwise(F.col("issued")))
     # a debt's type is told by the creditor's whole name, all others by the issuer's
     high = high.withColumn("type", F.coalesce("kind", org_type(F.col("issued"))))
@@ -93,13 +95,12 @@ def observations(rows: DataFrame, *keep: str) -> DataFrame:
     )
     relation = F.element_at(F.create_map(*[F.lit(x) for kv in RELATION.items() for x in kv]), part)
     yields = say(income_type=c("income_type"), income_band=c("income_band"), band_low=ilow, band_high=itop, account_group=c("account_group"))
-    both = F.array(
-        F.struct(relation.alias("relation"), said.alias("metadata")),
-        F.when(part.isin(*ASSETS) & income_edge_allowed(c("income_band")), F.struct(F.lit("income_from").alias("relation"), yields.alias("metadata"))),
-    )
-    out = high.withColumn("say", F.explode(F.filter(both, lambda x: x.isNotNull())))
+    # metadata are made of rows that are there, and not at all where nobody asks for them
+    both = F.array(relation, F.when(part.isin(*ASSETS) & income_edge_allowed(c("income_band")), F.lit("income_from")))
+    out = high.withColumn("relation", F.explode(F.filter(both, lambda x: x.isNotNull())))
+    out = out.withColumn("metadata", F.when(c("relation") == "income_from", yields).otherwise(said))
     mode = F.when(F.col("type") == "person", "suppress").otherwise("open")
-    return out.select("row", "say.relation", "name", "type", mode.alias("mode"), "say.metadata", *keep)
+    return out.select("row", "relation", "name", "type", mode.alias("mode"), "metadata", *keep)
 
 
 def targets(said: DataFrame, entities: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import re
 
-from quillgraph.operators import edges
+from pyspark.sql import functions as F
+
+from quillgraph.functions import annual
+from quillgraph.operators import edges, emit
 from quillgraph.plans import registry
 
 from .conftest import SF
@@ -26,6 +29,14 @@ def test_filings_read_the_facts_once_and_stay_with_their_supplier(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_filing_rows_are_read_once_and_say_no_more_than_is_asked(spark):
+    rows = annual.annual(spark.createDataFrame([(1, "Part 6: Other Assets\n1  A    $1,001 - $15,000")], "doc_id long, text string")).withColumn("row", F.lit("r"))
+    plan = emit.observations(rows, "doc_id").select("relation", "type", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    # the grammar's bands are matched in one place: 3 parts of a row, what follows its first band, 3 columns of a trade
+    assert plan.count("(?s)^(.*?)(") <= 10 and plan.count("(?Uis)^(.*?)(") <= 10
+    assert "StructsToJson" not in plan
+
+
 def test_backfill_and_affiliations_join_the_facts_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
