@@ -113,9 +113,15 @@ def captured_total(g: Graph, ids: DataFrame) -> DataFrame:
 def top_citations(edges: DataFrame, citations: DataFrame, n: int) -> DataFrame:
     """Per source entity the n citations of its heaviest edges, each URL once, empty URLs never."""
     joined = citations.filter("coalesce(citation_url, '') <> ''").join(edges.select(F.col("id").alias("edge_id"), "source_id", "weight"), "edge_id")
+    return best_citations(joined, n)
+
+
+def best_citations(joined: DataFrame, n: int, source: str = "source_id") -> DataFrame:
+    """The same of citations that have met their edges (with source_id and weight). ``source``: a column that tells sources
+    apart as source_id does; rows that are dealt by it stay where they are."""
     order = [F.coalesce("weight", F.lit(0.0)).desc(), F.col("edge_id"), F.col("id"), F.col("citation_url"), F.col("kind")]
-    once = joined.withColumn("_u", F.row_number().over(W.partitionBy("source_id", "citation_url").orderBy(*order))).filter("_u = 1")
-    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("source_id").orderBy(*order))).filter(F.col("rank") <= n)
+    once = joined.withColumn("_u", F.row_number().over(W.partitionBy(source, "citation_url").orderBy(*order))).filter("_u = 1")
+    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy(source).orderBy(*order))).filter(F.col("rank") <= n)
     return ranked.select("source_id", "rank", "citation_url", "kind", "edge_id")
 
 

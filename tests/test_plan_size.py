@@ -37,6 +37,16 @@ def test_filing_rows_are_read_once_and_say_no_more_than_is_asked(spark):
     assert "StructsToJson" not in plan
 
 
+def test_best_citations_join_the_facts_once_and_stay_with_their_customer(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # lines by order and part, orders by customer and number, customers, parts, then facts by customer
+        lines, dealt = scans(registry.queries()["top_citations"](spark, SF))
+        assert lines == 1 and dealt <= 7
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_backfill_and_affiliations_join_the_facts_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
